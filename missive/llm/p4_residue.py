@@ -54,7 +54,7 @@ SLOTS = [
 ]
 # Lines, or sentences, that are nothing but filler.
 FILLER_LINES = [
-    r"(?:tbd|tba|tbc|todo|fixme|n/?a|nan|null|none|undefined|test|text|sample|dummy|asdf\w*|qwerty|placeholder|foo|bar|blah)",
+    r"(?:tbd|tba|tbc|todo|fixme|n/?a|nan|null|none|undefined|test|text|sample|dummy|asdf\w*|qwer\w*|placeholder|foo|bar|blah)",
 ]
 FILLER_PHRASES = [
     r"(?i)\bplaceholder\s*[-:–]+\s*do not publish",
@@ -65,7 +65,7 @@ FILLER_PHRASES = [
     r"(?i)\b(?:dummy|sample|test|example) (?:posting|job|text|listing|record|entry)[,.:;] ",
     r"(?m)^[ \t]*(?:\.{3}|…)[ \t]*\n\s*(?:\.{3}|…)[ \t]*$",
     r"(?i)\bfiller (?:text|copy) (?:only|here|until)",
-    r"(?i)\bcopy to follow\b",
+    r"(?i)\bcopy to follow\b|\bto be (?:filled in|completed|confirmed) by (?:hr|the recruiter|the hiring manager)\b",
     r"\bTBD\s*(?:[.,;:/|-]\s*)?(?:TBD|test)\b",
 ]
 # Stems of the customary dummy Latin.
@@ -106,7 +106,7 @@ SLOT_HINTS = (
 ).split("|")
 FILLER_HINTS = (
     "tbd|tba|tbc|todo|fixme|placeholder|lorem|ipsum|dolor|consec|veniam|adipis|laboris|exerci|aliqu|enim|your content|"
-    "your text|your job desc|your desc|text text|test test|blah|dummy|sample|publish|undefined|null|please ignore|asdf|qwerty|"
+    "your text|your job desc|your desc|text text|test test|blah|dummy|sample|publish|undefined|null|please ignore|asdf|qwer|to be filled|"
     "test posting|test job|example text|example job|copy to follow|filler|...\n...|…\n…|test\ntest|text\ntext"
 ).split("|")
 NOTICE_HINTS = (
