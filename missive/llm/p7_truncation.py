@@ -40,8 +40,8 @@ LIMIT_RATIO = 5.0
 # Marks that stand for text left out, by how sure a sign they are.
 SURE_MARK = r"((\.\.\.|…) ?(more|mehr|suite|más)|\[(\.\.\.|…)\]|\((more|mehr|suite|más)\)|read more|weiterlesen|lire la suite|leer más|mehr lesen|continue reading)"
 STYLE_MARK = r"(\.\.\.+|…)"
-BROKEN_MARKUP = r"(&[a-z#0-9]{1,8}|</?[a-z][a-z0-9]{0,9}|</?)$"
-CLOSED = r"[.!?。！？:;)\]\"”»>]$"
+BROKEN_MARKUP = r"(&[a-z#0-9]{1,8}|</?[a-z][a-z0-9]{0,9}|</?)\s*\z"
+CLOSED = r"[.!?。！？:;)\]\"”»>]\s*\z"
 
 
 class _Dialect:
@@ -108,7 +108,7 @@ def judged_sql(spark: bool = True) -> str:
     """Every value with ``cut``: src_table, rec_id, field, origin, cut."""
     d = _Dialect(spark)
     big, integer = "bigint", "int"
-    mark = rf"(?i)\s*({SURE_MARK}|{STYLE_MARK})\s*$"
+    mark = rf"(?i)\s*({SURE_MARK}|{STYLE_MARK})\s*\z"
     bare = d.sub("rtrim(text)", mark, "")
     words = d.words(d.sub("trim(" + d.sub(d.sub("lower(bare)", "[0-9]+", "0"), r"\s*\n\s*", "¶ ") + ")", r"\s+", " "))
     size = d.size("ws")
@@ -141,7 +141,7 @@ def judged_sql(spark: bool = True) -> str:
     ),
     finals AS (
         SELECT src_table, rec_id, field, origin, text, beginning, same, n, closed, bare <> rtrim(text) AS marked,
-               {d.like("text", rf"(?i){SURE_MARK}" + chr(92) + "s*$")} AS sure,
+               {d.like("text", rf"(?i){SURE_MARK}" + r"\s*\z")} AS sure,
                {d.like("text", "(?i)" + BROKEN_MARKUP)} AS broken,
                {d.like("bare", CLOSED)} AS bare_closed,
                CASE WHEN {size} >= 3 THEN {d.digest(d.item("ws", size + " - 2"), d.item("ws", size + " - 1"))} END AS c,
@@ -190,6 +190,15 @@ def rates_sql(spark: bool = True) -> str:
     """
 
 
+def cut_descriptions(job: DataFrame) -> DataFrame:
+    """Ids of the rows of ``job`` whose description was cut."""
+    job.createOrReplaceTempView("job")
+    job.sparkSession.range(0).selectExpr(
+        "'' AS id", "'' AS sender_email", "'' AS summary", "'' AS reason", "'' AS body_text"
+    ).createOrReplaceTempView("message")
+    return job.sparkSession.sql(found_sql()).where("src_table = 'job'").selectExpr("try_cast(rec_id AS bigint) AS id")
+
+
 def found(job: DataFrame, message: DataFrame) -> DataFrame:
     """Cut values: src_table, rec_id, field."""
     job.createOrReplaceTempView("job")
