@@ -251,24 +251,19 @@ class Labeler:
             for m in p["phone"].finditer(text):
                 a, b = m.span()
                 s = m.group()
-                digits = sum(ch.isdigit() for ch in s)
-                if not 7 <= digits <= 20 or not free(a, b):
-                    continue
-                if s.count("(") < s.count(")"):
-                    continue
                 if s[0] == "(" and ")" not in s:
                     a, s = a + 1, s[1:]
                 if "\n" in s:
+                    # Hard-wrapped in the middle, or two numbers on two lines.
                     flat = re.sub(r"\s+", " ", s)
-                    if p["phone_strict"].match(flat) is None:
-                        # Two numbers on two lines: the first stands alone.
-                        s = s.split("\n")[0].rstrip()
-                        b = a + len(s)
-                        digits = sum(ch.isdigit() for ch in s)
-                        if digits < 7 or not s[-1].isdigit():
-                            continue
-                    else:
+                    if p["phone_strict"].match(flat) and free(a, b):
                         s = flat
+                    else:
+                        s = s.split("\n")[0].rstrip(" .()/\r-‑–")
+                        b = a + len(s)
+                digits = sum(ch.isdigit() for ch in s)
+                if not 7 <= digits <= 20 or s.count("(") < s.count(")") or not free(a, b):
+                    continue
                 before = text[max(0, a - 24) : a]
                 strict = p["phone_strict"].match(s) is not None
                 if p["date"].match(s) or (re.match(r"\d{4}-\d", s) and "(" not in s):
