@@ -52,7 +52,7 @@ NO_NAME_BESIDE = frozenset("client company employer startup start-up organisatio
 GENERIC = (
     "systems holdings group capital health energy robotics insurance logistics networks partners software services technologies "
     "analytics aerospace biotech education freight foods retail consulting laboratories materials manufacturing mobility media "
-    "security international associates solutions industries global digital labs bank financial pharma medical engineering design"
+    "security international associates solutions industries global digital bank financial pharma medical engineering design"
 ).split()
 
 
@@ -90,7 +90,8 @@ def tokens(name: str) -> list[tuple[str, bool]]:
     text = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", text)
     text = re.sub(r"(?<=[A-Za-z])\.(?=[A-Za-z]\b)|(?<=\b[A-Za-z])\.(?=[A-Za-z]\.)", "", text)
     parts = [p for p in text.split(",") if p.strip()]
-    words = lambda p: [(w.rstrip(".").lower(), w.endswith(".")) for w in re.findall(r"[^\W_]+\.?", p)]
+    shouted = name.upper() == name
+    words = lambda p: [(w.rstrip(".").lower(), w.endswith(".") or (len(w) <= 3 and w.isupper() and not shouted)) for w in re.findall(r"[^\W_]+\.?", p)]
     split = [words(p) for p in parts]
     if len(split) == 2 and not all(w in LEGAL for w, _ in split[1]):
         split = [split[1], split[0]]
@@ -240,11 +241,11 @@ def generic_words(names: DataFrame) -> tuple[str, ...]:
         .where((F.col("n_beside") >= BESIDE_LEAST) & (F.col("n_beside") >= BESIDE_SHARE * F.col("n_names")) & (F.length("word") >= 4))
         .orderBy(F.desc("n_beside"), "word").limit(GENERIC_MOST).select("word", "n_beside").collect()
     )
-    found: list[str] = []
+    found: dict[str, int] = {}
     for r in rows:
-        # A misspelling of a more common word is no word of its own.
-        if len(r.word) >= 5 and not any(one_error(r.word, w) for w in found):
-            found.append(r.word)
+        # A misspelling of a far more common word is no word of its own.
+        if len(r.word) >= 5 and not any(one_error(r.word, w) and r.n_beside < 0.05 * n for w, n in found.items()):
+            found[r.word] = r.n_beside
     return tuple(w for w in found if not any(len(w) < len(o) and _within(w, o) for o in {*found, *GENERIC}))
 
 
