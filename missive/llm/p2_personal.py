@@ -31,6 +31,7 @@ import unicodedata
 import zlib
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,7 +42,7 @@ from missive.runtime import durable
 
 GAZETTEER_MOST = 50_000
 #: Bound of the sample that trains the span classifier.
-TRAINING_SPANS = 20_000
+TRAINING_SPANS = 8_000
 DIMENSIONS = 1024
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -81,7 +82,9 @@ ID_HINTS = (
     "steuer", "ausweis", "reisepass", "pasaporte", "passeport", "sécurité", "dni", "nie", "nif",
 )
 ADDRESS_HINTS = (
-    (), ("allee", "straße", "strasse", "weg", "gasse", "platz", "ring", "damm", "ufer", "str."), ("box", "postfach", "apartado"),
+    (" st", " ave", " road", " rd", " boulevard", " blvd", " lane", " ln", " way", " court", " ct", " drive", " dr", " row", " pl", " terrace",
+     " sq", " parkway", " pkwy", " circle", " crescent", " close", " h", " alley", " quay", " walk", " grove", " park", " mews"),
+    ("allee", "straße", "strasse", "weg", "gasse", "platz", "ring", "damm", "ufer", "str."), ("box", "postfach", "apartado"),
     ("rue ", "avenue ", "boulevard ", "place ", "chemin ", "calle ", "plaza "), ("calle ", "avenida ", "plaza "),
 )
 
@@ -134,11 +137,10 @@ def _p() -> dict:
             c(rf"(?<!\w)\d{{1,4}}(?: ?bis)?,?\s+(?:rue|avenue|boulevard|place|chemin|calle|plaza)\s+(?:[\w'’\-]+\s?){{1,4}},?\s+\d{{5}}\s+{town}"),
             c(rf"(?<!\w)(?:Calle|Avenida|Plaza)\s+(?:[\w'’\-]+\s?){{1,4}},?\s*\d{{1,4}},?\s+\d{{5}}\s+{town}"),
         ],
-        "address_hint": c(rf"\d\s+[A-Z]|(?:allee|straße|strasse|weg|gasse|platz|ring|damm|ufer|str\.)\s+\d|Box\s+\d|Postfach|\d,? (?:rue|calle|avenue)|Calle|Avenida|Plaza"),
         "postcode": c(r"\d{5}\b|[A-Z]{1,2}\d[\dA-Z]?\s?\d[A-Z]{2}$"),
         "split": c(r"[\W\d_]+"),
         "digit": c(r"\d"),
-        "word": c(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*"),
+        "capital": c(r"(?<![^\W_])[A-ZÀ-ÖØ-ÞŠŽŁĐ][^\W\d_]*(?:['’\-][^\W\d_]+)*"),
         "left_cue": c(rf"(?i)(?<!\w){LEFT_CUE}[\s.,:>|»*\"(!\-]*$"),
         "right_cue": c(rf"(?i)^[\s,]*(?:<|\(chair|{RIGHT_CUE}\b)"),
         "honorific": c(rf"(?<!\w){HONORIFIC}\.?\s+$"),
@@ -149,6 +151,8 @@ def _p() -> dict:
 
 
 _SHAPES = {c: "0" if chr(c).isdigit() else "A" if chr(c).isupper() else "a" for c in range(0x250) if chr(c).isalnum()}
+#: Accents taken off, letter by letter; case and length stay.
+_ACCENTS = {c: p for c in range(0xC0, 0x180) if len(p := "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.combining(x))) == 1 and p != chr(c)}
 _REPEAT = re.compile(r"(.)\1+")
 # Last words of what stands before a name.
 NAME_OPENERS = frozenset(
@@ -163,15 +167,25 @@ def _hashed(feature: str) -> int:
     return zlib.crc32(feature.encode()) % DIMENSIONS
 
 
+@lru_cache(maxsize=4096)
+def _vote_features(kind: str, votes: int) -> tuple[int, ...]:
+    return tuple(_hashed(x) for x in [f"{kind}|bias", *(f"{kind}|v{i}" for i in range(10) if votes >> i & 1)])
+
+
 def _features(kind: str, votes: int, text: str, a: int, b: int) -> tuple[int, ...]:
-    span = text[a:b]
-    left = text[max(0, a - 24) : a].lower().split()
-    right = text[b : b + 24].lower().split()
-    shape = _REPEAT.sub(r"\1", span[:40].translate(_SHAPES))
-    parts = [f"{kind}|bias", f"{kind}|s|{shape}", f"{kind}|l|{left[-1] if left else '^'}", f"{kind}|r|{right[0] if right else '$'}",
-             f"{kind}|n|{min(len(span) // 4, 8)}"]
-    parts += [f"{kind}|v{i}" for i in range(10) if votes >> i & 1]
-    return tuple(map(_hashed, parts))
+    left = text[max(0, a - 16) : a].split()
+    right = text[b : b + 16].split()
+    if kind == "name":
+        shape = "U" if text[a:b].isupper() else "l" if text[a].islower() else "T"
+    else:
+        shape = _REPEAT.sub(r"\1", text[a : min(b, a + 40)].translate(_SHAPES))
+    return (
+        *_vote_features(kind, votes),
+        _hashed(f"{kind}|s|{shape}"),
+        _hashed(f"{kind}|l|{left[-1].lower() if left else '^'}"),
+        _hashed(f"{kind}|r|{right[0].lower() if right else '$'}"),
+        _hashed(f"{kind}|n|{min((b - a) // 4, 8)}"),
+    )
 
 
 class Labeler:
@@ -180,6 +194,13 @@ class Labeler:
     def __init__(self, first: frozenset[str], last: frozenset[str]):
         self.first, self.last = first, last
         self.known: dict[str, str] = {}
+        self.automaton = None
+        if first or last:
+            self.automaton = ahocorasick.Automaton()
+            for w in {*first, *last}:
+                if len(w) > 2:
+                    self.automaton.add_word(w, len(w))
+            self.automaton.make_automaton()
 
     def _last(self, word: str) -> bool:
         if word in self.last:
@@ -240,14 +261,13 @@ class Labeler:
             for m in p["ssn"].finditer(text):
                 if free(*m.span()):
                     add("id_number", *m.span(), False, True, True)
-            if p["address_hint"].search(text):
-                for n, pattern in enumerate(p["addresses"]):
-                    if ADDRESS_HINTS[n] and not any(h in low for h in ADDRESS_HINTS[n]):
-                        continue
-                    for m in pattern.finditer(text):
-                        if free(*m.span()):
-                            s = m.group()
-                            add("address", *m.span(), bool(p["postcode"].search(s)), n == 0, "," in s or "\n" in s, m.end() >= len(text) - 2)
+            for n, pattern in enumerate(p["addresses"]):
+                if not any(h in low for h in ADDRESS_HINTS[n]):
+                    continue
+                for m in pattern.finditer(text):
+                    if free(*m.span()):
+                        s = m.group()
+                        add("address", *m.span(), bool(p["postcode"].search(s)), n == 0, "," in s or "\n" in s, m.end() >= len(text) - 2)
             for m in p["phone"].finditer(text):
                 a, b = m.span()
                 s = m.group()
@@ -274,7 +294,20 @@ class Labeler:
         return out
 
     def _names(self, text, p, taken, add, free) -> None:
-        words = [(m.group(), m.start(), m.end()) for m in p["word"].finditer(text)]
+        # Capitalised words, and lower-case ones of the gazetteer.
+        words = [(m.group(), m.start(), m.end()) for m in p["capital"].finditer(text)]
+        small = [(end - n + 1, end + 1) for end, n in self.automaton.iter(text.translate(_ACCENTS))] if self.automaton is not None else []
+        if small:
+            whole, size = {}, len(text)
+            for a, b in small:
+                while a and (text[a - 1].isalpha() or text[a - 1] in "'’-"):
+                    a -= 1
+                while b < size and (text[b].isalpha() or (text[b] in "'’-" and text[b + 1 : b + 2].isalpha())):
+                    b += 1
+                if text[a].islower() and not (a and text[a - 1] in "@._+0123456789") and not (b < size and text[b] in "@_+0123456789"):
+                    whole[a] = b
+            if len(whole) > 1:
+                words = sorted([*words, *((text[a:b], a, b) for a, b in whole.items())], key=lambda x: x[1])
         if not words:
             return
         kinds = [self._class(w) for w, _, _ in words]
@@ -291,11 +324,18 @@ class Labeler:
         for x, kind in enumerate(kinds):
             if kind == "I" and text[words[x][2] : words[x][2] + 1] != ".":
                 kinds[x] = "X"
-            elif kind == "C" and not (x and words[x - 1][0].lower() in NAME_OPENERS) and (not x or "--" not in (g := text[words[x - 1][2] : words[x][1]]) and "~~" not in g and "__" not in g):
-                kinds[x] = "c"
-        locals_ = (
-            {fold(x) for x in p["split"].split(" ".join(text[a:b].split("@")[0] for a, b in marks)) if len(x) > 2} if marks else set()
-        )
+            elif kind == "C":
+                before = text[max(0, words[x][1] - 14) : words[x][1]].split()
+                opener = before[-1].lower().strip(".,!>|»-") if before else ""
+                if opener not in NAME_OPENERS and not (before and (before[-1] in ("-", "–", ">", "|", "»") or set(before[-1]) <= set("-_~"))):
+                    kinds[x] = "c"
+        boxes: list[set[str]] = []
+
+        def locals_() -> set[str]:
+            """Words of the mailboxes in the text."""
+            if not boxes:
+                boxes.append({fold(x) for x in p["split"].split(" ".join(text[a:b].split("@")[0] for a, b in marks)) if len(x) > 2})
+            return boxes[0]
 
         def gap(x: int) -> str:
             return text[words[x][2] : words[x + 1][1]]
@@ -345,22 +385,30 @@ class Labeler:
             if (lower and (len(run) < 2 or not all(k in "FLBI" for k in kinds[i : j + 1]))) or not free(a, b):
                 i = j + 1
                 continue
-            before, after = text[max(0, a - 30) : a], text[b : b + 60]
+            first = any(kinds[x] in "FB" for x in range(i, j + 1))
+            last = any(kinds[x] in "LB" for x in range(i, j + 1))
             nxt = words[j + 1][0].lower() if j + 1 < n and gap(j) in (" ", "\n") else ""
-            add(
-                "name", a, b,
-                any(kinds[x] in "FB" for x in range(i, j + 1)),
-                any(kinds[x] in "LB" for x in range(i, j + 1)),
-                len(run) > 1,
-                bool(p["honorific"].search(before) or p["greeting"].search(before) or p["closing"].search(before)),
-                bool(p["left_cue"].search(before)) or not before.strip() or before.endswith("\n"),
-                bool(p["right_cue"].match(after)) or not after.strip() or after[:1] in "\n,.!",
-                bool({fold(x) for x in run} & locals_),
-                nxt in ORG_WORDS and not (len(run) > 1),
-            )
+            if first and last and len(run) > 1:
+                # Both gazetteers agree: the context labelers aren't asked.
+                add("name", a, b, True, True, True, False, False, False, False, False)
+            else:
+                before, after = text[max(0, a - 30) : a], text[b : b + 60]
+                add(
+                    "name", a, b, first, last, len(run) > 1,
+                    bool(p["honorific"].search(before) or p["greeting"].search(before) or p["closing"].search(before)),
+                    bool(p["left_cue"].search(before)) or not before.strip() or before.endswith("\n"),
+                    bool(p["right_cue"].match(after)) or not after.strip() or after[:1] in "\n,.!",
+                    bool({fold(x) for x in run} & locals_()),
+                    nxt in ORG_WORDS and not (len(run) > 1),
+                )
             i = j + 1
 
 
+@lru_cache(maxsize=2)
+def _labeler(first: frozenset[str], last: frozenset[str]) -> Labeler:
+    return Labeler(first, last)
+
+
 def _ascii_tokens(name: Column) -> Column:
     """Lower-case words of a name."""
     return F.split(F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}'’\-]+", " ")), " ")
@@ -397,18 +445,29 @@ _SPAN = StructType(
     [StructField("kind", StringType()), StructField("a", IntegerType()), StructField("b", IntegerType()),
      StructField("votes", IntegerType()), StructField("features", ArrayType(IntegerType()))]
 )
-_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("votes", pa.int32()), ("features", pa.list_(pa.int32()))]))
+
+
+def _arrow(rows: list[list[Span]]) -> pa.Array:
+    """Spans of many texts, column by column."""
+    flat = [x for r in rows for x in r]
+    ends = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(r) for r in rows], out=ends[1:])
+    inner = np.zeros(len(flat) + 1, np.int32)
+    np.cumsum([len(x[4]) for x in flat], out=inner[1:])
+    features = pa.ListArray.from_arrays(pa.array(inner), pa.array([i for x in flat for i in x[4]], pa.int32()))
+    column = lambda k, t: pa.array([x[k] for x in flat], t)
+    struct = pa.StructArray.from_arrays(
+        [column(0, pa.string()), column(1, pa.int32()), column(2, pa.int32()), column(3, pa.int32()), features],
+        ["kind", "a", "b", "votes", "features"],
+    )
+    return pa.ListArray.from_arrays(pa.array(ends), struct)
 
 
 def _spans_column(text: Column, names: tuple[frozenset[str], frozenset[str]]) -> Column:
     @F.arrow_udf(ArrayType(_SPAN))
     def spans(column: pa.Array) -> pa.Array:
-        labeler = Labeler(*names)
-        rows = [
-            [{"kind": k, "a": a, "b": b, "votes": v, "features": list(f)} for k, a, b, v, f in labeler.spans(t)] if t else []
-            for t in column.to_pylist()
-        ]
-        return pa.array(rows, _ARROW)
+        labeler = _labeler(*names)
+        return _arrow([labeler.spans(t) if t else [] for t in column.to_pylist()])
 
     return spans(text)
 
@@ -507,9 +566,10 @@ def detect(texts: DataFrame, names: tuple[frozenset[str], frozenset[str]], keep:
     )
     counts = [(r.kind, r.votes, r.n) for r in spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()]
     belief = posteriors(counts)
-    sample = (
-        spans.select("kind", "votes", "features", F.xxhash64(*keep, "a").alias("h")).orderBy("h").limit(TRAINING_SPANS).collect()
-    )
+    # A hash range holds about as many spans as are wanted; no task sends more than its share.
+    share = min(1.0, TRAINING_SPANS / max(1, sum(n for _, _, n in counts)))
+    drawn = F.pmod(F.xxhash64(*keep, "a"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)
+    sample = spans.where(drawn).select("kind", "votes", "features").limit(2 * TRAINING_SPANS).collect()
     weights = train([(r.features, belief.get((r.kind, r.votes), 0.5)) for r in sample])
     table = F.array(*(F.lit(float(w)) for w in np.round(weights, 5)))
     score = F.aggregate("features", F.lit(0.0), lambda s, i: s + F.get(table, i))
