@@ -37,6 +37,9 @@ WHOLE_TERMINAL_MOST = 0.03
 LIMIT_LEAST = 6
 LIMIT_RATIO = 5.0
 
+#: Marks and last words are read from so many last characters.
+TAIL = 240
+
 # Marks that stand for text left out, by how sure a sign they are.
 SURE_MARK = r"((\.\.\.|…) ?(more|mehr|suite|más)|\[(\.\.\.|…)\]|\((more|mehr|suite|más)\)|read more|weiterlesen|lire la suite|leer más|mehr lesen|continue reading)"
 STYLE_MARK = r"(\.\.\.+|…)"
@@ -92,7 +95,7 @@ def texts_sql(d: _Dialect) -> str:
     starts = d.starts("body_text", "rtrim(summary)")
     domain = "lower(regexp_replace(coalesce(sender_email, ''), '^.*@', ''))"
     return f"""
-        SELECT DISTINCT * FROM (
+        SELECT * FROM (
             SELECT 'job' AS src_table, CAST(id AS string) AS rec_id, 'description' AS field,
                    coalesce(source, '') AS origin, description AS text,
                    false AS beginning, false AS same FROM job
@@ -109,25 +112,35 @@ def judged_sql(spark: bool = True) -> str:
     d = _Dialect(spark)
     big, integer = "bigint", "int"
     mark = rf"(?i)\s*({SURE_MARK}|{STYLE_MARK})\s*\z"
-    bare = d.sub("rtrim(text)", mark, "")
-    words = d.words(d.sub("trim(" + d.sub(d.sub("lower(bare)", "[0-9]+", "0"), r"\s*\n\s*", "¶ ") + ")", r"\s+", " "))
+
+    def words(value: str) -> str:
+        return d.words(d.sub("trim(" + d.sub(d.sub(f"lower({value})", "[0-9]+", "0"), r"\s*\n\s*", "¶ ") + ")", r"\s+", " "))
+
+    # Marks and last words are looked for in the tail only.
+    tail = f"right(text, {TAIL})"
+    bare_tail = d.sub(f"rtrim({tail})", mark, "")
+    bare = f"concat(substr(text, 1, greatest(length(text) - {TAIL}, 0)), {bare_tail})"
     size = d.size("ws")
     last = d.item("ws", size)
     texts = texts_sql(d) if spark else texts_sql(d).replace("AS string", "AS VARCHAR")
     return f"""
     WITH texts AS ({texts}),
-    bared AS (
-        SELECT *, {bare} AS bare, CAST(length(text) AS {integer}) AS n,
-               {d.like("text", CLOSED)} AS closed FROM texts
-    ),
-    tokens AS (SELECT src_table, rec_id, field, origin, text, beginning, same, bare, n, closed, {words} AS ws FROM bared),
+    tokens AS (SELECT field, {words(bare)} AS ws FROM texts),
     grams AS ({d.explode_trigrams()}),
     counts AS (
         SELECT field, g.c AS c, g.w AS w, CAST(sum(CASE WHEN g.ending THEN 0 ELSE 1 END) AS {big}) AS inside,
                CAST(sum(CASE WHEN g.ending THEN 1 ELSE 0 END) AS {big}) AS ending
         FROM grams GROUP BY field, g.c, g.w
     ),
-    lengths AS (SELECT field, closed, n, CAST(count(*) AS {big}) AS k FROM bared GROUP BY field, closed, n),
+    tails AS (
+        SELECT src_table, rec_id, field, origin, beginning, same, CAST(length(text) AS {integer}) AS n, {tail} AS tail,
+               {bare_tail} AS bare, {words(bare_tail)} AS ws, {d.like(tail, CLOSED)} AS closed
+        FROM texts
+    ),
+    lengths AS (
+        SELECT field, {d.like(tail, CLOSED)} AS closed, CAST(length(text) AS {integer}) AS n, CAST(count(*) AS {big}) AS k
+        FROM texts GROUP BY 1, 2, 3
+    ),
     around AS (
         SELECT field, closed, n, k,
                sum(k) OVER (PARTITION BY field, closed ORDER BY n RANGE BETWEEN 15 PRECEDING AND 4 PRECEDING) AS below,
@@ -140,13 +153,13 @@ def judged_sql(spark: bool = True) -> str:
           AND k >= {LIMIT_RATIO} * greatest(coalesce(below, 0), coalesce(above, 0)) / 12.0
     ),
     finals AS (
-        SELECT src_table, rec_id, field, origin, text, beginning, same, n, closed, bare <> rtrim(text) AS marked,
-               {d.like("text", rf"(?i){SURE_MARK}" + r"\s*\z")} AS sure,
-               {d.like("text", "(?i)" + BROKEN_MARKUP)} AS broken,
+        SELECT src_table, rec_id, field, origin, beginning, same, n, closed, bare <> rtrim(tail) AS marked,
+               {d.like("tail", rf"(?i){SURE_MARK}" + r"\s*\z")} AS sure,
+               {d.like("tail", "(?i)" + BROKEN_MARKUP)} AS broken,
                {d.like("bare", CLOSED)} AS bare_closed,
                CASE WHEN {size} >= 3 THEN {d.digest(d.item("ws", size + " - 2"), d.item("ws", size + " - 1"))} END AS c,
                {last} AS w
-        FROM tokens
+        FROM tails
     ),
     wanted AS (SELECT DISTINCT field, c, w FROM finals WHERE c IS NOT NULL),
     known AS (
@@ -183,10 +196,12 @@ def found_sql(spark: bool = True) -> str:
 
 def rates_sql(spark: bool = True) -> str:
     return f"""
-    SELECT src_table, field, origin, CAST(count(*) AS bigint) AS n_texts,
-           CAST(sum(CASE WHEN cut THEN 1 ELSE 0 END) AS bigint) AS n_cut,
-           round(sum(CASE WHEN cut THEN 1.0 ELSE 0.0 END) / count(*), 6) AS cut_share
-    FROM ({judged_sql(spark)}) AS j GROUP BY src_table, field, origin
+    SELECT src_table, field, origin, CAST(count(*) AS bigint) AS n_texts, CAST(sum(cut) AS bigint) AS n_cut,
+           round(CAST(sum(cut) AS double) / count(*), 6) AS cut_share
+    FROM (
+        SELECT src_table, field, origin, rec_id, max(CASE WHEN cut THEN 1 ELSE 0 END) AS cut
+        FROM ({judged_sql(spark)}) AS j GROUP BY src_table, field, origin, rec_id
+    ) AS r GROUP BY src_table, field, origin
     """
 
 
