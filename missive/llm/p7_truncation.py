@@ -37,8 +37,9 @@ WHOLE_TERMINAL_MOST = 0.03
 LIMIT_LEAST = 6
 LIMIT_RATIO = 5.0
 
-#: Marks and last words are read from so many last characters.
-TAIL = 240
+#: Last words are read from so many last characters, marks from so many.
+TAIL = 160
+MARK_TAIL = 40
 
 # Marks that stand for text left out, by how sure a sign they are.
 SURE_MARK = r"((\.\.\.|…) ?(more|mehr|suite|más)|\[(\.\.\.|…)\]|\((more|mehr|suite|más)\)|read more|weiterlesen|lire la suite|leer más|mehr lesen|continue reading)"
@@ -79,14 +80,16 @@ class _Dialect:
 
     def explode_trigrams(self) -> str:
         if self.spark:
+            # Three shifted copies side by side stay in generated code, unlike a lambda.
             return (
-                "SELECT field, explode(transform(sequence(3, size(ws)), i -> struct("
-                "xxhash64(ws[i - 3], ws[i - 2]) AS c, rtrim('¶', ws[i - 1]) AS w, "
-                "(i = size(ws) OR endswith(ws[i - 1], '¶')) AS ending))) AS g FROM tokens WHERE size(ws) >= 3"
+                "SELECT field, g.`0` AS a, g.`1` AS b, g.`2` AS w FROM (SELECT field, explode(arrays_zip("
+                "slice(ws, 1, size(ws) - 2), slice(ws, 2, size(ws) - 2), "
+                "concat(slice(ws, 3, size(ws) - 3), array(concat(element_at(ws, size(ws)), '¶'))))) AS g "
+                "FROM tokens WHERE size(ws) >= 3) AS z"
             )
         return (
-            "SELECT field, unnest(list_transform(range(3, len(ws) + 1), lambda i: {'c': hash(ws[i - 2], ws[i - 1]), "
-            "'w': rtrim(ws[i], '¶'), 'ending': i = len(ws) OR ends_with(ws[i], '¶')})) AS g FROM tokens WHERE len(ws) >= 3"
+            "SELECT field, g.a AS a, g.b AS b, g.w AS w FROM (SELECT field, unnest(list_transform(range(3, len(ws) + 1), lambda i: {'a': ws[i - 2], 'b': ws[i - 1], "
+            "'w': CASE WHEN i = len(ws) THEN ws[i] || '¶' ELSE ws[i] END})) AS g FROM tokens WHERE len(ws) >= 3) AS z"
         )
 
 
@@ -114,31 +117,37 @@ def judged_sql(spark: bool = True) -> str:
     mark = rf"(?i)\s*({SURE_MARK}|{STYLE_MARK})\s*\z"
 
     def words(value: str) -> str:
-        return d.words(d.sub("trim(" + d.sub(d.sub(f"lower({value})", "[0-9]+", "0"), r"\s*\n\s*", "¶ ") + ")", r"\s+", " "))
+        # Digits alike, tabs to blanks, line ends kept as a mark on the word before.
+        flat = f"translate(trim(lower({value})), concat('123456789', chr(9), chr(13)), '000000000 ')"
+        return d.words(d.sub(flat, r"\n+", "¶ "))
 
     # Marks and last words are looked for in the tail only.
-    tail = f"right(text, {TAIL})"
-    bare_tail = d.sub(f"rtrim({tail})", mark, "")
-    bare = f"concat(substr(text, 1, greatest(length(text) - {TAIL}, 0)), {bare_tail})"
+    end = f"right(text, {MARK_TAIL})"
+    bare_end = d.sub(d.sub(end, mark, ""), r"\s+\z", "")
+    bare = f"concat(substr(text, 1, greatest(length(text) - {MARK_TAIL}, 0)), {bare_end})"
+    bare_tail = f"concat(substr(right(text, {TAIL}), 1, greatest(least(length(text), {TAIL}) - {MARK_TAIL}, 0)), {bare_end})"
     size = d.size("ws")
     last = d.item("ws", size)
+    trimmed = "rtrim('¶', w)" if spark else "rtrim(w, '¶')"
+    ending = "endswith(w, '¶')" if spark else "ends_with(w, '¶')"
     texts = texts_sql(d) if spark else texts_sql(d).replace("AS string", "AS VARCHAR")
     return f"""
     WITH texts AS ({texts}),
     tokens AS (SELECT field, {words(bare)} AS ws FROM texts),
     grams AS ({d.explode_trigrams()}),
     counts AS (
-        SELECT field, g.c AS c, g.w AS w, CAST(sum(CASE WHEN g.ending THEN 0 ELSE 1 END) AS {big}) AS inside,
-               CAST(sum(CASE WHEN g.ending THEN 1 ELSE 0 END) AS {big}) AS ending
-        FROM grams GROUP BY field, g.c, g.w
+        SELECT field, c, {trimmed} AS w, CAST(sum(CASE WHEN {ending} THEN 0 ELSE n END) AS {big}) AS inside,
+               CAST(sum(CASE WHEN {ending} THEN n ELSE 0 END) AS {big}) AS ending
+        FROM (SELECT field, {d.digest("a", "b")} AS c, w, count(*) AS n FROM grams GROUP BY 1, 2, 3) AS g
+        GROUP BY 1, 2, 3
     ),
     tails AS (
-        SELECT src_table, rec_id, field, origin, beginning, same, CAST(length(text) AS {integer}) AS n, {tail} AS tail,
-               {bare_tail} AS bare, {words(bare_tail)} AS ws, {d.like(tail, CLOSED)} AS closed
+        SELECT src_table, rec_id, field, origin, beginning, same, CAST(length(text) AS {integer}) AS n, {end} AS tail,
+               {bare_end} AS bare, {words(bare_tail)} AS ws, {d.like(end, CLOSED)} AS closed
         FROM texts
     ),
     lengths AS (
-        SELECT field, {d.like(tail, CLOSED)} AS closed, CAST(length(text) AS {integer}) AS n, CAST(count(*) AS {big}) AS k
+        SELECT field, {d.like(end, CLOSED)} AS closed, CAST(length(text) AS {integer}) AS n, CAST(count(*) AS {big}) AS k
         FROM texts GROUP BY 1, 2, 3
     ),
     around AS (
@@ -153,7 +162,7 @@ def judged_sql(spark: bool = True) -> str:
           AND k >= {LIMIT_RATIO} * greatest(coalesce(below, 0), coalesce(above, 0)) / 12.0
     ),
     finals AS (
-        SELECT src_table, rec_id, field, origin, beginning, same, n, closed, bare <> rtrim(tail) AS marked,
+        SELECT src_table, rec_id, field, origin, beginning, same, n, closed, {d.like("tail", mark)} AS marked,
                {d.like("tail", rf"(?i){SURE_MARK}" + r"\s*\z")} AS sure,
                {d.like("tail", "(?i)" + BROKEN_MARKUP)} AS broken,
                {d.like("bare", CLOSED)} AS bare_closed,
