@@ -140,6 +140,7 @@ def _p() -> dict:
         ],
         "postcode": c(r"\d{5}\b|[A-Z]{1,2}\d[\dA-Z]?\s?\d[A-Z]{2}$"),
         "split": c(r"[\W\d_]+"),
+        "skip": c(r"[\s.,!>|»*\-–_~]*"),
         "digit": c(r"\d"),
         "capital": c(r"[A-ZÀ-ÖØ-ÞŠŽŁĐ](?<![^\W_].)[^\W\d_]*(?:['’\-][^\W\d_]+)*"),
         "left_cue": c(rf"(?i)(?<!\w){LEFT_CUE}[\s.,:>|»*\"(!\-]*$"),
@@ -195,13 +196,13 @@ class Labeler:
     def __init__(self, first: frozenset[str], last: frozenset[str]):
         self.first, self.last = first, last
         self.known: dict[str, str] = {}
-        self.automaton = None
-        if first or last:
-            self.automaton = ahocorasick.Automaton()
-            for w in {*first, *last}:
-                if len(w) > 2:
-                    self.automaton.add_word(w, len(w))
-            self.automaton.make_automaton()
+        self.automaton = ahocorasick.Automaton()
+        known = {w for w in {*first, *last} if len(w) > 2}
+        for w in known | NAME_OPENERS | {"--", "__", "~~"}:
+            # 0: a name, 1: an opener, 2: both.
+            opens = w in NAME_OPENERS or not w[0].isalpha()
+            self.automaton.add_word(w, (len(w), (2 if w in known else 1) if opens else 0))
+        self.automaton.make_automaton()
 
     def _last(self, word: str) -> bool:
         if word in self.last:
@@ -292,36 +293,68 @@ class Labeler:
                     continue
                 add("phone", a, b, strict, s[0] in "+(0" or digits in (10, 11), bool(p["phone_cue"].search(before)),
                     bool(p["code_cue"].search(before)) and not p["phone_cue"].search(before))
-        self._names(text, p, taken, add, free)
+        self._names(text, low, p, taken, add, free)
         return out
 
-    def _names(self, text, p, taken, add, free) -> None:
-        # Capitalised words, and lower-case ones of the gazetteer.
-        words = [(m.group(), m.start(), m.end()) for m in p["capital"].finditer(text)]
-        small = [(end - n + 1, end + 1) for end, n in self.automaton.iter(text if text.isascii() else text.translate(_ACCENTS))] if self.automaton is not None else []
-        if small:
-            whole, size = {}, len(text)
-            for a, b in small:
-                while a and (text[a - 1].isalpha() or text[a - 1] in "'’-"):
-                    a -= 1
-                while b < size and (text[b].isalpha() or (text[b] in "'’-" and text[b + 1 : b + 2].isalpha())):
-                    b += 1
-                if text[a].islower() and not (a and text[a - 1] in "@._+0123456789") and not (b < size and text[b] in "@_+0123456789"):
-                    whole[a] = b
-            if len(whole) > 1:
-                words = sorted([*words, *((text[a:b], a, b) for a, b in whole.items())], key=lambda x: x[1])
-        if not words:
+    def _names(self, text, low, p, taken, add, free) -> None:
+        # Only words at gazetteer or opener hits, and their neighbours, are looked at.
+        if len(low) != len(text):
+            low = text
+        size, capital = len(text), p["capital"]
+        spots: dict[int, int] = {}
+        after: list[int] = []
+        for end, (length, opens) in self.automaton.iter(low):
+            a, b = end - length + 1, end + 1
+            if opens:
+                if not (a and low[a - 1].isalnum()) and not (b < size and low[b].isalnum()):
+                    after.append(b)
+                if opens == 1:
+                    continue
+            while a and (low[a - 1].isalpha() or low[a - 1] in "'’-"):
+                a -= 1
+            while b < size and (low[b].isalpha() or (low[b] in "'’-" and low[b + 1 : b + 2].isalpha())):
+                b += 1
+            if low[a] in "'’-":
+                a += 1
+            if b - a != length and not ("-" in low[a:b] or "'" in low[a:b] or "’" in low[a:b]):
+                continue
+            if (a and text[a - 1] in "@._+0123456789" and text[a].islower()) or (b < size and text[b] in "@_+0123456789"):
+                continue
+            spots[a] = b
+        for b in after:
+            # What a greeting, form of address or closing phrase opens.
+            m = p["skip"].match(text, b)
+            w = capital.match(text, m.end())
+            if w:
+                spots.setdefault(w.start(), w.end())
+        if not spots:
             return
+        for a, b in list(spots.items()):
+            # Initials before, and a capitalised word or initial behind.
+            if a > 2 and text[a - 1] == " " and text[a - 2] == "." and text[a - 3].isupper() and not (a > 3 and text[a - 4].isalnum()):
+                spots.setdefault(a - 3, a - 2)
+            step = b
+            for _ in range(2):
+                if step < size and text[step] in " \n" or text[step : step + 2] in (", ", ". "):
+                    w = capital.match(text, step + (2 if text[step] in ",." else 1))
+                    if not w:
+                        break
+                    spots.setdefault(w.start(), w.end())
+                    step = w.end() + (text[w.end() : w.end() + 1] == ".")
+                else:
+                    break
+        words = [(text[a:b], a, b) for a, b in sorted(spots.items())]
         kinds = [self._class(w) for w, _, _ in words]
         marks = sorted(taken)
-        k = 0
-        for x, (w, a, b) in enumerate(words):
-            if k == len(marks):
-                break
-            while k < len(marks) and marks[k][1] <= a:
-                k += 1
-            if k < len(marks) and marks[k][0] < b:
-                kinds[x] = "-"
+        if marks:
+            k = 0
+            for x, (w, a, b) in enumerate(words):
+                while k < len(marks) and marks[k][1] <= a:
+                    k += 1
+                if k == len(marks):
+                    break
+                if marks[k][0] < b:
+                    kinds[x] = "-"
         n, i = len(words), 0
         for x, kind in enumerate(kinds):
             if kind == "I" and text[words[x][2] : words[x][2] + 1] != ".":
@@ -435,12 +468,15 @@ def gazetteer(message: DataFrame, outreach: DataFrame) -> tuple[frozenset[str],
         .orderBy(F.desc("n"), "word", "first").limit(GAZETTEER_MOST).collect()
     )
     count: dict[str, list[int]] = {}
+    raw: dict[str, set[str]] = {}
     for r in rows:
+        raw.setdefault(fold(r.word), set()).add(r.word)
         count.setdefault(fold(r.word), [0, 0])[0 if r.first else 1] += r.n
     first = frozenset(w for w, (f, l) in count.items() if f >= max(1, l / 4))
     last = {w for w, (f, l) in count.items() if l >= max(1, f / 4)}
-    last |= {x for w in last for x in re.split(r"['’\-]", w) if len(x) > 2}
-    return first, frozenset(last)
+    # As written, with accents, as well as folded.
+    spelt = lambda words: frozenset(x for w in words for v in {w, *raw.get(w, ())} for x in {v, *re.split(r"['’\-]", v)} if len(x) > 2)
+    return spelt(first), spelt(last)
 
 
 _SPAN = StructType(
