@@ -640,6 +640,84 @@ def _oldest(spark, d):
         out = out.unionByName(p)
     return out.agg(F.min("s").alias("oldest_s"))
 
+# -- lists and facets ------------------------------------------------------------
+@query(
+    "matches_search",
+    """SELECT id, score FROM job WHERE score >= 0.3 AND duplicate_of IS NULL AND (lower(coalesce(title, '')) LIKE '%engineer%' OR lower(coalesce(company, '')) LIKE '%engineer%'
+    OR lower(coalesce(location, '')) LIKE '%engineer%') ORDER BY score DESC, received_at DESC, id LIMIT 300""",
+)
+def _matches_search(spark, d):
+    """The 300 best postings of a search: a top-k report."""
+    from missive.operators import facets
+
+    return facets.matches(table(spark, d, "job"), needle="Engineer", least=0.3, duplicates=False, sort="score").select("id", "score")
+
+
+@query(
+    "mail_facets",
+    """SELECT 'jobs' AS facet, CAST(count(DISTINCT id) AS bigint) AS n FROM message WHERE id IN (SELECT message_id FROM job)
+    UNION ALL SELECT 'norows', CAST(count(DISTINCT id) AS bigint) FROM message WHERE category = 'job_alert' AND id NOT IN (SELECT message_id FROM job WHERE message_id IS NOT NULL)
+    UNION ALL SELECT 'unstored', CAST(count(DISTINCT id) AS bigint) FROM message WHERE jobs_found > 0 AND id NOT IN (SELECT message_id FROM job WHERE message_id IS NOT NULL)
+    UNION ALL SELECT 'followups', CAST(count(DISTINCT id) AS bigint) FROM message WHERE id IN (SELECT message_id FROM outreach)
+    UNION ALL SELECT 'other', CAST(count(DISTINCT id) AS bigint) FROM message WHERE category = 'other'""",
+)
+def _mail_facets(spark, d):
+    from missive.operators import facets
+
+    mails, jobs, outreach = (table(spark, d, n) for n in ("message", "job", "outreach"))
+    mails = mails.select("id", "category", "jobs_found")
+    parts = [
+        facets.facet(mails, jobs, outreach, k).agg(F.countDistinct("id").alias("n")).select(F.lit(k).alias("facet"), "n")
+        for k in ("jobs", "norows", "unstored", "followups", "other")
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(
+    "miss_tags",
+    """SELECT id, array_to_string(list_filter([CASE WHEN length(coalesce(description, '')) < 40 THEN 'empty' END, CASE WHEN length(coalesce(description, '')) < 250 THEN 'thin' END,
+    CASE WHEN coalesce(company, '') = '' THEN 'no_company' END, CASE WHEN coalesce(title, '') = '' THEN 'no_title' END], lambda x: x IS NOT NULL), ',') AS tags FROM job""",
+)
+def _miss_tags(spark, d):
+    from missive.operators import facets
+
+    size = F.length(F.coalesce("description", F.lit("")))
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    tags = facets.tags(empty=size < 40, thin=size < 250, no_company=blank("company"), no_title=blank("title"))
+    return table(spark, d, "job").select("id", F.array_join(tags, ",").alias("tags"))
+
+
+@query("day_labels", f"SELECT event_id, strftime(timezone('{ZONE}', timezone('UTC', ts)), '%A, %b %d') AS day FROM events")
+def _day_labels(spark, d):
+    from missive.functions import times
+
+    return table(spark, d, "events").select("event_id", times.day_label(F.col("ts"), ZONE).alias("day"))
+
+
+@query(
+    "real_dates",
+    "SELECT id, CAST(TRY_CAST(CASE WHEN regexp_matches(posted_at, '^\\d{4}-\\d{2}-\\d{2}$') THEN posted_at END AS date) AS varchar) AS day FROM job",
+)
+def _real_dates(spark, d):
+    shaped = F.when(F.col("posted_at").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("posted_at"))
+    return table(spark, d, "job").select("id", F.date_format(F.try_to_timestamp(shaped, F.lit("yyyy-MM-dd")), "yyyy-MM-dd").alias("day"))
+
+
+@query(
+    "board_fields",
+    "SELECT id, coalesce(trim(title), '') AS title, coalesce(trim(company), '') AS company, coalesce(trim(location), '') AS location FROM job",
+)
+def _board_fields(spark, d):
+    """Postings packed as one board's JSON and read back: a round trip."""
+    from missive.functions import boards
+
+    payload = F.to_json(F.struct("title", F.col("company").alias("company_name"), F.struct(F.col("location").alias("name")).alias("location")))
+    rows = table(spark, d, "job").select("id", boards.board_fields(F.lit("greenhouse"), payload).alias("b"))
+    return rows.select("id", F.trim("b.title").alias("title"), F.trim("b.company").alias("company"), F.trim("b.location").alias("location"))
+
 
 def queries() -> dict[str, Query]:
     from missive.streaming import queries as streams
