@@ -419,9 +419,9 @@ _NOW = "(SELECT max(last_event_at) FROM application)"
 )
 def _stale(spark, d):
     apps = table(spark, d, "application")
-    now = apps.agg(F.max("last_event_at").alias("now"))
-    # One aggregate row beside each application.
-    return apps.where("NOT closed").join(F.broadcast(now), F.expr("last_event_at < now - INTERVAL 14 DAYS")).select("id", "company", "role")
+    # A scalar subquery, evaluated once.
+    now = apps.agg(F.max("last_event_at").alias("now")).scalar()
+    return apps.where("NOT closed").where(F.col("last_event_at") < now - F.expr("INTERVAL 14 DAYS")).select("id", "company", "role")
 
 
 @query(
