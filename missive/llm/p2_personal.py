@@ -104,7 +104,6 @@ def _p() -> dict:
     town = r"[A-ZÄÖÜÉ][\w'’\-]+(?: [A-ZÄÖÜÉ][\w'’\-]+){0,2}"
     code = r"(?:,?\s+[A-Z]{2},?\s+\d{5}(?:-\d{4})?|,?\s+[A-Z]{1,2}\d[\dA-Z]?\s?\d[A-Z]{2})"
     return {
-        "at": c(r" @ |\s?(?:@|\[at\]|\(at\))\s?", re.I),
         "mailbox": c(r"(?<![\w.+\-])[\w+\-][\w.+\-]*$"),
         "domain": c(r"[\w\-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[\w\-]+)+", re.I),
         "url": c(r"https?://\S+|www\.\S+"),
@@ -240,18 +239,32 @@ class Labeler:
             taken.append((a, b))
 
         low = text.lower()
+        if len(low) != len(text):
+            low = text
         if "@" in text or "at]" in low or "at)" in low:
-            for m in p["at"].finditer(text):
-                box = p["mailbox"].search(text, max(0, m.start() - 80), m.start())
-                host = p["domain"].match(text, m.end())
-                if box and host and free(box.start(), host.end()):
-                    end = host.group()
-                    add("email", box.start(), host.end(), "@" in m.group(), end.isascii(), True, " " not in m.group())
+            for mark in ("@", "[at]", "(at)"):
+                at = low.find(mark)
+                while at >= 0:
+                    left = at - 1 if at and text[at - 1].isspace() else at
+                    right = at + len(mark)
+                    right += right < len(text) and text[right].isspace()
+                    box = p["mailbox"].search(text, max(0, left - 80), left)
+                    host = box and p["domain"].match(text, right)
+                    if host and free(box.start(), host.end()):
+                        end = host.group()
+                        add("email", box.start(), host.end(), mark == "@", end.isascii(), True, right - left == len(mark))
+                    at = low.find(mark, at + len(mark))
         if "://" in text or "www." in low:
             taken += [m.span() for m in p["url"].finditer(text) if free(*m.span())]
         if p["digit"].search(text):
             flat_low = low.replace("\n", " ")
-            for m in p["id"].finditer(text) if any(h in flat_low for h in ID_HINTS) else ():
+            near: set[int] = set()
+            for h in ID_HINTS:
+                at = flat_low.find(h)
+                while at >= 0:
+                    near.add(at)
+                    at = flat_low.find(h, at + len(h))
+            for m in (m for at in sorted(near) for m in p["id"].finditer(text, max(0, at - 30), min(len(text), at + 110))):
                 a, b = m.span(1)
                 s = m.group(1)
                 k = p["id_shape"].match(s)
@@ -298,8 +311,6 @@ class Labeler:
 
     def _names(self, text, low, p, taken, add, free) -> None:
         # Only words at gazetteer or opener hits, and their neighbours, are looked at.
-        if len(low) != len(text):
-            low = text
         size, capital = len(text), p["capital"]
         spots: dict[int, int] = {}
         after: list[int] = []
