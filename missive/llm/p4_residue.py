@@ -205,8 +205,11 @@ def line_digests(text: Column) -> Column:
     return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(F.trim(x))))
 
 
-def residue(records: DataFrame) -> DataFrame:
-    """Cases among ``records``(src_table, rec_id, host, description): rows src_table, rec_id."""
+def residue(records: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Cases among ``records``(src_table, rec_id, host, description): rows src_table, rec_id.
+
+    With ``asked``(rec_id) only those records are judged; lines are counted over all.
+    """
     records = records.select("src_table", "rec_id", F.coalesce("host", F.lit("")).alias("host"), "description").where(
         F.length(F.trim("description")) > 0
     )
@@ -220,7 +223,8 @@ def residue(records: DataFrame) -> DataFrame:
     boilerplate = (
         counted.join(per_host, "host").where(F.col("n") >= BOILERPLATE_SHARE * F.col("n_records")).select("host", "digest")
     )
-    seen = durable(records.withColumn("evidence", _evidence(F.col("description"))).where(F.size("evidence") > 0))
+    judged = records if asked is None else records.join(asked.select("rec_id"), "rec_id", "left_semi")
+    seen = durable(judged.withColumn("evidence", _evidence(F.col("description"))).where(F.size("evidence") > 0))
     # Filler and slots decide at once; notices only if hardly anything else is there.
     unfinished = F.exists("evidence", lambda e: e["unfinished"])
     open_case = seen.where(unfinished).select("src_table", "rec_id")

@@ -68,12 +68,13 @@ def _real_date(value: Column) -> Column:
     return F.when(shaped & ~value.isin(*DEFAULT_DATES), F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).cast("date"))
 
 
-def candidates(job: DataFrame, bad_descriptions: DataFrame, trust: DataFrame) -> DataFrame:
+def candidates(job: DataFrame, bad_descriptions: DataFrame, trust: DataFrame, member: DataFrame | None = None) -> DataFrame:
     """Usable values of grouped rows: root_id, field, job_id, value, trust_rank, received_at.
 
-    ``bad_descriptions``: ids whose description is no posting or was cut.
+    ``bad_descriptions``: ids whose description is no posting or was cut;
+    ``member``: the groups, if they are at hand.
     """
-    member = groups(job).withColumnRenamed("id", "job_id")
+    member = (groups(job) if member is None else member).withColumnRenamed("id", "job_id")
     ranks = trust.groupBy("source").agg(F.min("trust_rank").alias("trust_rank"))
     rows = (
         job.select(F.col("id").alias("job_id"), "source", "received_at", *FIELDS)
@@ -180,11 +181,11 @@ def prefer(values: DataFrame) -> DataFrame:
     return values.groupBy("root_id", "field").agg(F.min(order).alias("first")).select("root_id", "field", "first.job_id")
 
 
-def found(job: DataFrame, bad_descriptions: DataFrame, trust: DataFrame) -> DataFrame:
-    return prefer(candidates(job, bad_descriptions, trust))
+def found(job: DataFrame, bad_descriptions: DataFrame, trust: DataFrame, member: DataFrame | None = None) -> DataFrame:
+    return prefer(candidates(job, bad_descriptions, trust, member))
 
 
-def merged(job: DataFrame, bad_descriptions: DataFrame, trust: DataFrame) -> DataFrame:
+def merged(job: DataFrame, bad_descriptions: DataFrame, trust: DataFrame, member: DataFrame | None = None) -> DataFrame:
     """Survivors by consensus, weighted by trust: root_id, field, job_id."""
     weight = 1 / F.sqrt(F.coalesce(F.col("trust_rank").cast("double"), F.lit(1000.0)))
-    return consensus(candidates(job, bad_descriptions, trust), weight)
+    return consensus(candidates(job, bad_descriptions, trust, member), weight)

@@ -110,8 +110,12 @@ def texts_sql(d: _Dialect) -> str:
     """
 
 
-def judged_sql(spark: bool = True) -> str:
-    """Every value with ``cut``: src_table, rec_id, field, origin, cut."""
+def judged_sql(spark: bool = True, asked: bool = False) -> str:
+    """Every value with ``cut``: src_table, rec_id, field, origin, cut.
+
+    With ``asked`` only the records of the view ``asked``(rec_id) are judged;
+    counts and limits are over all values either way.
+    """
     d = _Dialect(spark)
     big, integer = "bigint", "int"
     mark = rf"(?i)\s*({SURE_MARK}|{STYLE_MARK})\s*\z"
@@ -144,7 +148,7 @@ def judged_sql(spark: bool = True) -> str:
     tails AS (
         SELECT src_table, rec_id, field, origin, beginning, same, CAST(length(text) AS {integer}) AS n, {end} AS tail,
                {bare_end} AS bare, {words(bare_tail)} AS ws, {d.like(end, CLOSED)} AS closed
-        FROM texts
+        FROM texts{" WHERE rec_id IN (SELECT rec_id FROM asked)" if asked else ""}
     ),
     lengths AS (
         SELECT field, {d.like(end, CLOSED)} AS closed, CAST(length(text) AS {integer}) AS n, CAST(count(*) AS {big}) AS k
@@ -199,8 +203,8 @@ def judged_sql(spark: bool = True) -> str:
     """
 
 
-def found_sql(spark: bool = True) -> str:
-    return f"SELECT DISTINCT src_table, rec_id, field FROM ({judged_sql(spark)}) AS j WHERE cut"
+def found_sql(spark: bool = True, asked: bool = False) -> str:
+    return f"SELECT DISTINCT src_table, rec_id, field FROM ({judged_sql(spark, asked)}) AS j WHERE cut"
 
 
 def rates_sql(spark: bool = True) -> str:
@@ -214,13 +218,15 @@ def rates_sql(spark: bool = True) -> str:
     """
 
 
-def cut_descriptions(job: DataFrame) -> DataFrame:
-    """Ids of the rows of ``job`` whose description was cut."""
+def cut_descriptions(job: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of ``ids``(id) whose description in ``job`` was cut."""
     job.createOrReplaceTempView("job")
+    ids.selectExpr("CAST(id AS string) AS rec_id").createOrReplaceTempView("asked")
     job.sparkSession.range(0).selectExpr(
         "'' AS id", "'' AS sender_email", "'' AS summary", "'' AS reason", "'' AS body_text"
     ).createOrReplaceTempView("message")
-    return job.sparkSession.sql(found_sql()).where("src_table = 'job'").selectExpr("try_cast(rec_id AS bigint) AS id")
+    cut = job.sparkSession.sql(found_sql(asked=True))
+    return cut.where("src_table = 'job'").selectExpr("try_cast(rec_id AS bigint) AS id")
 
 
 def found(job: DataFrame, message: DataFrame) -> DataFrame:

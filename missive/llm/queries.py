@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from missive.llm import p1_new_text, p2_personal, p3_main_text, p4_residue, p5_entities, p6_survivor, p7_truncation
 from missive.llm import p8_encode, p9_pack, p10_canonical
-from missive.runtime import table
+from missive.runtime import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,19 +57,22 @@ def _p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return linked.join(least, "cluster").select("name", "entity", "n_spellings")
 
 
-def _bad_descriptions(job: DataFrame) -> DataFrame:
-    residue = p4_residue.residue(p4_residue.job_records(job)).select(F.col("rec_id").try_cast("bigint").alias("id"))
-    return residue.unionByName(p7_truncation.cut_descriptions(job))
+def _grouped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """job, ids of unusable descriptions, trust and groups; only grouped rows are judged."""
+    job = table(spark, d, "job")
+    member = durable(p6_survivor.groups(job))
+    ids = member.select("id")
+    asked = ids.select(F.col("id").cast("string").alias("rec_id"))
+    residue = p4_residue.residue(p4_residue.job_records(job), asked).select(F.col("rec_id").try_cast("bigint").alias("id"))
+    return job, residue.unionByName(p7_truncation.cut_descriptions(job, ids)), table(spark, d, "source_trust"), member
 
 
 def _p6_found(spark: SparkSession, d: str) -> DataFrame:
-    job = table(spark, d, "job")
-    return p6_survivor.found(job, _bad_descriptions(job), table(spark, d, "source_trust"))
+    return p6_survivor.found(*_grouped(spark, d))
 
 
 def _p6_consensus(spark: SparkSession, d: str) -> DataFrame:
-    job = table(spark, d, "job")
-    return p6_survivor.merged(job, _bad_descriptions(job), table(spark, d, "source_trust"))
+    return p6_survivor.merged(*_grouped(spark, d))
 
 
 def _p7_found(spark: SparkSession, d: str) -> DataFrame:
