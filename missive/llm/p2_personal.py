@@ -180,15 +180,16 @@ def _features(kind: str, votes: int, text: str, a: int, b: int) -> tuple[int, ..
         shape = "U" if text[a:b].isupper() else "l" if text[a].islower() else "T"
     else:
         shape = _REPEAT.sub(r"\1", text[a : min(b, a + 40)].translate(_SHAPES))
-    return (
-        *_vote_features(kind, votes),
-        _hashed(f"{kind}|s|{shape}"),
-        _hashed(f"{kind}|l|{left[-1].lower() if left else '^'}"),
-        _hashed(f"{kind}|r|{right[0].lower() if right else '$'}"),
-        _hashed(f"{kind}|n|{min((b - a) // 4, 8)}"),
+    return _vote_features(kind, votes) + _word_features(
+        kind, shape, left[-1].lower() if left else "^", right[0].lower() if right else "$", min((b - a) // 4, 8)
     )
 
 
+@lru_cache(maxsize=100_000)
+def _word_features(kind: str, shape: str, left: str, right: str, size: int) -> tuple[int, ...]:
+    return (_hashed(f"{kind}|s|{shape}"), _hashed(f"{kind}|l|{left}"), _hashed(f"{kind}|r|{right}"), _hashed(f"{kind}|n|{size}"))
+
+
 class Labeler:
     """Candidate spans with their votes; one per Python worker."""
 
@@ -231,10 +232,17 @@ class Labeler:
         taken: list[tuple[int, int]] = []
 
         def free(a: int, b: int) -> bool:
-            return all(b <= x or a >= y for x, y in taken)
+            for x, y in taken:
+                if a < y and x < b:
+                    return False
+            return True
 
         def add(kind: str, a: int, b: int, *votes: bool) -> None:
-            bits = sum(1 << i for i, v in enumerate(votes) if v)
+            bits, bit = 0, 1
+            for v in votes:
+                if v:
+                    bits |= bit
+                bit <<= 1
             out.append((kind, a, b, bits, _features(kind, bits, text, a, b)))
             taken.append((a, b))
 
