@@ -68,34 +68,44 @@ def _real_date(value: Column) -> Column:
     return F.when(shaped & ~value.isin(*DEFAULT_DATES), F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).cast("date"))
 
 
-def candidates(job: DataFrame, bad_descriptions: DataFrame, trust: DataFrame, member: DataFrame | None = None) -> DataFrame:
+def candidates(
+    job: DataFrame, bad_descriptions: DataFrame, trust: DataFrame, member: DataFrame | None = None, texts: bool = True
+) -> DataFrame:
     """Usable values of grouped rows: root_id, field, job_id, value, trust_rank, received_at.
 
+    Without ``texts`` the value is null, and no text is shuffled.
+
     ``bad_descriptions``: ids whose description is no posting or was cut;
     ``member``: the groups, if they are at hand.
     """
     member = (groups(job) if member is None else member).withColumnRenamed("id", "job_id")
     ranks = trust.groupBy("source").agg(F.min("trust_rank").alias("trust_rank"))
-    rows = (
-        job.select(F.col("id").alias("job_id"), "source", "received_at", *FIELDS)
-        .join(member, "job_id")
-        .join(ranks, "source", "left")
-        .join(bad_descriptions.select(F.col("id").alias("job_id"), F.lit(True).alias("bad")).distinct(), "job_id", "left")
-    )
     posted = _real_date(F.col("posted_at"))
     usable = {
-        "description": F.col("description").rlike(r"\S") & F.col("bad").isNull(),
+        "description": F.col("description").rlike(r"\S"),
         "salary": F.col("salary").rlike(r"[1-9]"),
         "posted_at": posted.isNotNull() & (posted <= F.to_date("received_at")),
         "scrape_status": F.col("scrape_status") == "ok",
     }
+    # What a value is worth is settled before the joins, so that they move flags.
+    rows = (
+        job.select(
+            F.col("id").alias("job_id"), "source", "received_at", *(ok.alias(f"ok_{f}") for f, ok in usable.items()),
+            *(FIELDS if texts else ()),
+        )
+        .join(member, "job_id")
+        .join(ranks, "source", "left")
+        .join(bad_descriptions.select(F.col("id").alias("job_id"), F.lit(True).alias("bad")).distinct(), "job_id", "left")
+        .withColumn("ok_description", F.col("ok_description") & F.col("bad").isNull())
+    )
+    value = lambda f: F.col(f) if texts else F.lit(None).cast("string")
     entries = F.array(
-        *(F.struct(F.lit(f).alias("field"), F.when(ok, F.col(f)).alias("value")) for f, ok in usable.items())
+        *(F.struct(F.lit(f).alias("field"), F.col(f"ok_{f}").alias("ok"), value(f).alias("value")) for f in FIELDS)
     )
     return (
         rows.select("root_id", "job_id", "trust_rank", "received_at", F.explode(entries).alias("e"))
         .select("root_id", "job_id", "trust_rank", "received_at", "e.*")
-        .where(F.col("value").isNotNull())
+        .where("ok").drop("ok")
     )
 
 
@@ -182,7 +192,7 @@ def prefer(values: DataFrame) -> DataFrame:
 
 
 def found(job: DataFrame, bad_descriptions: DataFrame, trust: DataFrame, member: DataFrame | None = None) -> DataFrame:
-    return prefer(candidates(job, bad_descriptions, trust, member))
+    return prefer(candidates(job, bad_descriptions, trust, member, texts=False))
 
 
 def merged(job: DataFrame, bad_descriptions: DataFrame, trust: DataFrame, member: DataFrame | None = None) -> DataFrame:

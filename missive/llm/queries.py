@@ -58,12 +58,11 @@ def _p5_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grouped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """job, ids of unusable descriptions, trust and groups; only grouped rows are judged."""
+    """job, ids of unusable descriptions, trust and groups; cuts are judged for grouped rows only."""
     job = table(spark, d, "job")
     member = durable(p6_survivor.groups(job))
     ids = member.select("id")
-    asked = ids.select(F.col("id").cast("string").alias("rec_id"))
-    residue = p4_residue.residue(p4_residue.job_records(job), asked).select(F.col("rec_id").try_cast("bigint").alias("id"))
+    residue = p4_residue.residue(p4_residue.job_records(job)).select(F.col("rec_id").try_cast("bigint").alias("id"))
     return job, residue.unionByName(p7_truncation.cut_descriptions(job, ids)), table(spark, d, "source_trust"), member
 
 
