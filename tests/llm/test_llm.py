@@ -189,6 +189,22 @@ def test_p7_cut_and_whole(spark):
     assert ("message", "m", "summary") in got and ("job", "91", "description") in got and ("job", "5", "description") not in got
 
 
+def test_p7_copies_and_repeated_rows_count_once(spark):
+    hot = "We look for people who like long walks in the evening, good food and a quiet hour with a book at the end of the day"
+    other = "Our small team builds tools for farms and dairies, and it wants a calm colleague with an eye for tidy and short code"
+    cut = "You will plan the routes of nine boats on the lake, and in the evening you will see that it is bac"
+    inner = [(200 + i, "s", f"Boat {'abcdefghij'[i]} of the lake is fine as it is back home now.") for i in range(10)]
+    job = spark.createDataFrame(
+        [(i, "s", hot) for i in range(60)] + [(90, "s", other[: len(hot)].ljust(len(hot), "y"))]
+        + [(100 + i, "s", cut) for i in range(60)] + inner,
+        "id long, source string, description string",
+    )
+    message = spark.createDataFrame([("m", "a@b.example", hot, hot, "")] * 30, "id string, sender_email string, summary string, reason string, body_text string")
+    got = {(r.src_table, r.rec_id) for r in p7_truncation.found(job, message).collect()}
+    # Neither the copies nor a text of their length are at a limit; copies of a cut text are no evidence of an end.
+    assert got == {("job", str(100 + i)) for i in range(60)}
+
+
 # -- 8 ---------------------------------------------------------------------------
 def test_p8_equals_the_library():
     from tokenizers import Tokenizer
