@@ -29,6 +29,7 @@ import math
 import re
 import unicodedata
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -76,15 +77,17 @@ ID_LABEL = (
     r"reisepass(?:nummer)?|numéro de sécurité sociale|passeport|pasaporte|DNI|NIE|NIF)"
 ).replace(" ", r"\s+")
 
-# Lower-case substrings without which a pattern can't match.
+# Lower-case words one of which each match holds: at the start of a label
+# (those of several words before white space), and in addresses, by pattern, before
+# white space, before white space and a digit, or anywhere.  None stands for any text.
 ID_HINTS = (
-    "ssn", "social sec", "tax i", "tax n", "ni n", "nino", "passport", "licen", "national i", "identity", "id card", "personal i",
-    "steuer", "ausweis", "reisepass", "pasaporte", "passeport", "sécurité", "dni", " nie", " nif",
+    "ssn", "social ", "tax ", "ni ", "nino", "national ", "passport", "driver", "driving ", "id ", "identity ", "personal ", "steuer",
+    "ausweis", "personalausweis", "reisepass", "numéro ", "passeport", "pasaporte", "dni", "nie", "nif",
 )
 ADDRESS_HINTS = (
-    (" st", " ave", " road", " rd", " boulevard", " blvd", " lane", " ln", " way", " court", " ct", " drive", " dr", " row", " pl", " terrace",
-     " sq", " parkway", " pkwy", " circle", " crescent", " close", " h", " alley", " quay", " walk", " grove", " park", " mews"),
-    ("allee", "straße", "strasse", "weg", "gasse", "platz", "damm", "ufer", "str.", "rring ", "sring ", "tring "), ("box", "postfach", "apartado"),
+    None,
+    tuple(f"{w}0" for w in ("allee", "straße", "strasse", "weg", "gasse", "platz", "ring", "damm", "ufer", "str.")),
+    ("box", "postfach", "apartado"),
     ("rue ", "avenue ", "boulevard ", "place ", "chemin ", "calle ", "plaza "), ("calle ", "avenida ", "plaza "),
 )
 
@@ -96,6 +99,24 @@ def fold(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
 
 
+def lower(text: str) -> str:
+    """Lower case with every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def hinted(low: str, hints: tuple[str, ...]) -> Iterator[int]:
+    """Where the hints stand; a last blank stands for any white space, a last 0 for white space and a digit."""
+    for hint in hints:
+        word, then = (hint[:-1], hint[-1]) if hint[-1] in " 0" else (hint, "")
+        at = low.find(word)
+        while at >= 0:
+            end = at + len(word)
+            if not then or (low[end : end + 1].isspace() and (then == " " or low[end:].lstrip()[:1].isdigit())):
+                yield at
+            at = low.find(word, end)
+
+
 @lru_cache(maxsize=1)
 def _p() -> dict:
     c = re.compile
@@ -246,9 +267,7 @@ class Labeler:
             out.append((kind, a, b, bits, _features(kind, bits, text, a, b)))
             taken.append((a, b))
 
-        low = text.lower()
-        if len(low) != len(text):
-            low = text
+        low = lower(text)
         if "@" in text or "at]" in low or "at)" in low:
             for mark in ("@", "[at]", "(at)"):
                 at = low.find(mark)
@@ -265,14 +284,8 @@ class Labeler:
         if "://" in text or "www." in low:
             taken += [m.span() for m in p["url"].finditer(text) if free(*m.span())]
         if p["digit"].search(text):
-            flat_low = low.replace("\n", " ")
-            near: set[int] = set()
-            for h in ID_HINTS:
-                at = flat_low.find(h)
-                while at >= 0:
-                    near.add(at)
-                    at = flat_low.find(h, at + len(h))
-            for m in (m for at in sorted(near) for m in p["id"].finditer(text, max(0, at - 30), min(len(text), at + 110))):
+            labels = sorted(at for at in hinted(low, ID_HINTS) if not at or not (low[at - 1].isalnum() or low[at - 1] == "_"))
+            for m in (m for at in labels if (m := p["id"].match(text, at))):
                 a, b = m.span(1)
                 s = m.group(1)
                 k = p["id_shape"].match(s)
@@ -283,7 +296,7 @@ class Labeler:
                 if free(a, b) and sum(ch.isdigit() for ch in text[a:b]) >= 5:
                     add("id_number", a, b, True, k is not None, sum(ch.isdigit() for ch in s) >= 6)
             for n, pattern in enumerate(p["addresses"]):
-                if not any(h in low for h in ADDRESS_HINTS[n]):
+                if ADDRESS_HINTS[n] and next(hinted(low, ADDRESS_HINTS[n]), None) is None:
                     continue
                 for m in pattern.finditer(text):
                     if free(*m.span()):

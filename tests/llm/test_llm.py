@@ -66,6 +66,25 @@ def test_p2_spans():
     assert not any("448" in t for _, t in got)
 
 
+def test_p2_hints_pass_what_the_patterns_match():
+    labeler, p = p2_personal.Labeler(frozenset(), frozenset()), p2_personal._p()
+    streets = [
+        "Nordring 12, 70173 Stuttgart", "Suedring 5", "Am Alter Weg\t3", "Lindenallee  4", "12 Long\nStreet", "9 Mill\r\nRow", "P.O. Box 77",
+        "5 rue\nVerte, 75001 Paris", "Calle\nMayor, 3, 28013 Madrid", "Postfach 12",
+    ]
+    labels = [
+        "tax\r\nid", "social\r\nsecurity", "social  security number", "NIE", "NIF", "DNI", "NI\tnumber", "national\ninsurance no.", "ID\ncard",
+        "Identity  card", "personal\nid", "driver's licence", "Steuer-ID", "Personalausweis", "numéro\nde sécurité sociale", "passport #",
+    ]
+    for lead in ("", "(", "See ", "İ "):
+        for text in (lead + x for x in streets):
+            whole = {m.span() for q in p["addresses"] for m in q.finditer(text)}
+            assert whole & {s[1:3] for s in labeler.spans(text) if s[0] == "address"}, text
+        for text in (f"{lead}{x}: X1234567L" for x in labels):
+            m = p["id"].search(text)
+            assert m and m.start(1) in {s[1] for s in labeler.spans(text) if s[0] == "id_number"}, text
+
+
 def test_p2_estimation_finds_reliable_labelers():
     rng = random.Random(1)
     counts: dict[int, int] = {}
