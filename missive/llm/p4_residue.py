@@ -100,21 +100,31 @@ NOTICES = [
     r"nothing happens, allow|connection (?:was )?(?:reset|refused|timed out)|database connection|query failed",
 ]
 #: Substrings of the lower-cased text without which a pattern of
-#: that kind can't match, so that most lines never meet a pattern.
+#: that kind can't match, so that most lines never meet a pattern.  Lines of bare
+#: filler words need none.
 SLOT_HINTS = (
-    "{|<|%|__|[[|[insert|[enter|[add|[fill|[your|xxxx|[object|insert |enter the|add the|add your|enter your"
-).split("|")
+    *"{|<|%|__|[[|[insert|[enter|[add|[fill|[your|xxxx|[object".split("|"),
+    *(f"{a} {b}" for a in ("insert", "enter", "add") for b in ("the", "your", "job", "company", "role", "title", "text", "description")),
+)
 FILLER_HINTS = (
-    "tbd|tba|tbc|todo|fixme|placeholder|lorem|ipsum|dolor|consec|veniam|adipis|laboris|exerci|aliqu|enim|your content|"
-    "your text|your job desc|your desc|text text|test test|blah|dummy|sample|publish|undefined|null|please ignore|asdf|qwer|to be filled|"
-    "test posting|test job|example text|example job|copy to follow|filler|...\n...|…\n…|test\ntest|text\ntext"
+    *"tbd|tba|tbc|todo|fixme|placeholder|your content|your text|your job desc|your desc|blah|dummy|sample|not publish|before publi|undefined|null".split("|"),
+    *"please ignore|asdf|qwer|to be filled|to be completed|to be confirmed|copy to follow|filler".split("|"),
+    *(f"{a} {b}" for a in ("test", "example") for b in ("posting", "job", "text", "listing", "record", "entry")),
+)
+#: Frequent words that make a notice only as ``LOOSE`` has them.
+LOOSE_HINTS = ("script", "page", "internal", "unauthori")
+LOOSE = r"(?i)\bscripts?\b|[45]\d\d\s*[-:.,]?\s*(?:page|internal|unauthori)"
+#: All stems but two of DUMMY_LATIN, which asks for three different ones.
+LATIN_HINTS = (
+    "lorem|ipsum|dolor|amet|consec|adipis|eiusm|tempor|incid|labore|labori|utlab|magn|aliqu|enim|minim|veniam|quis|strud|exerci|tatio|"
+    "ullam|nisi|tetur|etdol|commod|conseq"
 ).split("|")
 NOTICE_HINTS = (
-    "javascript|java script| scripts|noscript|browser|captcha|a robot|roboter|human|humano|puzzle|unusual traffic|too many|"
+    "javascript|java script|scripts|noscript|browser|captcha|robot|human|humano|puzzle|unusual traffic|too many|"
     "security check|press and hold|error|erreur|fehler|http|status|denied|forbidden|verweigert|refusé|denegado|permission|"
     "not found|not be found|gefunden|introuvable|no encontrad|no existe|not exist|find that|find this|find the|find your|"
-    "be loaded|load this|load the|load that|load your|display|open this|open the|open that|open your|show this|show the|"
-    "show that|show your|be retrieved|cargar|geladen|chargé|expired|timed out|abgelaufen|expiré|caducado|exception|traceback|"
+    "be loaded|load this|load the|load that|load your|charg|display|open this|open the|open that|open your|show this|show the|"
+    "show that|show your|be retrieved|cargar|geladen|expired|timed out|abgelaufen|expiré|caducado|exception|traceback|"
     "stack trace|render failed|gateway|unavailable|upstream|broken pipe|went wrong|schief|s'est produite|salió mal|"
     "maintenance|mantenimiento|wartung|rejected|blocked|support number|incident|try again|nothing happens|connection|"
     "query failed|404|403|500|502|503|504|401"
@@ -126,7 +136,7 @@ def _matchers() -> dict:
     """Patterns and the hint automaton, compiled once per worker."""
     automaton = ahocorasick.Automaton()
     kinds: dict[str, int] = {}
-    for bit, hints in ((1, SLOT_HINTS), (2, FILLER_HINTS), (4, NOTICE_HINTS)):
+    for bit, hints in ((1, SLOT_HINTS), (2, FILLER_HINTS), (4, NOTICE_HINTS), (8, LATIN_HINTS), (16, LOOSE_HINTS)):
         for hint in hints:
             kinds[hint] = kinds.get(hint, 0) | bit
     for hint, bits in kinds.items():
@@ -136,7 +146,10 @@ def _matchers() -> dict:
         "hints": automaton,
         "slot": re.compile("|".join(f"(?:{p})" for p in SLOTS)),
         "filler": [re.compile(p) for p in FILLER_PHRASES],
+        "repeated": [re.compile(p) for p in FILLER_PHRASES if r"\1" in p or r"\.{3}" in p],
         "filler_line": re.compile(rf"(?i)^[\W_]*(?:{FILLER_LINES[0]}[\W_]*){{1,12}}$"),
+        "filler_start": re.compile(rf"\n[\W_]*{FILLER_LINES[0]}"),
+        "loose": re.compile(LOOSE),
         "latin": re.compile(DUMMY_LATIN),
         "notice": re.compile("(?i)" + "|".join(f"(?:{p})" for p in NOTICES)),
     }
@@ -145,16 +158,24 @@ def _matchers() -> dict:
 def evidence_lines(text: str) -> list[tuple[int, bool, bool]]:
     """(line number, unfinished?, notice?) of each line with evidence.
 
-    Only lines that hold a hint meet the patterns.  Filler that spans lines is
-    reported once, as line -1.
+    Only lines that hold a hint meet the patterns, but for lines of bare filler
+    words.  Without a hint such a line (``None``, ``N/A``, ``Test``) may answer a
+    heading of a posting, so like a notice it counts only if hardly anything else
+    remains.  Filler that spans lines is reported once, as line -1.
     """
     m = _matchers()
     low = text.lower()
-    hits = list(m["hints"].iter(low if len(low) == len(text) else text))
-    if not hits:
-        return []
+    if len(low) != len(text):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    hits = list(m["hints"].iter(low))
     out, start, k, every = [], 0, 0, 0
     latin: list[str] = []
+    bare = m["filler_line"].match
+    bare_line = m["filler_start"].search("\n" + low) is not None
+    # Words that are filler if said three times, and marks that are on two lines.
+    repeats = low.count("test") > 2 or low.count("text") > 2 or low.count("...") + low.count("…") > 1
+    if not (hits or bare_line or repeats):
+        return []
     for at, line in enumerate(text.split("\n")):
         stop, bits = start + len(line), 0
         while k < len(hits) and hits[k][0] <= stop:
@@ -162,22 +183,25 @@ def evidence_lines(text: str) -> list[tuple[int, bool, bool]]:
             k += 1
         start = stop + 1
         every |= bits
-        if not bits or not line.strip():
+        if not (bits or bare_line) or not line.strip():
+            continue
+        if not bits:
+            if bare(line):
+                out.append((at, False, True))
             continue
         unfinished = bool(bits & 1 and m["slot"].search(line))
-        if bits & 2 and not unfinished:
+        if bits & 8 and not unfinished:
             stems = [w.lower() for w in m["latin"].findall(line)]
             latin += stems
-            unfinished = bool(
-                (len(stems) >= 5 and len(set(stems)) >= 3)
-                or m["filler_line"].match(line)
-                or any(p.search(line) for p in m["filler"])
-            )
-        notice = bool(bits & 4 and m["notice"].search(line))
+            unfinished = len(stems) >= 5 and len(set(stems)) >= 3
+        if bits & 2 and not unfinished:
+            unfinished = bool(bare(line) or any(p.search(line) for p in m["filler"]))
+        noted = bits & 4 or (bits & 16 and m["loose"].search(line))
+        notice = bool(noted and m["notice"].search(line)) or (bare_line and not unfinished and bare(line) is not None)
         if unfinished or notice:
             out.append((at, unfinished, notice))
-    if every & 2 and (
-        (len(latin) >= 5 and len(set(latin)) >= 3) or any(p.search(text) for p in m["filler"])
+    if (len(latin) >= 5 and len(set(latin)) >= 3) or (
+        (every & 2 or repeats) and any(p.search(text) for p in m["filler" if every & 2 else "repeated"])
     ):
         out.append((-1, True, False))
     return out

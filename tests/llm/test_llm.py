@@ -142,6 +142,22 @@ def test_p4_cases_and_decoys(spark):
     assert p4_residue.residue(df.where("false")).count() == 0
 
 
+def test_p4_hints_pass_what_the_patterns_match(spark):
+    filler = "We build things for many people in many towns and pay well for it. " * 4
+    cases = [
+        "N/A", "n/a", "None", "nan", "Test", "Text", "foo bar", "test  test  test", "text\ttext\ttext", "null", "...\n...", "... \n\n...", "…\n …",
+        "Enter job description here", "Add text here", "Insert your role here", "Scripts must run to show it.", "Enable script to go on.",
+        "No eres un robot", "410 Page", "431 - unauthorized", "Example record: nothing", "Test entry. Nothing", "To be completed by HR",
+        "Replace this before publication", "sed tempor\nincididunt ut\nlabore magna", "İ TBD\nTBD", "İ NOSCRIPT",
+    ]
+    whole = [filler + "\nTravel\nNone", filler + "\nVisa: see below\nN/A", "Test engineer for text and bar charts", filler + "\nTest"]
+    rows = [("job", str(i), "h", x) for i, x in enumerate(cases + whole)]
+    df = spark.createDataFrame(rows, "src_table string, rec_id string, host string, description string")
+    got = {int(r.rec_id) for r in p4_residue.residue(df).collect()}
+    assert [x for i, x in enumerate(cases) if i not in got] == []
+    assert [x for i, x in enumerate(whole, len(cases)) if i in got] == []
+
+
 # -- 5 ---------------------------------------------------------------------------
 def test_p5_one_error_is_symmetric_and_exact():
     def distance(a, b):
