@@ -4,10 +4,13 @@ The stored value is the page's text, so its tree is rebuilt from lines: the
 page holds blocks (lines between furniture), blocks hold paragraphs.  Every
 paragraph earns points for its length and commas, discounted by its link
 density, which is the share of it made of link labels (menu entries, button
-texts, link lists).  Points pass to the block in full and to the page by half;
-the best block and its siblings with points of their own are kept, and what
-scores nothing beside furniture goes with it.  A widget's heading takes its
-entries along, wherever in the posting it stands.
+texts, link lists).  Blocks with points, or else the first, are kept, and what scores nothing beside
+furniture goes with it.  A widget's heading takes its entries along, wherever in
+the posting it stands.
+
+Wording decides what is furniture: points don't compete against the best block,
+since sentences of a posting that stand alone between furniture score as little
+as furniture of unknown wording (figures in the README).
 
 One pass per text inside a vectorised UDF; lines repeat across pages of a host,
 so their judgements are cached per worker.  No shuffle except the anti-join
@@ -247,15 +250,13 @@ def furniture_lines(text: str) -> list[int]:
             blocks.append([i])
     score = [sum(judged[i][1] for i in b if judged[i][0] in (CONTENT, SECTION_HEAD)) for b in blocks]
     if blocks:
-        page = sum(score) / 2
         best = max(range(len(blocks)), key=lambda b: score[b])
         real = [b for b in range(len(blocks)) if score[b] > 0]
         for b, block in enumerate(blocks):
-            sibling = b == best or (score[b] > 0 and (score[b] >= 0.02 * page or b in real))
             # Bare short lines between parts of the body belong to it; at the
             # page's ends they belong to the furniture beside them.
             between = real and real[0] < b < real[-1] and not any(judged[i][2] for i in block)
-            if not sibling and not between:
+            if b != best and score[b] <= 0 and not between:
                 for i in block:
                     drop[i] = True
     return [i for i in filled if drop[i]]
