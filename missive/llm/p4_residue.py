@@ -6,8 +6,10 @@ its boilerplate and are subtracted.  What remains of a record, its residual,
 decides:
 
 * an unfilled slot or filler anywhere in the residual makes the record a case;
-* an error message, script demand or check makes it a case only when hardly
-  anything else remains, so a posting that speaks of such things is none.
+* an error message, script demand or check makes it a case unless the residual's
+  other sentences outnumber it (``OTHER_SENTENCES`` to one), so a posting that
+  speaks of such things is none, on one line or on many.  Menu entries are no
+  sentences: those have four words or more, not all of them capitalised.
 
 Counts are pre-aggregated map-side on 64-bit line digests; only records with
 some evidence are joined back to them.
@@ -32,11 +34,27 @@ from missive.runtime import durable
 #: A line is boilerplate if at least so many, and such a share, of a host's records have it.
 BOILERPLATE_RECORDS = 5
 BOILERPLATE_SHARE = 0.004
-#: An error or script page has no more characters than this besides evidence and boilerplate.
-OTHER_TEXT = 170
+#: An error or script page has at most so many sentences besides boilerplate for each one with evidence.
+OTHER_SENTENCES = 3
 
-# Forms of unfilled slots.
+# Nouns of the fields that posting templates leave open, in capitals inside brackets of any sort.
+SLOT_NOUNS = (
+    "role|title|job|position|company|employer|client|name|city|town|location|address|country|region|state|office|site|team|department|"
+    "division|unit|manager|recruiter|contact|person|salary|range|pay|rate|amount|currency|bonus|date|deadline|start|end|hours|"
+    "shift|duration|benefits|perks|requirements|skills|duties|tasks|responsibilities|qualifications|degree|experience|years|level|"
+    "description|summary|overview|industry|product|phone|email|website|link|url|number|code|reference|text|content|"
+    "firma|stelle|ort|datum|gehalt|poste|entreprise|ville|empresa|puesto|ciudad|nombre|fecha"
+)
+_NOUN = rf"(?:{SLOT_NOUNS})"
+# Forms of unfilled slots.
 SLOTS = [
+    rf"\[(?:[A-Z]+[ _-]){{0,3}}{_NOUN.upper()}\]",
+    rf"<(?:[A-Z]+[ _-]){{0,3}}{_NOUN.upper()}>",
+    rf"«\s*(?i:(?:\w+[ _-]){{0,3}}{_NOUN})\s*»",
+    rf"\$(?:[A-Z]+_){{0,3}}{_NOUN.upper()}\b(?!-style|-like)",
+    r"\*\|\s*[\w:.\-]+\s*\|\*",
+    r"@@\s*[\w.\-]+\s*@@",
+    r"\b[Xx]{3,}(?:\s+[Xx]{3,}\b)+",
     r"\{\{\s*[\w.\-]+\s*\}\}",
     r"\$\{\s*[\w.\-]+\s*\}(?!-style|-like)",
     r"<%=?\s*[\w.\- ]+\s*%>",
@@ -52,7 +70,7 @@ SLOTS = [
     r"<<\s*[\w.\- ]{1,40}\s*>>",
     r"\b(?i:insert|enter|add) (?:the |your )?(?:job|company|role|title|text|description)[\w ]{0,30} here\b",
 ]
-# Lines, or sentences, that are nothing but filler.
+# Lines, or sentences, that are nothing but filler.
 FILLER_LINES = [
     r"(?:tbd|tba|tbc|todo|fixme|n/?a|nan|null|none|undefined|test|text|sample|dummy|asdf\w*|qwer\w*|placeholder|foo|bar|blah)",
 ]
@@ -68,20 +86,21 @@ FILLER_PHRASES = [
     r"(?i)\bcopy to follow\b|\bto be (?:filled in|completed|confirmed) by (?:hr|the recruiter|the hiring manager)\b",
     r"\bTBD\s*(?:[.,;:/|-]\s*)?(?:TBD|test)\b",
 ]
-# Stems of the customary dummy Latin.
+# Stems of the customary dummy Latin.
 DUMMY_LATIN = (
     r"(?i)\b(?:lorem|ipsum|dolor\w{0,3}|amet\w{0,3}|consec\w*|adipis\w*|elit\w?|eiusm\w*|tempor[aei]?|incid\w*|"
     r"labor[ei]s?|utlab\w*|magn[ai]r?|aliqu\w*|enim\w{0,3}|minim|veniam|quisn?o?|n?o?strud\w*|exerci\w*|tatio\w?|"
     r"ullam\w*|nisi\w{0,2}|tetur|sed[o]?|etdol\w*|commod\w*|conseq\w*)\b"
 )
-# Wording of error pages, script demands and checks.
+# Wording of error pages, script demands and checks.
 NOTICES = [
     r"(?:enable|activate|turn on|switch on|allow|activer|activez|aktivieren|activ[ae]r?|habilit[ae]r?)\b[^.\n]{0,25}\b(?:java ?script|scripts?)\b",
     r"java ?script (?:is|must be|has to be|needs to be|seems to be)\s+(?:turned off|disabled|off|blocked|not enabled|not supported|enabled|switched on)",
     r"(?:requires?|needs?) (?:java ?script|scripts)\b",
     r"scripts? (?:must|have to|need to) (?:run|be)|scripts switched on|\bnoscript\b",
     r"java ?script (?:erforderlich|ist deaktiviert|est désactivé|desactivado|deaktiviert)",
-    r"browser (?:is )?(?:not supported|blocks|out of date|outdated|unsupported)",
+    r"browser (?:is )?(?:not supported|blocks|out of date|outdated|unsupported)|browser (?:cannot|can.?t|does not|doesn.?t) (?:run|display|show|support)",
+    r"(?:we.?ll|we will) be (?:right )?back (?:soon|shortly|in a)|be right back\b",
     r"checking your browser|verify (?:that )?you are (?:a )?(?:human|not a robot)|are you (?:a )?(?:human|robot)|not a robot|"
     r"\bcaptcha\b|solve the puzzle|unusual traffic|too many requests|security check|press and hold",
     r"überprüf\w+ ihren browser|kein roboter|vérif\w+ (?:que )?vous n.êtes pas un robot|no eres un robot|no es un robot|eres humano",
@@ -99,11 +118,13 @@ NOTICES = [
     r"request(?:ed)? (?:url )?(?:was|has been) (?:rejected|blocked)|your support number is|incident #?\d|try again in \d+ minutes",
     r"nothing happens, allow|connection (?:was )?(?:reset|refused|timed out)|database connection|query failed",
 ]
-#: Substrings of the lower-cased text without which a pattern of
+#: Substrings of the lower-cased text without which a pattern of
 #: that kind can't match, so that most lines never meet a pattern.  Lines of bare
 #: filler words need none.
 SLOT_HINTS = (
-    *"{|<|%|__|[[|[insert|[enter|[add|[fill|[your|xxxx|[object".split("|"),
+    "{", "<", "%", "__", "[[", "[insert", "[enter", "[add", "[fill", "[your", "xxx", "[object", "*|", "@@", "«",
+    *(f"{n}]" for n in SLOT_NOUNS.split("|")),
+    *(f"${a}" for a in "abcdefghijklmnopqrstuvwxyz"),
     *(f"{a} {b}" for a in ("insert", "enter", "add") for b in ("the", "your", "job", "company", "role", "title", "text", "description")),
 )
 FILLER_HINTS = (
@@ -127,7 +148,7 @@ NOTICE_HINTS = (
     "show that|show your|be retrieved|cargar|geladen|expired|timed out|abgelaufen|expiré|caducado|exception|traceback|"
     "stack trace|render failed|gateway|unavailable|upstream|broken pipe|went wrong|schief|s'est produite|salió mal|"
     "maintenance|mantenimiento|wartung|rejected|blocked|support number|incident|try again|nothing happens|connection|"
-    "query failed|404|403|500|502|503|504|401"
+    "query failed|be back|right back|404|403|500|502|503|504|401"
 ).split("|")
 
 
@@ -152,23 +173,32 @@ def _matchers() -> dict:
         "loose": re.compile(LOOSE),
         "latin": re.compile(DUMMY_LATIN),
         "notice": re.compile("(?i)" + "|".join(f"(?:{p})" for p in NOTICES)),
+        "sentence": re.compile(r"(?<=[.!?])\s+|\s+[•·*◦▪–-]\s+"),
     }
 
 
-def evidence_lines(text: str) -> list[tuple[int, bool, bool]]:
-    """(line number, unfinished?, notice?) of each line with evidence.
+def prose(sentence: str) -> bool:
+    """Four words or more, of which two in five begin in lower case; menus and names don't."""
+    words = [w for w in sentence.split() if w[0].isalpha()]
+    return len(words) >= 4 and 5 * sum(w[0].islower() for w in words) >= 2 * len(words)
+
+
+def evidence_lines(text: str) -> list[tuple[int, bool, int, int]]:
+    """(line number, unfinished?, sentences with a notice, other sentences) of lines that matter.
 
     Only lines that hold a hint meet the patterns, but for lines of bare filler
     words.  Without a hint such a line (``None``, ``N/A``, ``Test``) may answer a
-    heading of a posting, so like a notice it counts only if hardly anything else
-    remains.  Filler that spans lines is reported once, as line -1.
+    heading of a posting, so it counts as a notice does.  Filler that spans lines
+    is reported once, as line -1.  Of a text with notices, and only of such, lines
+    without evidence are given too if they hold sentences.
     """
     m = _matchers()
     low = text.lower()
     if len(low) != len(text):
         low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
     hits = list(m["hints"].iter(low))
-    out, start, k, every = [], 0, 0, 0
+    out: list[tuple[int, bool, int, int]] = []
+    start, k, every = 0, 0, 0
     latin: list[str] = []
     bare = m["filler_line"].match
     bare_line = m["filler_start"].search("\n" + low) is not None
@@ -176,7 +206,8 @@ def evidence_lines(text: str) -> list[tuple[int, bool, bool]]:
     repeats = low.count("test") > 2 or low.count("text") > 2 or low.count("...") + low.count("…") > 1
     if not (hits or bare_line or repeats):
         return []
-    for at, line in enumerate(text.split("\n")):
+    lines = text.split("\n")
+    for at, line in enumerate(lines):
         stop, bits = start + len(line), 0
         while k < len(hits) and hits[k][0] <= stop:
             bits |= hits[k][1]
@@ -187,7 +218,7 @@ def evidence_lines(text: str) -> list[tuple[int, bool, bool]]:
             continue
         if not bits:
             if bare(line):
-                out.append((at, False, True))
+                out.append((at, False, 1, 0))
             continue
         unfinished = bool(bits & 1 and m["slot"].search(line))
         if bits & 8 and not unfinished:
@@ -196,31 +227,42 @@ def evidence_lines(text: str) -> list[tuple[int, bool, bool]]:
             unfinished = len(stems) >= 5 and len(set(stems)) >= 3
         if bits & 2 and not unfinished:
             unfinished = bool(bare(line) or any(p.search(line) for p in m["filler"]))
-        noted = bits & 4 or (bits & 16 and m["loose"].search(line))
-        notice = bool(noted and m["notice"].search(line)) or (bare_line and not unfinished and bare(line) is not None)
-        if unfinished or notice:
-            out.append((at, unfinished, notice))
+        if unfinished:
+            out.append((at, True, 0, 0))
+        elif bare_line and bare(line):
+            out.append((at, False, 1, 0))
+        elif (bits & 4 or (bits & 16 and m["loose"].search(line))) and m["notice"].search(line):
+            parts = m["sentence"].split(line.strip())
+            told = [p for p in parts if m["notice"].search(p)]
+            others = sum(prose(p) for p in parts) - sum(prose(p) for p in told)
+            # A notice that runs over the end of a sentence is one.
+            out.append((at, False, max(1, len(told)), others))
     if (len(latin) >= 5 and len(set(latin)) >= 3) or (
         (every & 2 or repeats) and any(p.search(text) for p in m["filler" if every & 2 else "repeated"])
     ):
-        out.append((-1, True, False))
+        out.append((-1, True, 0, 0))
+    if out and not any(e[1] for e in out):
+        noted = {e[0] for e in out}
+        for at, line in enumerate(lines):
+            if at not in noted and (n := sum(map(prose, m["sentence"].split(line.strip())))):
+                out.append((at, False, 0, n))
     return out
 
 
 EVIDENCE = ArrayType(
     StructType(
-        [StructField("at", IntegerType()), StructField("unfinished", BooleanType()), StructField("notice", BooleanType())]
+        [StructField("at", IntegerType()), StructField("unfinished", BooleanType()), StructField("notices", IntegerType()),
+         StructField("others", IntegerType())]
     )
-)
+)
+_ARROW = pa.list_(pa.struct([("at", pa.int32()), ("unfinished", pa.bool_()), ("notices", pa.int32()), ("others", pa.int32())]))
 
 
 @F.arrow_udf(EVIDENCE)
 def _evidence(column: pa.Array) -> pa.Array:
-    rows = [
-        [{"at": a, "unfinished": u, "notice": n} for a, u, n in evidence_lines(t)] if t else [] for t in column.to_pylist()
-    ]
-    kind = pa.struct([("at", pa.int32()), ("unfinished", pa.bool_()), ("notice", pa.bool_())])
-    return pa.array(rows, pa.list_(kind))
+    names = ("at", "unfinished", "notices", "others")
+    rows = [[dict(zip(names, e)) for e in evidence_lines(t)] if t else [] for t in column.to_pylist()]
+    return pa.array(rows, _ARROW)
 
 
 def line_digests(text: Column) -> Column:
@@ -245,39 +287,43 @@ def residue(records: DataFrame) -> DataFrame:
         counted.join(per_host, "host").where(F.col("n") >= BOILERPLATE_SHARE * F.col("n_records")).select("host", "digest")
     )
     seen = durable(records.withColumn("evidence", _evidence(F.col("description"))).where(F.size("evidence") > 0))
-    # Filler and slots decide at once; notices only if hardly anything else is there.
+    # Filler and slots decide at once; notices only if little else is said.
     unfinished = F.exists("evidence", lambda e: e["unfinished"])
     open_case = seen.where(unfinished).select("src_table", "rec_id")
-    lines = (
-        seen.where(~unfinished)
-        .select(
-            "src_table", "rec_id", "host",
-            F.transform("evidence", lambda e: e["at"]).alias("evidence_at"),
-            F.posexplode(F.split(F.translate("description", "\r", ""), "\n")).alias("at", "line"),
-        )
-        .where((F.length(F.trim("line")) > 0) & ~F.array_contains("evidence_at", F.col("at")))
-        .withColumn("digest", F.xxhash64(F.trim(F.translate(F.lower("line"), "0123456789\r", ""))))
+    told = seen.where(~unfinished).select(
+        "src_table", "rec_id", "host", F.split(F.translate("description", "\r", ""), "\n").alias("lines"), F.explode("evidence").alias("e")
     )
-    crowded = (
-        lines.join(boilerplate, ["host", "digest"], "left_anti")
-        .groupBy("src_table", "rec_id").agg(F.sum(F.length(F.trim("line"))).alias("other"))
-        .where(F.col("other") > OTHER_TEXT)
+    line = F.get(F.col("lines"), F.col("e.at"))
+    told = told.select(
+        "src_table", "rec_id", "host", "e.notices", "e.others",
+        F.when(F.col("e.notices") == 0, F.xxhash64(F.trim(F.translate(F.lower(line), "0123456789", "")))).alias("digest"),
+    )
+    # Lines with a notice have no digest, so they always stay.
+    notices = (
+        told.join(boilerplate, ["host", "digest"], "left_anti")
+        .groupBy("src_table", "rec_id").agg(F.sum("notices").alias("notices"), F.sum("others").alias("others"))
+        .where(F.col("others") <= OTHER_SENTENCES * F.col("notices")).select("src_table", "rec_id")
     )
-    notices = seen.where(~unfinished).select("src_table", "rec_id").join(crowded, ["src_table", "rec_id"], "left_anti")
     return open_case.unionByName(notices).distinct()
 
 
+def _host(url: Column, otherwise: Column) -> Column:
+    """The host a URL names, without ``www.``, else ``otherwise``."""
+    host = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z]+://(?:[^/@]*@)?(?:www\.)?([^/:?#]+)", 1)
+    return F.when(host != "", host).otherwise(otherwise)
+
+
 def job_records(job: DataFrame) -> DataFrame:
     return job.select(
-        F.lit("job").alias("src_table"), F.col("id").cast("string").alias("rec_id"), F.col("source").alias("host"), "description"
+        F.lit("job").alias("src_table"), F.col("id").cast("string").alias("rec_id"), _host(F.col("url"), F.col("source")).alias("host"),
+        "description",
     )
 
 
 def scraped_records(scraped: DataFrame) -> DataFrame:
-    host = F.regexp_extract(F.coalesce("final_url", F.lit("")), r"^[a-z]+://(?:www\.)?([^/:?#]+)", 1)
+    host = _host(F.col("final_url"), F.split("url_key", ":")[0])
     return scraped.select(
-        F.lit("scraped_job").alias("src_table"), F.col("url_key").alias("rec_id"),
-        F.when(host != "", host).otherwise(F.split("url_key", ":")[0]).alias("host"), "description",
+        F.lit("scraped_job").alias("src_table"), F.col("url_key").alias("rec_id"), host.alias("host"), "description"
     ).distinct()
 
 

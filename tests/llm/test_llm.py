@@ -142,6 +142,22 @@ def test_p4_cases_and_decoys(spark):
     assert p4_residue.residue(df.where("false")).count() == 0
 
 
+def test_p4_slots_of_many_forms_and_postings_on_one_line(spark):
+    body = "We build things for many people in many towns. We pay well for it. You work with two others. Letters are read on Monday."
+    cases = [
+        f"{body}\nYou report to [HIRING MANAGER] from [START DATE] on.", f"{body}\nStart: *|CITY|*", f"{body}\nJoin @@company_name@@ now.",
+        f"{body}\nMeet <COMPANY_NAME>.", f"{body}\nDear $FIRST_NAME, hello.", f"{body}\nBei «Firma» im Team.", f"{body}\nxxx xxx xxx",
+        "We'll be right back.", "This browser cannot run the app.", "İstanbul\nEnable JavaScript to continue",
+        "Sign in\nSearch\nYour session has expired. Sign in again to see this posting.\nXco is an equal opportunity site.",
+    ]
+    whole = [f"{body} You hunt down 404 and 503 errors before anybody notices. {body}", f"{body}\n[Remote] [Sign in] costs $20K. «Guten Tag», sagt sie.",
+             f"{body} • Access denied pages are yours to explain • You write code that helps many teams"]
+    df = spark.createDataFrame(
+        [("job", str(i), None, t) for i, t in enumerate(cases + whole)], "src_table string, rec_id string, host string, description string"
+    )
+    assert sorted(int(r.rec_id) for r in p4_residue.residue(df).collect()) == list(range(len(cases)))
+
+
 def test_p4_hints_pass_what_the_patterns_match(spark):
     filler = "We build things for many people in many towns and pay well for it. " * 4
     cases = [
