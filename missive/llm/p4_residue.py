@@ -265,10 +265,14 @@ def _evidence(column: pa.Array) -> pa.Array:
     return pa.array(rows, _ARROW)
 
 
-def line_digests(text: Column) -> Column:
-    """64-bit digests of a text's different normalised lines (digits and case aside)."""
-    lines = F.split(F.translate(F.lower(text), "0123456789\r", ""), "\n")
-    return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(F.trim(x))))
+def _normal(text: Column) -> Column:
+    """A text, or a line of it, without case, digits and outer white space."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[0-9\r]+", ""))
+
+
+def different_lines(text: Column) -> Column:
+    """A text's different normalised lines."""
+    return F.array_distinct(F.split(_normal(text), r" *\n *"))
 
 
 def residue(records: DataFrame) -> DataFrame:
@@ -278,8 +282,8 @@ def residue(records: DataFrame) -> DataFrame:
     )
     per_host = records.groupBy("host").agg(F.count("*").alias("n_records"))
     counted = (
-        records.select("host", F.explode(line_digests(F.col("description"))).alias("digest"))
-        .groupBy("host", "digest").agg(F.count("*").alias("n"))
+        records.select("host", F.explode(different_lines(F.col("description"))).alias("line"))
+        .select("host", F.xxhash64("line").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))
         .where(F.col("n") >= BOILERPLATE_RECORDS)
     )
     # Both sides are aggregates; Catalyst picks the join from their sizes.
@@ -291,12 +295,12 @@ def residue(records: DataFrame) -> DataFrame:
     unfinished = F.exists("evidence", lambda e: e["unfinished"])
     open_case = seen.where(unfinished).select("src_table", "rec_id")
     told = seen.where(~unfinished).select(
-        "src_table", "rec_id", "host", F.split(F.translate("description", "\r", ""), "\n").alias("lines"), F.explode("evidence").alias("e")
+        "src_table", "rec_id", "host", F.split("description", "\n").alias("lines"), F.explode("evidence").alias("e")
     )
     line = F.get(F.col("lines"), F.col("e.at"))
     told = told.select(
         "src_table", "rec_id", "host", "e.notices", "e.others",
-        F.when(F.col("e.notices") == 0, F.xxhash64(F.trim(F.translate(F.lower(line), "0123456789", "")))).alias("digest"),
+        F.when(F.col("e.notices") == 0, F.xxhash64(_normal(line))).alias("digest"),
     )
     # Lines with a notice have no digest, so they always stay.
     notices = (

@@ -15,9 +15,10 @@ with it.  A text is cut if
   lengths around it (a field limit), with or without final punctuation.
 
 Trigram keys are 64-bit digests of the first two words with the third word, so
-the large shuffles are the pre-aggregated count table and the different texts.
-The same statement is written for both SQL dialects, except that only Spark's
-brings the texts of a field down to different ones before it counts.
+the large shuffle is the pre-aggregated count table.  Copies of a text count
+once: in Spark each of k copies brings a weight of 1/k, and the weights' sum is
+rounded, so no text is shuffled to find the different ones; the checking SQL
+takes distinct texts.
 
 Defined results: null and blank values are no cases; repeated rows of a message
 and copies of a text count once (a value is a case if any of its rows is).
@@ -27,6 +28,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from missive.runtime import durable
+
 #: A last word is a mere beginning if longer words follow the two before it so often,
 #: and it ends texts or lines in at most this share.
 LONGER_LEAST = 2
@@ -38,11 +41,16 @@ WHOLE_TERMINAL_MOST = 0.03
 LIMIT_LEAST = 6
 LIMIT_RATIO = 5.0
 
-#: Last words are read from so many last characters, marks from so many.
+LIMIT_SHORTEST = 100
+
+#: Last words are read from so many last characters where these hold four words, else
+#: from the whole text; marks, none of which is longer, from so many before trailing white space.
 TAIL = 160
 MARK_TAIL = 40
+#: Texts that occur more than once are broadcast (8 bytes each, and a count) up to so many, else joined.
+COPIES_MOST = 2_000_000
 
-# Marks that stand for text left out, by how sure a sign they are.
+# Marks that stand for text left out, by how sure a sign they are.
 SURE_MARK = r"((\.\.\.|…) ?(more|mehr|suite|más)|\[(\.\.\.|…)\]|\((more|mehr|suite|más)\)|read more|weiterlesen|lire la suite|leer más|mehr lesen|continue reading)"
 STYLE_MARK = r"(\.\.\.+|…)"
 BROKEN_MARKUP = r"(&[a-z#0-9]{1,8}|</?[a-z][a-z0-9]{0,9}|</?)\s*\z"
@@ -56,7 +64,10 @@ class _Dialect:
         self.spark = spark
 
     def text(self, pattern: str) -> str:
-        return "'" + pattern.replace("\\", "\\\\" if self.spark else "\\").replace("'", "''" if not self.spark else "\\'") + "'"
+        if self.spark:
+            # Braces are doubled because the statement is formatted with its tables.
+            pattern = pattern.replace("\\", "\\\\").replace("{", "{{").replace("}", "}}")
+        return "'" + pattern.replace("'", "\\'" if self.spark else "''") + "'"
 
     def like(self, value: str, pattern: str) -> str:
         return f"regexp_like({value}, {self.text(pattern)})" if self.spark else f"regexp_matches({value}, {self.text(pattern)})"
@@ -76,6 +87,10 @@ class _Dialect:
     def digest(self, a: str, b: str) -> str:
         return f"xxhash64({a}, {b})" if self.spark else f"hash({a}, {b})"
 
+    def trimmed(self, value: str) -> str:
+        """Without trailing white space."""
+        return f"rtrim(concat(chr(9), chr(10), chr(13), ' '), {value})" if self.spark else f"rtrim({value}, concat(chr(9), chr(10), chr(13), ' '))"
+
     def starts(self, value: str, head: str) -> str:
         return f"startswith({value}, {head})" if self.spark else f"starts_with({value}, {head})"
 
@@ -83,13 +98,13 @@ class _Dialect:
         if self.spark:
             # Three shifted copies side by side stay in generated code, unlike a lambda.
             return (
-                "SELECT field, g.`0` AS a, g.`1` AS b, g.`2` AS w FROM (SELECT field, explode(arrays_zip("
+                "SELECT field, weight, g.`0` AS a, g.`1` AS b, g.`2` AS w FROM (SELECT field, weight, explode(arrays_zip("
                 "slice(ws, 1, size(ws) - 2), slice(ws, 2, size(ws) - 2), "
                 "concat(slice(ws, 3, size(ws) - 3), array(concat(element_at(ws, size(ws)), '¶'))))) AS g "
                 "FROM tokens WHERE size(ws) >= 3) AS z"
             )
         return (
-            "SELECT field, g.a AS a, g.b AS b, g.w AS w FROM (SELECT field, unnest(list_transform(range(3, len(ws) + 1), lambda i: {'a': ws[i - 2], 'b': ws[i - 1], "
+            "SELECT field, weight, g.a AS a, g.b AS b, g.w AS w FROM (SELECT field, weight, unnest(list_transform(range(3, len(ws) + 1), lambda i: {'a': ws[i - 2], 'b': ws[i - 1], "
             "'w': CASE WHEN i = len(ws) THEN ws[i] || '¶' ELSE ws[i] END})) AS g FROM tokens WHERE len(ws) >= 3) AS z"
         )
 
@@ -111,52 +126,79 @@ def texts_sql(d: _Dialect) -> str:
     """
 
 
-def judged_sql(spark: bool = True, asked: bool = False) -> str:
-    """Every value with ``cut``: src_table, rec_id, field, origin, cut.
+def _words(d: _Dialect, value: str) -> str:
+    """Words of a text: digits alike, tabs to blanks, line ends kept as a mark on the word before."""
+    flat = d.sub(f"replace(replace(trim(lower({value})), chr(9), ' '), chr(13), '')", "[1-9]", "0")
+    return d.words(d.sub(flat, r"\n+", "¶ "))
+
+
+_MARK = rf"(?i)\s*({SURE_MARK}|{STYLE_MARK})\s*\z"
+
+
+def _ends(d: _Dialect) -> tuple[str, str, str]:
+    """(last characters, the same without a mark, the text without a mark)."""
+    body = d.trimmed("text")
+    end = f"right({body}, {MARK_TAIL})"
+    bare_end = d.sub(d.sub(end, _MARK, ""), r"\s+\z", "")
+    return end, bare_end, f"concat(substr({body}, 1, greatest(length({body}) - {MARK_TAIL}, 0)), {bare_end})"
+
+
+def prints_sql(d: _Dialect) -> str:
+    """Different texts by digest, with what piles of lengths need: field, print, closed, n, k (copies)."""
+    print_ = "xxhash64(field, text)" if d.spark else "text"
+    end, _, _ = _ends(d)
+    return f"""
+        SELECT field, print, closed, n, CAST(count(*) AS bigint) AS k FROM (
+            SELECT field, {print_} AS print, {d.like(end, CLOSED)} AS closed, CAST(length(text) AS int) AS n FROM texts) AS p
+        GROUP BY field, print, closed, n
+    """
+
+
+def judged_sql(spark: bool = True, asked: bool = False, hint: str = "") -> str:
+    """Every value with ``sign``, the first sign of a cut, or null: src_table, rec_id, field, origin, sign.
 
-    With ``asked`` only the records of the view ``asked``(rec_id) are judged;
-    counts and limits are over all values either way.
+    With ``asked`` only the records of ``asked``(rec_id, different ones) are judged;
+    counts and limits are over all values either way.  Spark's statement reads
+    {job}, {message}, {asked} and {prints}.
     """
     d = _Dialect(spark)
-    big, integer = "bigint", "int"
-    mark = rf"(?i)\s*({SURE_MARK}|{STYLE_MARK})\s*\z"
-
-    def words(value: str) -> str:
-        # Digits alike, tabs to blanks, line ends kept as a mark on the word before.
-        flat = f"translate(trim(lower({value})), concat('123456789', chr(9), chr(13)), '000000000 ')"
-        return d.words(d.sub(flat, r"\n+", "¶ "))
-
-    # Marks and last words are looked for in the tail only.
-    end = f"right(text, {MARK_TAIL})"
-    bare_end = d.sub(d.sub(end, mark, ""), r"\s+\z", "")
-    bare = f"concat(substr(text, 1, greatest(length(text) - {MARK_TAIL}, 0)), {bare_end})"
-    bare_tail = f"concat(substr(right(text, {TAIL}), 1, greatest(least(length(text), {TAIL}) - {MARK_TAIL}, 0)), {bare_end})"
+    end, bare_end, bare = _ends(d)
+    # Computed before the join with ``asked``, so that it moves tails and no texts.
+    tail_words = _words(d, f"concat(substr(right({d.trimmed('text')}, {TAIL}), 1, greatest(least(length({d.trimmed('text')}), {TAIL}) - {MARK_TAIL}, 0)), {bare_end})")
     size = d.size("ws")
     last = d.item("ws", size)
     trimmed = "rtrim('¶', w)" if spark else "rtrim(w, '¶')"
     ending = "endswith(w, '¶')" if spark else "ends_with(w, '¶')"
     texts = texts_sql(d) if spark else texts_sql(d).replace("AS string", "AS VARCHAR")
-    # Combined map-side, so a hot text costs no more than others; both counts read one shuffle.
-    different, counted = (",\n    different AS (SELECT DISTINCT field, text FROM texts)", "different") if spark else ("", "texts")
+    if spark:
+        texts = texts.replace("FROM job", "FROM {job}").replace("FROM message", "FROM {message}")
+        counted = (
+            f"SELECT {hint} t.field, 1 / coalesce(c.k, 1) AS weight, {_words(d, bare)} AS ws FROM texts AS t "
+            "LEFT JOIN (SELECT print, k FROM {prints} WHERE k > 1) AS c ON xxhash64(t.field, t.text) = c.print"
+        )
+        prints, printed = "", "{prints}"
+    else:
+        counted = f"SELECT field, 1 AS weight, {_words(d, bare)} AS ws FROM (SELECT DISTINCT field, text FROM texts) AS t"
+        prints, printed = f"prints AS ({prints_sql(d)}),", "prints"
+    only = " JOIN {asked} AS a ON t.rec_id = a.rec_id" if asked else ""
     return f"""
-    WITH texts AS ({texts}){different},
-    tokens AS (SELECT field, {words(bare)} AS ws FROM {counted}),
+    WITH texts AS ({texts}), {prints}
+    tokens AS ({counted}),
     grams AS ({d.explode_trigrams()}),
     counts AS (
-        SELECT field, c, {trimmed} AS w, CAST(sum(CASE WHEN {ending} THEN 0 ELSE n END) AS {big}) AS inside,
-               CAST(sum(CASE WHEN {ending} THEN n ELSE 0 END) AS {big}) AS ending
-        FROM (SELECT field, {d.digest("a", "b")} AS c, w, count(*) AS n FROM grams GROUP BY 1, 2, 3) AS g
+        SELECT field, c, {trimmed} AS w, CAST(sum(CASE WHEN {ending} THEN 0 ELSE n END) AS bigint) AS inside,
+               CAST(sum(CASE WHEN {ending} THEN n ELSE 0 END) AS bigint) AS ending
+        FROM (SELECT field, {d.digest("a", "b")} AS c, w, CAST(round(sum(weight)) AS bigint) AS n FROM grams GROUP BY 1, 2, 3) AS g
         GROUP BY 1, 2, 3
     ),
     tails AS (
-        SELECT src_table, rec_id, field, origin, beginning, same, CAST(length(text) AS {integer}) AS n, {end} AS tail,
-               {bare_end} AS bare, {words(bare_tail)} AS ws, {d.like(end, CLOSED)} AS closed
-        FROM texts{" WHERE rec_id IN (SELECT rec_id FROM asked)" if asked else ""}
-    ),
-    lengths AS (
-        SELECT field, {d.like(end, CLOSED)} AS closed, CAST(length(text) AS {integer}) AS n, CAST(count(*) AS {big}) AS k
-        FROM {counted} GROUP BY 1, 2, 3
+        SELECT t.* FROM (
+            SELECT src_table, rec_id, field, origin, beginning, same, CAST(length(text) AS int) AS n, {end} AS tail, {bare_end} AS bare,
+                   CASE WHEN length(text) <= {TAIL} OR {d.size(tail_words)} > 3 THEN {tail_words} ELSE {_words(d, bare)} END AS ws,
+                   {d.like(end, CLOSED)} AS closed
+            FROM texts) AS t{only}
     ),
+    lengths AS (SELECT field, closed, n, CAST(count(*) AS bigint) AS k FROM {printed} GROUP BY 1, 2, 3),
     around AS (
         SELECT field, closed, n, k,
                sum(k) OVER (PARTITION BY field, closed ORDER BY n RANGE BETWEEN 15 PRECEDING AND 4 PRECEDING) AS below,
@@ -165,11 +207,11 @@ def judged_sql(spark: bool = True, asked: bool = False) -> str:
     ),
     limits AS (
         SELECT field, closed, n FROM around
-        WHERE k >= {LIMIT_LEAST} AND n >= 100
+        WHERE k >= {LIMIT_LEAST} AND n >= {LIMIT_SHORTEST}
           AND k >= {LIMIT_RATIO} * greatest(coalesce(below, 0), coalesce(above, 0)) / 12.0
     ),
     finals AS (
-        SELECT src_table, rec_id, field, origin, beginning, same, n, closed, {d.like("tail", mark)} AS marked,
+        SELECT src_table, rec_id, field, origin, beginning, same, n, closed, {d.like("tail", _MARK)} AS marked,
                {d.like("tail", rf"(?i){SURE_MARK}" + r"\s*\z")} AS sure,
                {d.like("tail", "(?i)" + BROKEN_MARKUP)} AS broken,
                {d.like("bare", CLOSED)} AS bare_closed,
@@ -194,53 +236,69 @@ def judged_sql(spark: bool = True, asked: bool = False) -> str:
         LEFT JOIN limits AS l ON f.field = l.field AND f.closed = l.closed AND f.n = l.n
     )
     SELECT src_table, rec_id, field, origin,
-           CASE WHEN beginning THEN true
-                WHEN same THEN false
-                WHEN broken OR sure OR at_limit THEN true
-                WHEN marked THEN NOT bare_closed AND ending <= inside + longer + 1
-                WHEN closed THEN false
-                ELSE (inside >= {INSIDE_LEAST} AND ending <= {WHOLE_TERMINAL_MOST} * (inside + ending))
-                  OR (inside = 0 AND longer >= {LONGER_LEAST} AND ending <= {TERMINAL_MOST} * (longer + ending))
-           END AS cut
+           CASE WHEN same AND NOT beginning THEN NULL
+                WHEN NOT (closed OR marked) AND inside >= {INSIDE_LEAST} AND ending <= {WHOLE_TERMINAL_MOST} * (inside + ending) THEN 'inner trigram'
+                WHEN NOT (closed OR marked) AND inside = 0 AND longer >= {LONGER_LEAST} AND ending <= {TERMINAL_MOST} * (longer + ending)
+                    THEN 'part of a word'
+                WHEN beginning THEN 'beginning of its source'
+                WHEN sure THEN 'mark'
+                WHEN marked AND NOT bare_closed AND ending <= inside + longer + 1 THEN 'mark'
+                WHEN broken THEN 'markup'
+                WHEN at_limit THEN 'field limit'
+           END AS sign
     FROM weighed
     """
 
 
-def found_sql(spark: bool = True, asked: bool = False) -> str:
-    return f"SELECT DISTINCT src_table, rec_id, field FROM ({judged_sql(spark, asked)}) AS j WHERE cut"
+def found_sql(spark: bool = True, asked: bool = False, hint: str = "") -> str:
+    return f"SELECT DISTINCT src_table, rec_id, field FROM ({judged_sql(spark, asked, hint)}) AS j WHERE sign IS NOT NULL"
 
 
-def rates_sql(spark: bool = True) -> str:
+def rates_sql(spark: bool = True, hint: str = "") -> str:
     return f"""
     SELECT src_table, field, origin, CAST(count(*) AS bigint) AS n_texts, CAST(sum(cut) AS bigint) AS n_cut,
            round(CAST(sum(cut) AS double) / count(*), 6) AS cut_share
     FROM (
-        SELECT src_table, field, origin, rec_id, max(CASE WHEN cut THEN 1 ELSE 0 END) AS cut
-        FROM ({judged_sql(spark)}) AS j GROUP BY src_table, field, origin, rec_id
+        SELECT src_table, field, origin, rec_id, max(CASE WHEN sign IS NOT NULL THEN 1 ELSE 0 END) AS cut
+        FROM ({judged_sql(spark, hint=hint)}) AS j GROUP BY src_table, field, origin, rec_id
     ) AS r GROUP BY src_table, field, origin
     """
 
 
+def signs_sql(spark: bool = True, hint: str = "") -> str:
+    return f"""
+    SELECT src_table, field, sign, CAST(count(DISTINCT rec_id) AS bigint) AS n_cut
+    FROM ({judged_sql(spark, hint=hint)}) AS j WHERE sign IS NOT NULL GROUP BY src_table, field, sign
+    """
+
+
+def _run(statement, job: DataFrame, message: DataFrame, **more: DataFrame) -> DataFrame:
+    """``statement(hint)`` over the tables, after the different texts are known."""
+    spark, d = job.sparkSession, _Dialect(True)
+    texts = texts_sql(d).replace("FROM job", "FROM {job}").replace("FROM message", "FROM {message}")
+    prints = durable(spark.sql(f"WITH texts AS ({texts}) {prints_sql(d)}", job=job, message=message))
+    hint = "/*+ BROADCAST(c) */" if prints.where("k > 1").count() <= COPIES_MOST else ""
+    return spark.sql(statement(hint), job=job, message=message, prints=prints, **more)
+
+
 def cut_descriptions(job: DataFrame, ids: DataFrame) -> DataFrame:
     """Those of ``ids``(id) whose description in ``job`` was cut."""
-    job.createOrReplaceTempView("job")
-    ids.selectExpr("CAST(id AS string) AS rec_id").createOrReplaceTempView("asked")
-    job.sparkSession.range(0).selectExpr(
-        "'' AS id", "'' AS sender_email", "'' AS summary", "'' AS reason", "'' AS body_text"
-    ).createOrReplaceTempView("message")
-    cut = job.sparkSession.sql(found_sql(asked=True))
+    asked = ids.selectExpr("CAST(id AS string) AS rec_id").distinct()
+    none = job.sparkSession.range(0).selectExpr("'' AS id", "'' AS sender_email", "'' AS summary", "'' AS reason", "'' AS body_text")
+    cut = _run(lambda hint: found_sql(asked=True, hint=hint), job, none, asked=asked)
     return cut.where("src_table = 'job'").selectExpr("try_cast(rec_id AS bigint) AS id")
 
 
 def found(job: DataFrame, message: DataFrame) -> DataFrame:
     """Cut values: src_table, rec_id, field."""
-    job.createOrReplaceTempView("job")
-    message.createOrReplaceTempView("message")
-    return job.sparkSession.sql(found_sql())
+    return _run(lambda hint: found_sql(hint=hint), job, message)
 
 
 def rates(job: DataFrame, message: DataFrame) -> DataFrame:
     """Share of cut values by field and source or sender domain."""
-    job.createOrReplaceTempView("job")
-    message.createOrReplaceTempView("message")
-    return job.sparkSession.sql(rates_sql())
+    return _run(lambda hint: rates_sql(hint=hint), job, message)
+
+
+def signs(job: DataFrame, message: DataFrame) -> DataFrame:
+    """How many values each sign found first, the trigrams before the others."""
+    return _run(lambda hint: signs_sql(hint=hint), job, message)

@@ -82,6 +82,10 @@ def _p7_rates(spark: SparkSession, d: str) -> DataFrame:
     return p7_truncation.rates(table(spark, d, "job"), table(spark, d, "message"))
 
 
+def _p7_signs(spark: SparkSession, d: str) -> DataFrame:
+    return p7_truncation.signs(table(spark, d, "job"), table(spark, d, "message"))
+
+
 def _p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return p8_encode.encode_corpus(table(spark, d, "documents")).select("doc_id", "ids")
 
@@ -117,6 +121,7 @@ def queries() -> dict[str, Query]:
         "p6_consensus": _p6_consensus,
         "p7_found": _p7_found,
         "p7_rates": _p7_rates,
+        "p7_signs": _p7_signs,
         "p8_ids": _p8_ids,
         "p9_pack": _p9_pack,
         "p9_report": _p9_report,
@@ -126,4 +131,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_found": p7_truncation.found_sql(spark=False), "p7_rates": p7_truncation.rates_sql(spark=False)}
+    return {
+        "p7_found": p7_truncation.found_sql(spark=False),
+        "p7_rates": p7_truncation.rates_sql(spark=False),
+        "p7_signs": p7_truncation.signs_sql(spark=False),
+    }
