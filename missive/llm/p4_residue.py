@@ -36,6 +36,8 @@ BOILERPLATE_RECORDS = 5
 BOILERPLATE_SHARE = 0.004
 #: An error or script page has at most so many sentences besides boilerplate for each one with evidence.
 OTHER_SENTENCES = 3
+#: Ids of asked records are broadcast up to so many.
+ASKED_MOST = 2_000_000
 
 # Nouns of the fields that posting templates leave open, in capitals inside brackets of any sort.
 SLOT_NOUNS = (
@@ -275,8 +277,12 @@ def different_lines(text: Column) -> Column:
     return F.array_distinct(F.split(_normal(text), r" *\n *"))
 
 
-def residue(records: DataFrame) -> DataFrame:
-    """Cases among ``records``(src_table, rec_id, host, description): rows src_table, rec_id."""
+def residue(records: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Cases among ``records``(src_table, rec_id, host, description): rows src_table, rec_id.
+
+    With ``asked``(rec_id, different ones) only those need an answer; lines are counted over all
+    records, and more are judged where ``asked`` is too large to be broadcast (``ASKED_MOST``).
+    """
     records = records.select("src_table", "rec_id", F.coalesce("host", F.lit("")).alias("host"), "description").where(
         F.length(F.trim("description")) > 0
     )
@@ -290,7 +296,12 @@ def residue(records: DataFrame) -> DataFrame:
     boilerplate = (
         counted.join(per_host, "host").where(F.col("n") >= BOILERPLATE_SHARE * F.col("n_records")).select("host", "digest")
     )
-    seen = durable(records.withColumn("evidence", _evidence(F.col("description"))).where(F.size("evidence") > 0))
+    text, judged = F.col("description"), records
+    if asked is not None and asked.count() <= ASKED_MOST:
+        judged = records.join(F.broadcast(asked.select(F.col("rec_id").alias("asked"))), F.col("rec_id") == F.col("asked"))
+        # A condition on both sides, or the filter on the evidence would go before the join.
+        text = F.when(F.col("asked").isNotNull(), text)
+    seen = durable(judged.withColumn("evidence", _evidence(text)).where(F.size("evidence") > 0).select(*records.columns, "evidence"))
     # Filler and slots decide at once; notices only if little else is said.
     unfinished = F.exists("evidence", lambda e: e["unfinished"])
     open_case = seen.where(unfinished).select("src_table", "rec_id")

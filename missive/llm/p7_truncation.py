@@ -49,6 +49,9 @@ TAIL = 160
 MARK_TAIL = 40
 #: Texts that occur more than once are broadcast (8 bytes each, and a count) up to so many, else joined.
 COPIES_MOST = 2_000_000
+#: Contexts (two words) that some ending asks for are broadcast (8 bytes each) up to so many, and spare
+#: the counting of all other trigrams; beyond it all are counted, and the join drops them.
+CONTEXTS_MOST = 2_000_000
 
 # Marks that stand for text left out, by how sure a sign they are.
 SURE_MARK = r"((\.\.\.|…) ?(more|mehr|suite|más)|\[(\.\.\.|…)\]|\((more|mehr|suite|más)\)|read more|weiterlesen|lire la suite|leer más|mehr lesen|continue reading)"
@@ -88,8 +91,8 @@ class _Dialect:
         return f"xxhash64({a}, {b})" if self.spark else f"hash({a}, {b})"
 
     def trimmed(self, value: str) -> str:
-        """Without trailing white space."""
-        return f"rtrim(concat(chr(9), chr(10), chr(13), ' '), {value})" if self.spark else f"rtrim({value}, concat(chr(9), chr(10), chr(13), ' '))"
+        """Without trailing white space; only texts that end in some are searched for it."""
+        return f"CASE WHEN {self.like(f'right({value}, 1)', chr(92) + 's')} THEN {self.sub(value, chr(92) + 's+' + chr(92) + 'z', '')} ELSE {value} END"
 
     def starts(self, value: str, head: str) -> str:
         return f"startswith({value}, {head})" if self.spark else f"starts_with({value}, {head})"
@@ -110,11 +113,11 @@ class _Dialect:
 
 
 def texts_sql(d: _Dialect) -> str:
-    """All values to be judged: src_table, rec_id, field, origin, text, beginning, same."""
+    """All values to be judged: src_table, rec_id, field, origin, text, body (without white space at its end), beginning, same."""
     starts = d.starts("body_text", "rtrim(summary)")
     domain = "lower(regexp_replace(coalesce(sender_email, ''), '^.*@', ''))"
     return f"""
-        SELECT * FROM (
+        SELECT *, {d.trimmed("text")} AS body FROM (
             SELECT 'job' AS src_table, CAST(id AS string) AS rec_id, 'description' AS field,
                    coalesce(source, '') AS origin, description AS text,
                    false AS beginning, false AS same FROM job
@@ -132,73 +135,92 @@ def _words(d: _Dialect, value: str) -> str:
     return d.words(d.sub(flat, r"\n+", "¶ "))
 
 
-_MARK = rf"(?i)\s*({SURE_MARK}|{STYLE_MARK})\s*\z"
+def _ends_sql(d: _Dialect, source: str) -> str:
+    """Texts with ``tail``, their last characters, and ``bare``, the same without a mark."""
+    bare = d.sub(d.sub("tail", rf"(?i)({SURE_MARK}|{STYLE_MARK})\z", ""), r"\s+\z", "")
+    return f"SELECT *, {bare} AS bare FROM (SELECT *, right(body, {MARK_TAIL}) AS tail FROM {source}) AS e"
 
 
-def _ends(d: _Dialect) -> tuple[str, str, str]:
-    """(last characters, the same without a mark, the text without a mark)."""
-    body = d.trimmed("text")
-    end = f"right({body}, {MARK_TAIL})"
-    bare_end = d.sub(d.sub(end, _MARK, ""), r"\s+\z", "")
-    return end, bare_end, f"concat(substr({body}, 1, greatest(length({body}) - {MARK_TAIL}, 0)), {bare_end})"
+#: A text without its mark.
+_BARE = f"concat(substr(body, 1, greatest(length(body) - {MARK_TAIL}, 0)), bare)"
+_BARE_TAIL = f"concat(substr(right(body, {TAIL}), 1, greatest(least(length(body), {TAIL}) - {MARK_TAIL}, 0)), bare)"
 
 
 def prints_sql(d: _Dialect) -> str:
     """Different texts by digest, with what piles of lengths need: field, print, closed, n, k (copies)."""
     print_ = "xxhash64(field, text)" if d.spark else "text"
-    end, _, _ = _ends(d)
     return f"""
         SELECT field, print, closed, n, CAST(count(*) AS bigint) AS k FROM (
-            SELECT field, {print_} AS print, {d.like(end, CLOSED)} AS closed, CAST(length(text) AS int) AS n FROM texts) AS p
+            SELECT field, {print_} AS print, {d.like("right(body, 1)", CLOSED)} AS closed, CAST(length(text) AS int) AS n FROM texts) AS p
         GROUP BY field, print, closed, n
     """
 
 
-def judged_sql(spark: bool = True, asked: bool = False, hint: str = "") -> str:
+def finals_sql(d: _Dialect, asked: bool = False) -> str:
+    """Every value with its ending: marks, the key ``c`` of its last trigram and its last word ``w``.
+
+    With ``asked`` only records of ``asked``(rec_id, different ones); joined last, so that no text moves.
+    """
+    tail_words, size = _words(d, _BARE_TAIL), d.size("ws")
+    only = " JOIN {asked} AS a ON f.rec_id = a.rec_id" if asked else ""
+    return f"""
+        SELECT f.* FROM (
+            SELECT src_table, rec_id, field, origin, beginning, same, n, {d.like("right(tail, 1)", CLOSED)} AS closed,
+                   length(bare) < length(tail) AS marked,
+                   length(bare) < length(tail) AND {d.like("tail", rf"(?i){SURE_MARK}" + r"\z")} AS sure,
+                   {d.like("tail", "(?i)" + BROKEN_MARKUP)} AS broken, {d.like("right(bare, 1)", CLOSED)} AS bare_closed,
+                   CASE WHEN {size} >= 3 THEN {d.digest(d.item("ws", size + " - 2"), d.item("ws", size + " - 1"))} END AS c,
+                   {d.item("ws", size)} AS w
+            FROM (
+                SELECT src_table, rec_id, field, origin, beginning, same, CAST(length(text) AS int) AS n, tail, bare,
+                       CASE WHEN length(body) <= {TAIL} OR {d.size("tail_ws")} > 3 THEN tail_ws ELSE {_words(d, _BARE)} END AS ws
+                FROM (SELECT *, {tail_words} AS tail_ws FROM ({_ends_sql(d, "texts")}) AS b) AS t
+            ) AS t
+        ) AS f{only}
+    """
+
+
+def _texts(d: _Dialect) -> str:
+    texts = texts_sql(d)
+    if d.spark:
+        return texts.replace("FROM job", "FROM {job}").replace("FROM message", "FROM {message}")
+    return texts.replace("AS string", "AS VARCHAR")
+
+
+def judged_sql(spark: bool = True, hint: str = "", only: bool = False) -> str:
     """Every value with ``sign``, the first sign of a cut, or null: src_table, rec_id, field, origin, sign.
 
-    With ``asked`` only the records of ``asked``(rec_id, different ones) are judged;
-    counts and limits are over all values either way.  Spark's statement reads
-    {job}, {message}, {asked} and {prints}.
+    Counts and limits are over all values, even where only some are judged.
+    Spark's statement reads {job}, {message}, {prints} and {finals}; with ``only``
+    it counts the trigrams of wanted contexts alone.
     """
     d = _Dialect(spark)
-    end, bare_end, bare = _ends(d)
-    # Computed before the join with ``asked``, so that it moves tails and no texts.
-    tail_words = _words(d, f"concat(substr(right({d.trimmed('text')}, {TAIL}), 1, greatest(least(length({d.trimmed('text')}), {TAIL}) - {MARK_TAIL}, 0)), {bare_end})")
-    size = d.size("ws")
-    last = d.item("ws", size)
     trimmed = "rtrim('¶', w)" if spark else "rtrim(w, '¶')"
     ending = "endswith(w, '¶')" if spark else "ends_with(w, '¶')"
-    texts = texts_sql(d) if spark else texts_sql(d).replace("AS string", "AS VARCHAR")
+    wanted = " LEFT SEMI JOIN (SELECT c FROM {finals} WHERE c IS NOT NULL GROUP BY c) AS q ON z.c = q.c" if only else ""
+    chosen = "/*+ BROADCAST(q) */ " if only else ""
     if spark:
-        texts = texts.replace("FROM job", "FROM {job}").replace("FROM message", "FROM {message}")
         counted = (
-            f"SELECT {hint} t.field, 1 / coalesce(c.k, 1) AS weight, {_words(d, bare)} AS ws FROM texts AS t "
+            f"SELECT {hint} t.field, 1 / coalesce(c.k, 1) AS weight, {_words(d, _BARE)} AS ws FROM ({_ends_sql(d, 'texts')}) AS t "
             "LEFT JOIN (SELECT print, k FROM {prints} WHERE k > 1) AS c ON xxhash64(t.field, t.text) = c.print"
         )
-        prints, printed = "", "{prints}"
+        first, finals, prints = "", "{finals}", "{prints}"
     else:
-        counted = f"SELECT field, 1 AS weight, {_words(d, bare)} AS ws FROM (SELECT DISTINCT field, text FROM texts) AS t"
-        prints, printed = f"prints AS ({prints_sql(d)}),", "prints"
-    only = " JOIN {asked} AS a ON t.rec_id = a.rec_id" if asked else ""
+        different = _ends_sql(d, "(SELECT DISTINCT field, text, body FROM texts) AS d")
+        counted = f"SELECT field, 1 AS weight, {_words(d, _BARE)} AS ws FROM ({different}) AS t"
+        first, finals, prints = f"prints AS ({prints_sql(d)}), finals AS ({finals_sql(d)}),", "finals", "prints"
     return f"""
-    WITH texts AS ({texts}), {prints}
+    WITH texts AS ({_texts(d)}), {first}
     tokens AS ({counted}),
     grams AS ({d.explode_trigrams()}),
     counts AS (
         SELECT field, c, {trimmed} AS w, CAST(sum(CASE WHEN {ending} THEN 0 ELSE n END) AS bigint) AS inside,
                CAST(sum(CASE WHEN {ending} THEN n ELSE 0 END) AS bigint) AS ending
-        FROM (SELECT field, {d.digest("a", "b")} AS c, w, CAST(round(sum(weight)) AS bigint) AS n FROM grams GROUP BY 1, 2, 3) AS g
+        FROM (SELECT {chosen}field, c, w, CAST(round(sum(weight)) AS bigint) AS n
+              FROM (SELECT field, weight, {d.digest("a", "b")} AS c, w FROM grams) AS z{wanted} GROUP BY 1, 2, 3) AS g
         GROUP BY 1, 2, 3
     ),
-    tails AS (
-        SELECT t.* FROM (
-            SELECT src_table, rec_id, field, origin, beginning, same, CAST(length(text) AS int) AS n, {end} AS tail, {bare_end} AS bare,
-                   CASE WHEN length(text) <= {TAIL} OR {d.size(tail_words)} > 3 THEN {tail_words} ELSE {_words(d, bare)} END AS ws,
-                   {d.like(end, CLOSED)} AS closed
-            FROM texts) AS t{only}
-    ),
-    lengths AS (SELECT field, closed, n, CAST(count(*) AS bigint) AS k FROM {printed} GROUP BY 1, 2, 3),
+    lengths AS (SELECT field, closed, n, CAST(count(*) AS bigint) AS k FROM {prints} GROUP BY 1, 2, 3),
     around AS (
         SELECT field, closed, n, k,
                sum(k) OVER (PARTITION BY field, closed ORDER BY n RANGE BETWEEN 15 PRECEDING AND 4 PRECEDING) AS below,
@@ -210,16 +232,7 @@ def judged_sql(spark: bool = True, asked: bool = False, hint: str = "") -> str:
         WHERE k >= {LIMIT_LEAST} AND n >= {LIMIT_SHORTEST}
           AND k >= {LIMIT_RATIO} * greatest(coalesce(below, 0), coalesce(above, 0)) / 12.0
     ),
-    finals AS (
-        SELECT src_table, rec_id, field, origin, beginning, same, n, closed, {d.like("tail", _MARK)} AS marked,
-               {d.like("tail", rf"(?i){SURE_MARK}" + r"\s*\z")} AS sure,
-               {d.like("tail", "(?i)" + BROKEN_MARKUP)} AS broken,
-               {d.like("bare", CLOSED)} AS bare_closed,
-               CASE WHEN {size} >= 3 THEN {d.digest(d.item("ws", size + " - 2"), d.item("ws", size + " - 1"))} END AS c,
-               {last} AS w
-        FROM tails
-    ),
-    wanted AS (SELECT DISTINCT field, c, w FROM finals WHERE c IS NOT NULL),
+    wanted AS (SELECT DISTINCT field, c, w FROM {finals} WHERE c IS NOT NULL),
     known AS (
         SELECT q.field, q.c, q.w,
                max(CASE WHEN k.w = q.w THEN k.inside ELSE 0 END) AS inside,
@@ -231,7 +244,7 @@ def judged_sql(spark: bool = True, asked: bool = False, hint: str = "") -> str:
     weighed AS (
         SELECT f.*, coalesce(k.inside, 0) AS inside, coalesce(k.ending, 0) - 1 AS ending, coalesce(k.longer, 0) AS longer,
                l.n IS NOT NULL AS at_limit
-        FROM finals AS f
+        FROM {finals} AS f
         LEFT JOIN known AS k ON f.field = k.field AND f.c = k.c AND f.w = k.w
         LEFT JOIN limits AS l ON f.field = l.field AND f.closed = l.closed AND f.n = l.n
     )
@@ -250,55 +263,59 @@ def judged_sql(spark: bool = True, asked: bool = False, hint: str = "") -> str:
     """
 
 
-def found_sql(spark: bool = True, asked: bool = False, hint: str = "") -> str:
-    return f"SELECT DISTINCT src_table, rec_id, field FROM ({judged_sql(spark, asked, hint)}) AS j WHERE sign IS NOT NULL"
+def found_sql(spark: bool = True, hint: str = "", only: bool = False) -> str:
+    return f"SELECT DISTINCT src_table, rec_id, field FROM ({judged_sql(spark, hint, only)}) AS j WHERE sign IS NOT NULL"
 
 
-def rates_sql(spark: bool = True, hint: str = "") -> str:
+def rates_sql(spark: bool = True, hint: str = "", only: bool = False) -> str:
     return f"""
     SELECT src_table, field, origin, CAST(count(*) AS bigint) AS n_texts, CAST(sum(cut) AS bigint) AS n_cut,
            round(CAST(sum(cut) AS double) / count(*), 6) AS cut_share
     FROM (
         SELECT src_table, field, origin, rec_id, max(CASE WHEN sign IS NOT NULL THEN 1 ELSE 0 END) AS cut
-        FROM ({judged_sql(spark, hint=hint)}) AS j GROUP BY src_table, field, origin, rec_id
+        FROM ({judged_sql(spark, hint, only)}) AS j GROUP BY src_table, field, origin, rec_id
     ) AS r GROUP BY src_table, field, origin
     """
 
 
-def signs_sql(spark: bool = True, hint: str = "") -> str:
+def signs_sql(spark: bool = True, hint: str = "", only: bool = False) -> str:
     return f"""
     SELECT src_table, field, sign, CAST(count(DISTINCT rec_id) AS bigint) AS n_cut
-    FROM ({judged_sql(spark, hint=hint)}) AS j WHERE sign IS NOT NULL GROUP BY src_table, field, sign
+    FROM ({judged_sql(spark, hint, only)}) AS j WHERE sign IS NOT NULL GROUP BY src_table, field, sign
     """
 
 
-def _run(statement, job: DataFrame, message: DataFrame, **more: DataFrame) -> DataFrame:
-    """``statement(hint)`` over the tables, after the different texts are known."""
+def _run(statement, job: DataFrame, message: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``statement`` over the tables, after different texts and endings are known."""
     spark, d = job.sparkSession, _Dialect(True)
-    texts = texts_sql(d).replace("FROM job", "FROM {job}").replace("FROM message", "FROM {message}")
-    prints = durable(spark.sql(f"WITH texts AS ({texts}) {prints_sql(d)}", job=job, message=message))
+    tables = {"job": job, "message": message}
+    with_texts = f"WITH texts AS ({_texts(d)}) "
+    prints = durable(spark.sql(with_texts + prints_sql(d), **tables))
+    more = {} if asked is None else {"asked": asked}
+    finals = durable(spark.sql(with_texts + finals_sql(d, asked is not None), **tables, **more))
     hint = "/*+ BROADCAST(c) */" if prints.where("k > 1").count() <= COPIES_MOST else ""
-    return spark.sql(statement(hint), job=job, message=message, prints=prints, **more)
+    only = finals.where("c IS NOT NULL").select("c").distinct().count() <= CONTEXTS_MOST
+    return spark.sql(statement(hint=hint, only=only), **tables, prints=prints, finals=finals)
 
 
 def cut_descriptions(job: DataFrame, ids: DataFrame) -> DataFrame:
     """Those of ``ids``(id) whose description in ``job`` was cut."""
     asked = ids.selectExpr("CAST(id AS string) AS rec_id").distinct()
     none = job.sparkSession.range(0).selectExpr("'' AS id", "'' AS sender_email", "'' AS summary", "'' AS reason", "'' AS body_text")
-    cut = _run(lambda hint: found_sql(asked=True, hint=hint), job, none, asked=asked)
+    cut = _run(found_sql, job, none, asked)
     return cut.where("src_table = 'job'").selectExpr("try_cast(rec_id AS bigint) AS id")
 
 
 def found(job: DataFrame, message: DataFrame) -> DataFrame:
     """Cut values: src_table, rec_id, field."""
-    return _run(lambda hint: found_sql(hint=hint), job, message)
+    return _run(found_sql, job, message)
 
 
 def rates(job: DataFrame, message: DataFrame) -> DataFrame:
     """Share of cut values by field and source or sender domain."""
-    return _run(lambda hint: rates_sql(hint=hint), job, message)
+    return _run(rates_sql, job, message)
 
 
 def signs(job: DataFrame, message: DataFrame) -> DataFrame:
     """How many values each sign found first, the trigrams before the others."""
-    return _run(lambda hint: signs_sql(hint=hint), job, message)
+    return _run(signs_sql, job, message)
