@@ -8,6 +8,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from datetime import datetime
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -15,6 +16,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from missive import fixed
+from missive.functions.text import DATE_ISO
+
 SILENT = {"script", "style", "head", "noscript", "template"}
 LINK_TEXT_MOST = 200
 
@@ -112,6 +116,45 @@ def _posting(blocks: list[str]) -> dict:
     return {}
 
 
+def _one(value):
+    """The first of a list, or the value itself."""
+    return (value[0] if value else None) if isinstance(value, list) else value
+
+
+def pay_range(posting: dict) -> str:
+    """``currency low–high /unit`` of a JSON-LD posting; '' if it states no amount."""
+    base = _one(posting.get("baseSalary") or posting.get("estimatedSalary"))
+    if not isinstance(base, dict):
+        return ""
+    value = base.get("value") or base.get("minValue")
+    inner = value if isinstance(value, dict) else {}
+    low = inner.get("minValue") or inner.get("value") or base.get("minValue") or (value if not inner else None)
+    high = (inner.get("maxValue") or base.get("maxValue")) if inner else None
+    if not low:
+        return ""
+    unit = str(inner.get("unitText") or base.get("unitText") or "") if inner else ""
+    amount = f"{low}–{high}" if high and str(high) != str(low) else str(low).strip()
+    return " ".join(filter(None, [str(base.get("currency") or "USD"), amount, {"HOUR": "/hour", "YEAR": "/year"}.get(unit, unit)]))
+
+
+def posted_day(posting: dict) -> str:
+    """The ISO day a JSON-LD posting was published on, else what it says, clipped."""
+    told = str(posting.get("datePosted") or posting.get("dateCreated") or "")
+    day = re.search(DATE_ISO, told)
+    if day:
+        return day.group(1)
+    try:
+        return datetime.fromisoformat(told.replace("Z", "+00:00")).date().isoformat()
+    except ValueError:
+        return told[:32]
+
+
+def employment_kind(posting: dict) -> str:
+    """The label of a JSON-LD posting's first kind of employment."""
+    told = str(_one(posting.get("employmentType") or "") or "")
+    return fixed.EMPLOYMENT_CODES.get(told.upper().replace(" ", "_"), told.replace("_", " ").title()[:40])
+
+
 @F.arrow_udf(StringType())
 def _unescape(column: pa.Array) -> pa.Array:
     return pa.array([None if v is None else html.unescape(v) for v in column.to_pylist()], pa.string())
@@ -151,18 +194,14 @@ def page_record(markup: str | None) -> dict[str, str] | None:
         place = place[0] if isinstance(place, list) and place else place
         address = (place.get("address") or {}) if isinstance(place, dict) else {}
         parts = [address.get(k) for k in ("addressLocality", "addressRegion")] if isinstance(address, dict) else []
-        base = found.get("baseSalary") or {}
-        value = base.get("value") if isinstance(base, dict) else None
-        amounts = [str(value[k]) for k in ("minValue", "maxValue", "value") if isinstance(value, dict) and value.get(k)]
-        kind = found.get("employmentType") or ""
         out |= {
             "title": str(found.get("title") or ""),
             "company": name(found.get("hiringOrganization")),
             "location": ", ".join(p for p in parts if p),
             "description": squeeze("\n".join(read(str(found.get("description") or "")).text)),
-            "posted_at": str(found.get("datePosted") or "")[:10],
-            "employment_type": ", ".join(kind) if isinstance(kind, list) else str(kind),
-            "salary": " - ".join(amounts),
+            "posted_at": posted_day(found),
+            "employment_type": employment_kind(found),
+            "salary": pay_range(found),
             "extraction": "jsonld",
         }
         if found.get("jobLocationType") == "TELECOMMUTE":

@@ -44,28 +44,58 @@ def timeline(events: DataFrame, entity: str, order: str, *columns: str) -> DataF
     return events.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct(order, *columns)), asc=False).alias("events"))
 
 
+def _prefixes(name: Column) -> Column:
+    """The name's beginnings of whole words, itself left out."""
+    words = F.split(name, " ")
+    return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
+
+
+def same_or_longer(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFrame:
+    """Pairs (name_a, name_b) of different names one of which begins with the whole words of the other.
+
+    Both frames hold different names.  Names meet on their beginnings, so only true pairs arise.
+    """
+    heads = lambda df, n, m: df.where(F.size(F.split(n, " ")) > 1).select(F.col(n), F.explode(_prefixes(F.col(n))).alias(m))
+    longer = heads(a, name_a, name_b).join(b.select(name_b), name_b)
+    shorter = heads(b, name_b, name_a).join(a.select(name_a), name_a)
+    return longer.select(name_a, name_b).unionByName(shorter.select(name_a, name_b))
+
+
 def attach(events: DataFrame, entities: DataFrame) -> DataFrame:
-    """Events (event_id, company, role) to entities (entity_id, company, role, opened_at, closed).
+    """Events (event_id, company, role, has_role) to entities (entity_id, company, role, last_event_at, closed).
+
+    Of the entities of the event's company, or if there are none, of companies
+    whose whole words begin like it or the other way round:
+
+    0. the one of exactly the event's company and role, if a role is given;
+    1. the newest whose role holds the event's or is held by it;
+    2. the newest open one;
+    3. the newest.
 
-    Tiers, best first: equal company and role; equal company and a role that
-    holds the other; equal company, open before closed and newest first; a
-    company whose words begin with the other's.  Companies are joined on their
-    first word, the only key that all tiers share; no pairs beyond it arise.
+    Newest is by ``last_event_at``, ties and exact ones end at the least id.
+    Events without company have no row.  Rows of one company and role are brought
+    down to one before they meet, so that a company that holds a third of all
+    rows gives as many pairs as it has different roles.
     """
-    first = lambda c: F.substring_index(c, " ", 1)
-    e = events.select("event_id", F.col("company").alias("ec"), F.col("role").alias("er")).where("ec <> ''").withColumn("k", first(F.col("ec")))
-    t = entities.select("entity_id", F.col("company").alias("tc"), F.col("role").alias("tr"), "opened_at", "closed").where("tc <> ''").withColumn(
-        "k", first(F.col("tc"))
+    asked = events.where("company <> ''").select(F.col("company").alias("ec"), F.col("role").alias("er"), "has_role").distinct()
+    newest = F.struct((-F.unix_micros("last_event_at")).alias("age"), F.col("entity_id"))
+    kinds = (
+        entities.where("company <> ''").groupBy(F.col("company").alias("tc"), F.col("role").alias("tr"))
+        .agg(F.min("entity_id").alias("least"), F.min(newest).alias("newest"), F.min(F.when(~F.col("closed"), newest)).alias("open"))
     )
-    pair = e.join(t, "k")
-    same = F.col("ec") == F.col("tc")
+    companies, known = asked.select("ec").distinct(), kinds.select("tc").distinct()
+    near = same_or_longer(companies.join(known, F.col("ec") == F.col("tc"), "left_anti"), known, "ec", "tc")
+    own = asked.join(kinds, F.col("ec") == F.col("tc")).withColumn("prefix", F.lit(False))
+    other = asked.join(near, "ec").join(kinds, "tc").withColumn("prefix", F.lit(True))
+    pairs = own.unionByName(other.select(*own.columns))
     within = (F.col("er") != "") & (F.col("tr") != "") & (F.contains("er", F.col("tr")) | F.contains("tr", F.col("er")))
-    prefix = F.startswith("ec", F.concat("tc", F.lit(" "))) | F.startswith("tc", F.concat("ec", F.lit(" ")))
-    tier = (
-        F.when(same & (F.col("er") == F.col("tr")), 0).when(same & within, 1).when(same & ~F.col("closed"), 2).when(same, 3).when(prefix, 4)
-    )
-    best = F.min_by("entity_id", F.struct(F.col("tier"), (-F.unix_micros("opened_at")).alias("age"), F.col("entity_id")))
-    return (
-        pair.withColumn("tier", tier).where("tier IS NOT NULL")
-        .groupBy("event_id").agg(best.alias("entity_id"), F.min("tier").alias("tier"))
+    exact = F.col("has_role") & ~F.col("prefix") & (F.col("er") == F.col("tr"))
+    best = pairs.groupBy("ec", "er", "has_role").agg(
+        F.min(F.when(exact, F.col("least"))).alias("exact"), F.min(F.when(within, F.col("newest"))).alias("alike"),
+        F.min("open").alias("open"), F.min("newest").alias("newest"), F.first("prefix").alias("prefix"),
     )
+    tiers = [F.col("exact"), F.col("alike.entity_id"), F.col("open.entity_id"), F.col("newest.entity_id")]
+    tier = F.when(tiers[0].isNotNull(), 0).when(tiers[1].isNotNull(), 1).when(tiers[2].isNotNull(), 2).otherwise(3)
+    best = best.select("ec", "er", "has_role", F.coalesce(*tiers).alias("entity_id"), tier.alias("tier"), "prefix")
+    keyed = events.select("event_id", F.col("company").alias("ec"), F.col("role").alias("er"), "has_role")
+    return keyed.join(best, ["ec", "er", "has_role"]).select("event_id", "entity_id", "tier", "prefix")

@@ -22,14 +22,22 @@ def counts(rows: DataFrame, **conditions: Column) -> DataFrame:
     return rows.agg(*(F.count_if(c).alias(n) for n, c in conditions.items()))
 
 
+def metrics(rows: DataFrame, **aggregates: Column) -> DataFrame:
+    """Aggregates of one pass over the rows as rows of (metric, n)."""
+    one = rows.agg(*(a.cast("bigint").alias(n) for n, a in aggregates.items()))
+    return one.unpivot([], list(aggregates), "metric", "n")
+
+
 def rollup(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Counts by both columns, by each alone and in total."""
+    """Counts by both columns, by each alone and in total; the total of nothing is 0."""
     both = rows.groupBy(a, b).agg(F.count("*").alias("n"))
     # The pre-aggregate is what gets expanded, not the rows.
-    return (
-        both.groupingSets([[F.col(a), F.col(b)], [F.col(a)], [F.col(b)], []], F.col(a), F.col(b))
-        .agg(F.sum("n").alias("n"), F.grouping_id().cast("bigint").alias("level"))
+    parts = both.groupingSets([[F.col(a), F.col(b)], [F.col(a)], [F.col(b)]], F.col(a), F.col(b)).agg(
+        F.sum("n").alias("n"), F.grouping_id().cast("bigint").alias("level")
     )
+    none = F.lit(None).cast("string")
+    total = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(none.alias(a), none.alias(b), "n", F.lit(3).cast("bigint").alias("level"))
+    return parts.unionByName(total)
 
 
 def day_runs(rows: DataFrame, time: str, order: list[str], zone: str) -> DataFrame:

@@ -6,54 +6,22 @@ numbers as bigint, doubles rounded to six digits, arrays joined to text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.functions import html, mail, urls
+from missive import fixed
+from missive.functions import fields, html, mail, urls
 from missive.functions import text as T
 from missive.operators import dedup, fold, reports, score
-from missive.runtime import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+from missive.plans.base import QUERIES, SQL, Query, in_list, query, quoted
+from missive.runtime import balanced, table
 
 ZONE = "America/New_York"
-CATEGORIES = ["job_alert", "recruiter_outreach", "application_update", "interview_invite", "assessment", "next_step", "offer", "rejection", "other", "spam"]
+CATEGORIES = list(fixed.CATEGORIES)
 #: Ranks by which event kinds advance a status, for the queries below.
 RANKS = {
     "submitted": 1, "applied": 1, "in_review": 2, "next_step": 3, "assessment": 4, "interview": 5, "offer": 6, "rejected": 7, "withdrawn": 7,
 }
 CLOSED = {"offer", "rejected", "withdrawn"}
-#: A short ordered rule list for the classifier query: pattern, label.
-RULES = [
-    (r"(?i)offer letter|glad to offer|pleased to offer|job offer", "offer"),
-    (r"(?i)other candidates|not move forward|went on with other|no longer under consideration", "rejection"),
-    (r"(?i)invite you to an interview|schedule (a|an)? ?(interview|call)|phone screen", "interview_invite"),
-    (r"(?i)take-home|coding (challenge|test)|online assessment", "assessment"),
-    (r"(?i)code for sign-in|verification code|one-time code", "security"),
-    (r"(?i)we received your (papers|application)|thank you for (applying|your application)", "application_update"),
-    (r"(?i)new jobs? match|fresh results|these roles may interest you|new openings for you", "job_alert"),
-    (r"(?i)came across your (profile|resume)|send your current resume", "recruiter_outreach"),
-    (r"(?i)newsletter|monthly letter|webinar|unsubscribe", "marketing"),
-]
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return register
-
-
-def _quoted(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
-
 
 # -- text ------------------------------------------------------------------------
 _CLEAN = r"""
@@ -67,19 +35,22 @@ def _clean(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
 
 
-def _norm_sql(column: str, noise: bool = False) -> str:
+def _norm_sql(column: str, noise: tuple[str, ...] = ()) -> str:
     t = f"regexp_replace(lower(coalesce({column}, '')), '[^a-z0-9 ]', ' ', 'g')"
     if noise:
-        t = f"regexp_replace({t}, '\\b(?:{'|'.join(T.COMPANY_NOISE)})\\b', ' ', 'g')"
+        t = f"regexp_replace({t}, '\\b(?:{'|'.join(noise)})\\b', ' ', 'g')"
     return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
 
 
-@query("normalise_company", f"SELECT id, {_norm_sql('company', True)} AS normalised FROM job")
+_COMPANY, _ROLE = fixed.COMPANY_NOISE, fixed.ROLE_NOISE
+
+
+@query("normalise_company", f"SELECT id, {_norm_sql('company', _COMPANY)} AS company_key, {_norm_sql('title', _ROLE)} AS role_key FROM job")
 def _normalise_company(spark, d):
-    return table(spark, d, "job").select("id", T.normalise_name(F.col("company"), T.COMPANY_NOISE).alias("normalised"))
+    return table(spark, d, "job").select("id", T.normalise_company(F.col("company")).alias("company_key"), T.normalise_role(F.col("title")).alias("role_key"))
 
 
-_KEY_SQL = f"CASE WHEN {_norm_sql('company', True)} <> '' AND {_norm_sql('title')} <> '' THEN {_norm_sql('company', True)} || '|' || {_norm_sql('title')} ELSE '' END"
+_KEY_SQL = f"CASE WHEN {_norm_sql('company', _COMPANY)} <> '' AND {_norm_sql('title', _ROLE)} <> '' THEN {_norm_sql('company', _COMPANY)} || '|' || {_norm_sql('title', _ROLE)} ELSE '' END"
 
 
 @query("pair_key", f"SELECT id, {_KEY_SQL} AS pair_key FROM job")
@@ -93,9 +64,9 @@ def _fingerprint(spark, d):
 
 
 def _fold_sql(column: str) -> str:
-    t = f"regexp_replace(replace(lower(coalesce({column}, '')), 'ai/ml', 'ai ml'), '[/-]', ' ', 'g')"
+    t = f"regexp_replace(regexp_replace(lower(coalesce({column}, '')), 'ai[/-]ml', ' ai ml ', 'g'), '[/-]', ' ', 'g')"
     for long, short in T.TITLE_FOLDS.items():
-        t = f"regexp_replace({t}, '\\b{long}\\b', '{short}', 'g')"
+        t = f"regexp_replace({t}, '\\b{long}\\b', ' {short} ', 'g')"
     return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
 
 
@@ -104,7 +75,7 @@ def _fold_title(spark, d):
     return table(spark, d, "job").select("id", T.fold_title(F.coalesce("title", F.lit(""))).alias("folded"))
 
 
-_STOP = ", ".join(map(_quoted, T.STOPWORDS))
+_STOP = ", ".join(map(quoted, T.STOPWORDS))
 _TOKENS = f"list_filter(regexp_extract_all(lower(coalesce({{c}}, '')), '{T.TOKEN}'), lambda w: NOT list_contains([{_STOP}], w))"
 
 
@@ -136,64 +107,34 @@ def _phone(spark, d):
     return table(spark, d, "message").select("id", "body_text").distinct().select("id", T.first_match(F.col("body_text"), T.PHONE, 40).alias("phone"))
 
 
-@query("money_text", f"SELECT id, substr(coalesce(regexp_extract(description, '{T.MONEY}', 0), ''), 1, 80) AS money FROM job")
-def _money(spark, d):
-    return table(spark, d, "job").select("id", T.first_match(F.col("description"), T.MONEY, 80).alias("money"))
-
-
-@query(
-    "state_code",
-    f"""SELECT id, CASE WHEN regexp_matches(coalesce(location, ''), '{T.REMOTE}') THEN 'Remote'
-    WHEN regexp_extract(coalesce(location, ''), '{T.STATE}', 1) <> '' THEN regexp_extract(coalesce(location, ''), '{T.STATE}', 1)
-    WHEN regexp_matches(substr(coalesce(description, ''), 1, 2000), '{T.REMOTE}') THEN 'Remote'
-    ELSE regexp_extract(substr(coalesce(description, ''), 1, 2000), '{T.STATE}', 1) END AS state FROM job""",
-)
-def _state(spark, d):
-    return table(spark, d, "job").select("id", T.state_of(F.col("location"), F.col("description")).alias("state"))
-
-
-_RULE_CASE = " ".join(f"WHEN regexp_matches(blob, {_quoted(p)}) THEN {_quoted(label)}" for p, label in RULES)
-
-
-@query(
-    "classify_messages",
-    f"SELECT id, CASE {_RULE_CASE} ELSE 'other' END AS label FROM (SELECT DISTINCT id, coalesce(subject, '') || chr(10) || substr(coalesce(body_text, ''), 1, 6000) AS blob FROM message)",
-)
-def _classify(spark, d):
-    blob = F.concat(F.coalesce("subject", F.lit("")), F.lit("\n"), F.substring(F.coalesce("body_text", F.lit("")), 1, 6000))
-    return table(spark, d, "message").select("id", blob.alias("blob")).distinct().select("id", T.first_rule(F.col("blob"), RULES, "other").alias("label"))
-
-
 # -- scoring ---------------------------------------------------------------------
 _P = score.EXAMPLE
 _TERMS = score.profile_terms(_P)
 
 
-def _cosine_sql(column: str) -> str:
-    words = _TOKENS.replace("{c}", column)
-    parts = " + ".join(f"sqrt(len(list_filter(ws, lambda w: w = {_quoted(t)}))) * sqrt({n})" for t, n in sorted(_TERMS.items()))
-    return words, f"CASE WHEN len(ws) > 0 THEN ({parts}) / (sqrt(len(ws)) * sqrt({sum(_TERMS.values())})) ELSE 0.0 END"
+def _cosine_sql() -> str:
+    parts = " + ".join(f"sqrt(len(list_filter(ws, lambda w: w = {quoted(t)}))) * sqrt({n})" for t, n in sorted(_TERMS.items()))
+    return f"CASE WHEN len(ws) > 0 THEN ({parts}) / (sqrt(len(ws)) * sqrt({sum(_TERMS.values())})) ELSE 0.0 END"
 
 
-_W_DOC, _COS = _cosine_sql("text")
-_W_JOB, _ = _cosine_sql("description")
+_W_DOC, _COS = _TOKENS.replace("{c}", "text"), _cosine_sql()
 
 
 @query("score_documents", f"SELECT doc_id, round({_COS}, 6) AS cosine FROM (SELECT doc_id, {_W_DOC} AS ws FROM documents)")
 def _score_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(score.cosine(F.col("text"), _P), 6).alias("cosine"))
+    words = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("words"))
+    return words.select("doc_id", F.round(score.cosine(F.col("words"), _P), 6).alias("cosine"))
 
 
-def _term_sql(column: str, term: str) -> str:
-    import re
-
-    if len(term) <= 3 or not term.isalnum():
-        return f"regexp_matches({column}, {_quoted('(^|[^a-z0-9])' + re.escape(term) + '([^a-z0-9]|$)')})"
-    return f"contains({column}, {_quoted(term)})"
+def _any_sql(column: str, terms) -> str:
+    alone = [t for t in terms if score.stands_alone(t)]
+    parts = [f"contains({column}, {quoted(t)})" for t in terms if not score.stands_alone(t)]
+    parts += [f"regexp_matches({column}, {quoted(score.alone_pattern(alone))})"] if alone else []
+    return "(" + (" OR ".join(parts) or "false") + ")"
 
 
 def _skill_sql(column: str, skill) -> str:
-    return "(" + " OR ".join(_term_sql(column, t) for t in (skill[0], *skill[2])) + ")"
+    return _any_sql(column, (skill[0], *skill[2]))
 
 
 _TOTAL = sum(s[1] for s in _P.skills)
@@ -201,7 +142,7 @@ _COVER = "(" + " + ".join(f"CASE WHEN {_skill_sql('low', s)} THEN {s[1]} ELSE 0.
 
 
 def _skill_list(hit: bool) -> str:
-    cases = ", ".join(f"CASE WHEN {'' if hit else 'NOT '}{_skill_sql('low', s)} THEN {_quoted(s[0])} END" for s in _P.skills)
+    cases = ", ".join(f"CASE WHEN {'' if hit else 'NOT '}{_skill_sql('low', s)} THEN {quoted(s[0])} END" for s in _P.skills)
     return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ', ')"
 
 
@@ -210,40 +151,97 @@ def _skill_list(hit: bool) -> str:
     f"SELECT id, round({_COVER}, 6) AS coverage, {_skill_list(True)} AS matched, {_skill_list(False)} AS missing FROM (SELECT id, lower(coalesce(description, '')) AS low FROM job)",
 )
 def _skills_match(spark, d):
-    coverage, matched, missing = score.skills(F.col("description"), _P)
-    return table(spark, d, "job").select("id", F.round(coverage, 6).alias("coverage"), matched.alias("matched"), missing.alias("missing"))
+    hits = table(spark, d, "job").select("id", score.skill_hits(F.lower(F.coalesce("description", F.lit(""))), _P).alias("hits"))
+    h = F.col("hits")
+    return hits.select(
+        "id", F.round(score.coverage(h, _P), 6).alias("coverage"), score.skill_names(h, _P, True).alias("matched"), score.skill_names(h, _P, False).alias("missing")
+    )
 
 
-_WANTED = " OR ".join(f"contains(f, {_quoted(t)})" for t in _P.titles)
-_WORDS = " + ".join(f"CAST({_term_sql('f', w)} AS int)" for w in _P.title_words)
-_TITLE = f"CASE WHEN f = '' THEN 0.35 WHEN {_WANTED} THEN 1.0 WHEN {_WORDS} >= 2 THEN 0.75 WHEN {_WORDS} = 1 THEN 0.5 ELSE 0.1 END"
+def _wanted_sql() -> str:
+    parts = []
+    for target in _P.titles:
+        own = [w for w in score.folded(target).split() if w not in fixed.WEAK_TITLE_WORDS]
+        parts += [f"contains(t, {quoted(target)})", f"contains(f, {quoted(score.folded(target))})", f"list_has_all(tw, [{in_list(own)}])"]
+    return "(" + " OR ".join(parts) + ")"
 
 
-@query("title_tiers", f"SELECT id, CAST({_TITLE} AS double) AS tier FROM (SELECT id, {_fold_sql('title')} AS f FROM job)")
+_WORDS = " + ".join(f"CAST({_any_sql('t', (w,))} OR {_any_sql('f', (w,))} AS int)" for w in _P.title_words)
+_TITLE = f"CASE WHEN t = '' THEN 0.35 WHEN {_wanted_sql()} THEN 1.0 WHEN {_WORDS} >= 2 THEN 0.75 WHEN {_WORDS} = 1 THEN 0.5 ELSE 0.1 END"
+_BAD_TITLE = f"regexp_matches(t, {quoted(score.alone_pattern(list(_P.excluded_titles)))})"
+_TITLED = f"""SELECT *, list_filter(regexp_extract_all(f, '[a-z0-9+#]+'), lambda w: w NOT IN ({in_list(fixed.WEAK_TITLE_WORDS)})) AS tw
+    FROM (SELECT *, lower(trim(coalesce(title, ''))) AS t, {_fold_sql('trim(title)')} AS f FROM job)"""
+
+
+@query(
+    "title_tiers",
+    f"""SELECT id, CAST({_TITLE} AS double) AS tier, NOT {_BAD_TITLE} AND {_TITLE} >= 0.5 AND (NOT regexp_matches(coalesce(title, ''), {quoted(fixed.STUDENT_TITLE)})
+    OR {_TITLE} >= 1.0) AS worth_reading FROM ({_TITLED})""",
+)
 def _title_tiers(spark, d):
-    return table(spark, d, "job").select("id", score.title_score(F.col("title"), _P).cast("double").alias("tier"))
+    rows = score.with_title_score(table(spark, d, "job").select("id", "title"), "title", _P)
+    return rows.select("id", F.col("title_score").cast("double").alias("tier"), score.worth_reading(rows, "title").alias("worth_reading"))
 
 
+def _visa_sql(column: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({column}, {quoted(p)}) THEN {quoted(label)}" for p, label, _ in fields.VISA_RULES) + " ELSE '' END"
+
+
+_WORD_SQL = "CASE " + " ".join(f"WHEN contains(low, {quoted(w)}) THEN {quoted(w)}" for w in _P.excluded_words) + " ELSE '' END"
+_PLACE_SQL = "(" + " OR ".join(f"contains(blob, {quoted(p)})" for p in _P.places) + f" OR regexp_matches(blob, {quoted(fixed.REMOTE_HINT)}))"
 _A, _B, _C = _P.weights
-_SCORE = f"{_A} * {_TITLE} + {_B} * least(1.0, ({_COVER}) / {_P.full_coverage}) + {_C} * least(1.0, ({_COS}) / {_P.full_cosine})"
-_SCORED = f"SELECT id, title, company, received_at, round(CAST({_SCORE} AS double), 6) AS score FROM (SELECT id, title, company, received_at, {_fold_sql('title')} AS f, lower(coalesce(description, '')) AS low, {_W_JOB} AS ws FROM job)"
+_MATCHED = f"""
+    SELECT *, least(1.0, greatest(0.0, {_A} * tier + {_B} * skill + {_C} * resume - CASE WHEN years > {_P.most_years + _P.years_grace} THEN {_P.years_malus} ELSE 0.0 END
+        - CASE WHEN place THEN 0.0 ELSE {_P.place_malus} END)) AS raw,
+        CASE WHEN word <> '' THEN 'rejected: contains ' || chr(39) || word || chr(39) WHEN note IN ({in_list(_P.excluded_notes)}) THEN 'rejected: ' || lower(note)
+        WHEN bad THEN 'rejected: excluded title' ELSE '' END AS why
+    FROM (SELECT *, CAST({_TITLE} AS double) AS tier, {_BAD_TITLE} AS bad, least(1.0, ({_COVER}) / {_P.full_coverage}) AS skill,
+        least(1.0, ({_COS}) / {_P.full_cosine}) AS resume, {_WORD_SQL} AS word, {_visa_sql('txt')} AS note, {_PLACE_SQL} AS place,
+        {_years_sql("coalesce(description, '')")} AS years
+      FROM (SELECT *, lower(txt) AS low, {_TOKENS.replace('{c}', 'txt')} AS ws, lower(coalesce(location, '') || ' ' || substr(coalesce(description, ''), 1, 2000)) AS blob
+        FROM (SELECT *, coalesce(title, '') || chr(10) || coalesce(company, '') || chr(10) || coalesce(location, '') || chr(10) || coalesce(description, '') AS txt
+          FROM ({_TITLED}))))"""
 
 
-def _scored(spark, d):
-    return table(spark, d, "job").select(
-        "id", "title", "company", "received_at", F.round(score.score(F.col("title"), F.col("description"), _P), 6).alias("score")
-    )
+def _kept(value: str) -> str:
+    return f"CASE WHEN why = '' THEN {value} ELSE 0.0 END"
 
 
-@query("score_jobs", f"SELECT id, score FROM ({_SCORED})")
+def _matched_rows(spark, d):
+    job = table(spark, d, "job").select("id", "title", "company", "location", "description", "received_at")
+    return score.matched(balanced(job), _P, "title", "description", "location", "company")
+
+
+@query(
+    "score_jobs",
+    f"""SELECT id, {_kept('round(raw, 3)')} AS score, {_kept('tier')} AS title_score, {_kept('round(skill, 3)')} AS skill_score, {_kept('round(resume, 3)')} AS resume_score,
+    CASE WHEN why = '' THEN {_skill_list(True)} ELSE '' END AS matched_skills, why AS rejected_for, why = '' AND round(raw, 3) >= {_P.least_score} AS matched,
+    CASE WHEN why <> '' THEN 0 ELSE years END AS years FROM ({_MATCHED})""",
+)
 def _score_jobs(spark, d):
-    return _scored(spark, d).select("id", "score")
+    rows = _matched_rows(spark, d)
+    years = F.coalesce(F.regexp_extract("verdict", r"wants (\d+)y", 1).try_cast("int"), F.lit(0))
+    return rows.select(
+        "id", "score", "title_score", "skill_score", "resume_score", "matched_skills", F.when(F.col("rejected"), F.col("verdict")).otherwise("").alias("rejected_for"),
+        "matched", years.alias("years"),
+    )
 
 
-@query("top_matches", f"SELECT id, title, company, score FROM ({_SCORED}) ORDER BY score DESC, received_at DESC, id LIMIT 300")
+@query("top_matches", f"SELECT id, title, company, round(raw, 3) AS score FROM ({_MATCHED}) WHERE why = '' ORDER BY score DESC, received_at DESC, id LIMIT 300")
 def _top_matches(spark, d):
     """The 300 best postings: a top-k report."""
-    return _scored(spark, d).orderBy(F.desc("score"), F.desc("received_at"), "id").limit(300).select("id", "title", "company", "score")
+    rows = _matched_rows(spark, d).where("NOT rejected").select("id", "title", "company", "score", "received_at")
+    return rows.orderBy(F.desc("score"), F.desc("received_at"), "id").limit(300).drop("received_at")
+
+
+@query(
+    "promoted_scores",
+    f"""SELECT id, CASE WHEN scrape_status <> 'ok' AND title_score >= 0.75 AND score < {_P.least_score} THEN {_P.least_score} ELSE score END AS score
+    FROM (SELECT id, coalesce(scrape_status, '') AS scrape_status, title_score, score FROM job)""",
+)
+def _promoted(spark, d):
+    ok = F.coalesce("scrape_status", F.lit("")) == "ok"
+    return table(spark, d, "job").select("id", score.promoted(F.col("score"), F.col("title_score"), F.lit(False), ok, _P).alias("score"))
 
 
 # -- duplicates ------------------------------------------------------------------
@@ -292,14 +290,6 @@ def _dedup_suppress(spark, d):
     return dedup.suppress_repeats(rows, "message_id", F.col("title"), F.col("company"), ["id"]).select("id", "message_id")
 
 
-@query("throttle_10min")
-def _throttle(spark, d):
-    """Events at least ten minutes after the last kept one of their user and type."""
-    return dedup.throttle(table(spark, d, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", 600, "event_id").select(
-        "event_id", "user_id", "event_type"
-    )
-
-
 # -- URLs, HTML, mail ------------------------------------------------------------
 @query(
     "url_host",
@@ -309,11 +299,6 @@ def _url_host(spark, d):
     return table(spark, d, "job").select("id", F.coalesce(urls.url_parts(F.col("url"))["host"], F.lit("")).alias("host"))
 
 
-@query("url_canonical")
-def _url_canonical(spark, d):
-    return table(spark, d, "job").select("id", urls.url_parts(F.col("url")).alias("u")).select("id", "u.*")
-
-
 @query("url_unwrap", "SELECT id, url AS unwrapped FROM job")
 def _url_unwrap(spark, d):
     """Every posting URL behind a click tracker and unwrapped again: a round trip."""
@@ -347,11 +332,6 @@ def _html_links(spark, d):
     return links.select("id", "l.url", F.col("l.text").alias("label"))
 
 
-@query("page_fields")
-def _page_fields(spark, d):
-    return table(spark, d, "job").select("id", html.page_fields(_page()).alias("p")).select("id", "p.*")
-
-
 @query("mail_parse", "SELECT DISTINCT id, sender, lower(sender_email) AS sender_email, subject, body_text AS text FROM message WHERE body_text <> '' AND subject IS NOT NULL")
 def _mail_parse(spark, d):
     """Messages packed as mailbox payloads and parsed back: a round trip."""
@@ -376,8 +356,8 @@ def _json_payload(spark, d):
 
 
 # -- state -----------------------------------------------------------------------
-_RANK_SQL = "CASE kind " + " ".join(f"WHEN {_quoted(k)} THEN {v}" for k, v in RANKS.items()) + " ELSE 0 END"
-_CLOSED_SQL = ", ".join(map(_quoted, sorted(CLOSED)))
+_RANK_SQL = "CASE kind " + " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in RANKS.items()) + " ELSE 0 END"
+_CLOSED_SQL = ", ".join(map(quoted, sorted(CLOSED)))
 
 
 @query(
@@ -437,34 +417,6 @@ def _sheet(spark, d):
     return table(spark, d, "application").join(lines, F.col("id") == F.col("application_id"), "left").select("id", "status", kinds.alias("kinds"))
 
 
-@query("attach_fuzzy")
-def _attach(spark, d):
-    events = table(spark, d, "outreach").select(
-        F.col("id").alias("event_id"), T.normalise_name(F.col("company"), T.COMPANY_NOISE).alias("company"), T.normalise_name(F.col("role")).alias("role")
-    )
-    apps = table(spark, d, "application").select(
-        F.col("id").alias("entity_id"), T.normalise_name(F.col("company"), T.COMPANY_NOISE).alias("company"),
-        T.normalise_name(F.col("role")).alias("role"), F.col("applied_at").alias("opened_at"), "closed",
-    )
-    return fold.attach(events, apps)
-
-
-@query(
-    "prefix_company_join",
-    f"""WITH s AS (SELECT DISTINCT {_norm_sql('company', True)} AS c FROM outreach), t AS (SELECT DISTINCT {_norm_sql('company', True)} AS c FROM application)
-    SELECT s.c AS outreach_company, t.c AS application_company FROM s JOIN t ON split_part(s.c, ' ', 1) = split_part(t.c, ' ', 1)
-    WHERE s.c <> '' AND t.c <> '' AND (s.c = t.c OR starts_with(s.c, t.c || ' ') OR starts_with(t.c, s.c || ' '))""",
-)
-def _prefix_join(spark, d):
-    names = lambda n, out: (
-        table(spark, d, n).select(T.normalise_name(F.col("company"), T.COMPANY_NOISE).alias(out)).where(F.col(out) != "").distinct()
-        .withColumn("k", F.substring_index(out, " ", 1))
-    )
-    s, t = names("outreach", "outreach_company"), names("application", "application_company")
-    a, b = F.col("outreach_company"), F.col("application_company")
-    return s.join(t, "k").where((a == b) | F.startswith(a, F.concat(b, F.lit(" "))) | F.startswith(b, F.concat(a, F.lit(" ")))).select(a, b)
-
-
 # -- joins and filters -----------------------------------------------------------
 @query(
     "mail_bundle",
@@ -547,7 +499,7 @@ def _latest(spark, d):
 
 
 # -- reports ---------------------------------------------------------------------
-_LABELS = " UNION ALL ".join(f"SELECT {i} AS position, {_quoted(c)} AS label" for i, c in enumerate(CATEGORIES))
+_LABELS = " UNION ALL ".join(f"SELECT {i} AS position, {quoted(c)} AS label" for i, c in enumerate(CATEGORIES))
 
 
 @query(
@@ -706,26 +658,15 @@ def _real_dates(spark, d):
     return table(spark, d, "job").select("id", F.date_format(F.try_to_timestamp(shaped, F.lit("yyyy-MM-dd")), "yyyy-MM-dd").alias("day"))
 
 
-@query(
-    "board_fields",
-    "SELECT id, coalesce(trim(title), '') AS title, coalesce(trim(company), '') AS company, coalesce(trim(location), '') AS location FROM job",
-)
-def _board_fields(spark, d):
-    """Postings packed as one board's JSON and read back: a round trip."""
-    from missive.functions import boards
-
-    payload = F.to_json(F.struct("title", F.col("company").alias("company_name"), F.struct(F.col("location").alias("name")).alias("location")))
-    rows = table(spark, d, "job").select("id", boards.board_fields(F.lit("greenhouse"), payload).alias("b"))
-    return rows.select("id", F.trim("b.title").alias("title"), F.trim("b.company").alias("company"), F.trim("b.location").alias("location"))
-
-
 def queries() -> dict[str, Query]:
+    from missive.plans import lists, records  # noqa: F401 - they register theirs
     from missive.streaming import queries as streams
 
-    return _QUERIES | streams.queries()
+    return QUERIES | streams.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from missive.plans import lists, records  # noqa: F401
     from missive.streaming import queries as streams
 
-    return _SQL | streams.oracle_sql()
+    return SQL | streams.oracle_sql()

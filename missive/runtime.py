@@ -24,6 +24,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -37,22 +38,36 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+def balanced(df: DataFrame) -> DataFrame:
+    """``df`` spread over all cores if it comes in far fewer partitions, as a table of one small file does.
 
-    ``spark.checkpoint.dir`` of the session wins; a folder of our own is set
-    only where none is, as in tests.
+    For work that costs much more a row than moving the row; a large table comes in many partitions and stays as it is.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder that ``spark.checkpoint.dir`` names."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or os.path.join(tempfile.gettempdir(), "missive-checkpoints")
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, by ``spark.checkpoint.dir``.
+
+    Only a session on this machine alone may do without it, and gets a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return os.path.join(tempfile.gettempdir(), "missive-checkpoints")
+
+
 def spread(df: DataFrame, salts: int, *columns: str) -> DataFrame:
     """``df`` with a ``salt`` column in [0, salts) taken from a hash of ``columns``."""
     return df.withColumn("salt", F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int"))

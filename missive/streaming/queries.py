@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from missive.runtime import shared_folder
 from missive.streaming import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +25,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{pipeline.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:

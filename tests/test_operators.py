@@ -51,11 +51,25 @@ def test_fold_of_nothing(spark):
     assert fold.fold_status(empty, "e", "k", ["n"], RANKS, set()).count() == 0
 
 
-def test_attach_prefers_exact_then_prefix(spark):
-    entities = spark.createDataFrame([(1, "acme", "data engineer", T0, False), (2, "acme", "analyst", T0, False), (3, "acme labs", "x", T0, True)], "entity_id long, company string, role string, opened_at timestamp, closed boolean")
-    events = spark.createDataFrame([(10, "acme", "analyst"), (11, "acme", "senior data engineer"), (12, "acme labs berlin", ""), (13, "other", ""), (14, "", "")], "event_id long, company string, role string")
-    got = {r.event_id: (r.entity_id, r.tier) for r in fold.attach(events, entities).collect()}
-    assert got[10] == (2, 0) and got[11] == (1, 1) and got[12][1] == 4 and 13 not in got and 14 not in got
+def test_attach_in_tiers(spark):
+    rows = [(1, "acme", "data engineer", 5, False), (2, "acme", "analyst", 1, False), (3, "acme", "clerk", 9, True), (4, "acme labs", "x", 3, True),
+            (5, "acme labs", "y", 2, True), (6, "", "x", 1, False)]
+    entities = spark.createDataFrame([(i, c, r, at(t), x) for i, c, r, t, x in rows], "entity_id long, company string, role string, last_event_at timestamp, closed boolean")
+    asked = [(10, "acme", "analyst", True), (11, "acme", "senior data engineer", True), (12, "acme labs berlin", "", False), (13, "other", "", False), (14, "", "x", True),
+             (15, "acme", "driver", True), (16, "acme labs berlin", "y", True)]
+    events = spark.createDataFrame(asked, "event_id long, company string, role string, has_role boolean")
+    got = {r.event_id: (r.entity_id, r.tier, r.prefix) for r in fold.attach(events, entities).collect()}
+    # 12: both prefixes of it count, so the newest open one is of the shorter name.
+    assert got == {10: (2, 0, False), 11: (1, 1, False), 12: (1, 2, True), 15: (1, 2, False), 16: (5, 1, True)}
+    assert fold.attach(events.where("false"), entities).count() == 0 and fold.attach(events, entities.where("false")).count() == 0
+
+
+def test_attach_of_a_hot_company(spark):
+    events = spark.range(2000).select(F.col("id").alias("event_id"), F.lit("acme").alias("company"), F.lit("").alias("role"), F.lit(False).alias("has_role"))
+    entities = spark.range(2000).select(
+        F.col("id").alias("entity_id"), F.lit("acme").alias("company"), F.lit("x").alias("role"), F.timestamp_seconds("id").alias("last_event_at"), F.lit(False).alias("closed")
+    )
+    assert {(r.entity_id, r.tier) for r in fold.attach(events, entities).collect()} == {(1999, 2)}
 
 
 def test_zero_filled_keeps_unknown_labels(spark):
@@ -70,10 +84,35 @@ def test_rollup_levels(spark):
     assert got[(None, None, 3)] == 3 and got[("a", None, 1)] == 2 and got[(None, "p", 2)] == 2 and got[("a", "p", 0)] == 1
 
 
-def test_score_bounds(spark):
-    rows = spark.createDataFrame([("Data Engineer", "python sql spark " * 50), ("", None), ("Clerk", "nothing")], "t string, d string")
-    got = [r.s for r in rows.select(score.score(F.col("t"), F.col("d"), score.EXAMPLE).alias("s")).collect()]
-    assert 0.7 < got[0] <= 1 and got[1] == pytest.approx(0.14) and got[2] < 0.1
+def scored(spark, rows, profile=score.EXAMPLE):
+    df = spark.createDataFrame(rows, "title string, description string, location string, company string")
+    return score.matched(df, profile, "title", "description", "location", "company").collect()
+
+
+def test_match_bounds_and_nulls(spark):
+    got = scored(spark, [("Data Engineer", "python sql spark machine learning aws docker r " * 50, "Velden", "x"), (None, None, None, None), ("Clerk", "nothing", "", "")])
+    assert 0.7 < got[0].score <= 1 and got[0].matched and got[0].missing_skills == ""
+    assert got[1].score == pytest.approx(0.04) and not got[1].matched and got[2].score < 0.1
+
+
+def test_match_rejects_and_takes_off(spark):
+    text = "python sql spark, 12+ years of experience"
+    rows = [("Sales Manager", text, "", ""), ("Data Engineer", "unpaid " + text, "", ""), ("Data Engineer", text + ". No sponsorship.", "", ""),
+            ("Data Engineer", text, "Velden", ""), ("Data Engineer", "python sql spark", "Velden", ""), ("Data Engineer", "python sql spark", "Nowhere", ""),
+            ("Data Management Analyst", "sql", "", "")]
+    got = scored(spark, rows)
+    assert [r.verdict for r in got[:3]] == ["rejected: excluded title", "rejected: contains 'unpaid'", "rejected: no sponsorship"]
+    assert [r.score for r in got[:3]] == [0, 0, 0] and all(r.title_score == 0 for r in got[:3])
+    assert "wants 12y" in got[3].verdict and got[4].score - got[5].score == pytest.approx(0.1) and got[4].score > got[3].score + 0.1
+    assert not got[6].rejected
+
+
+def test_title_hits_in_any_order_and_folded(spark):
+    p = score.Profile(text="sql", skills=(("sql", 1.0, ()),), titles=("ml engineer",), title_words=("data", "ml"))
+    df = spark.createDataFrame([("Engineer, Machine Learning",), ("Machine Learning Engineer II",), ("Data and ML lead",), ("Data lead",), ("Intern, Data",), (" ",), (None,)], "t string")
+    rows = score.with_title_score(df, "t", p)
+    got = [(r.title_score, r.w) for r in rows.select("title_score", score.worth_reading(rows, "t").alias("w")).collect()]
+    assert got == [(1.0, True), (1.0, True), (0.75, True), (0.5, True), (0.5, False), (0.35, False), (0.35, False)]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -89,4 +128,5 @@ def test_idempotent_sink(spark, tmp_path):
     batch = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id long, v string")
     write(batch, 0)
     write(batch, 0)
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    write(spark.createDataFrame([(3, "c")], "id long, v string"), 1)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
