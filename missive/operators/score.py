@@ -82,14 +82,18 @@ def profile_terms(profile: Profile) -> dict[str, int]:
 def cosine(words: Column, profile: Profile) -> Column:
     """Cosine of square-rooted token counts: sum of sqrt(a*b) over the roots of the totals.
 
-    ``words`` should be a column, not an expression: it is read once a term.
+    ``words`` should be a column, not an expression, as it is read more than once.
     """
     terms = profile_terms(profile)
-    total = sum(terms.values())
-    # Only the profile's own terms are counted; the norm needs the number of tokens.
-    hits = [F.sqrt((F.size(words) - F.size(F.array_remove(words, t))).cast("double")) * sqrt(n) for t, n in sorted(terms.items())]
-    summed = sum(hits[1:], hits[0]) if hits else F.lit(0.0)
-    return F.when(F.size(words) > 0, summed / (F.sqrt(F.size(words).cast("double")) * sqrt(total))).otherwise(0.0)
+    if not terms:
+        return F.lit(0.0)
+    # Only the few words that are the profile's own are counted; the norm needs the number of all.
+    # One loop over them keeps the generated code small enough to be compiled.
+    roots = F.create_map(*(x for t, n in terms.items() for x in (F.lit(t), F.lit(sqrt(n)))))
+    own = F.filter(words, lambda w: w.isin(*terms))
+    part = lambda t: F.sqrt((F.size(own) - F.size(F.array_remove(own, t))).cast("double")) * F.element_at(roots, t)
+    summed = F.aggregate(F.array_sort(F.array_distinct(own)), F.lit(0.0), lambda a, t: a + part(t))
+    return F.when(F.size(words) > 0, summed / (F.sqrt(F.size(words).cast("double")) * sqrt(sum(terms.values())))).otherwise(0.0)
 
 
 def stands_alone(term: str) -> bool:
