@@ -15,8 +15,9 @@ Weak supervision in four steps:
 
 The gazetteer is learnt from the person columns of all rows: senders whose
 mail address contains their name, and persons of outreach.  Its size is bounded
-by ``GAZETTEER_MOST`` (the most frequent tokens); a name outside it can still be
-found by its context.
+by ``GAZETTEER_MOST`` (the most frequent tokens); a name outside it is still
+found behind a greeting, a form of address or a closing, and as the surname of
+a known first name.
 
 Defined results: null and empty texts have no items; overlapping candidates
 are resolved in favour of the longer, better supported one; repeated rows of a
@@ -41,19 +42,19 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from missive.runtime import durable
 
-GAZETTEER_MOST = 50_000
-#: Bound of the sample that trains the span classifier.
+GAZETTEER_MOST = 200_000
+#: Spans wanted in the sample that trains the span classifier, shared evenly by the kinds; its bound is twice that.
 TRAINING_SPANS = 8_000
-DIMENSIONS = 1024
+DIMENSIONS = 4096
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # Forms of address, greetings, words around names, parts of addresses and labels.
 HONORIFIC = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Herr|Frau|Hr|Fr|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sr|Sra|Don|Doña)"
 GREETING = r"(?:dear|hello|hi|hey|good (?:morning|afternoon|evening|day)|hallo|liebe[r]?|guten (?:tag|morgen)|bonjour|cher|chère|hola|estimad[oa]|buenos días|greetings)"
-LEFT_CUE = (
-    r"(?:dear|hello|hi|hey|morning|afternoon|evening|day|hallo|liebe|lieber|bonjour|hola|estimado|estimada|from|to|von|an|de|cc|by|with|for|quoting|"
-    r"speaker|colleague|contact|meet|meeting|referees|such|as|ask|spoke|and|is|le|el|am|on|pm|recruiter|manager|um|at|board|from:|to:|"
-    r"attn|signed|sincerely|regards|thanks|cheers|best|wishes|br|called|named|name|person|candidate|interviewer|und|et|y|mit|con|avec)"
+LEFT_CUE = frozenset(
+    "dear hello hi hey morning afternoon evening day hallo liebe lieber bonjour hola estimado estimada from to von an de cc by with for quoting "
+    "speaker colleague contact meet meeting referees such as ask spoke and is le el am on pm recruiter manager um at board "
+    "attn signed sincerely regards thanks cheers best wishes br called named name person candidate interviewer und et y mit con avec".split()
 )
 RIGHT_CUE = (
     r"(?:wrote|writes|said|schrieb|escribió|a|and|leads|lead|explains|is|will|would|in|has|from|asks|asked|proposes|wants|offers|sends|invites|"
@@ -91,11 +92,17 @@ ADDRESS_HINTS = (
     ("rue ", "avenue ", "boulevard ", "place ", "chemin ", "calle ", "plaza "), ("calle ", "avenida ", "plaza "),
 )
 
+#: What a word found by the automaton may be.
+NAME, OPENER, LABEL, ADDRESS = 1, 2, 4, 8
+USES = (LABEL, *(ADDRESS << n for n, words in enumerate(ADDRESS_HINTS) if words))
+
 Span = tuple[str, int, int, int, tuple[int, ...]]  # kind, start, end, votes, features
 
 
 def fold(word: str) -> str:
     """Lower case without accents."""
+    if word.isascii():
+        return word.lower()
     return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
 
 
@@ -105,18 +112,6 @@ def lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-def hinted(low: str, hints: tuple[str, ...]) -> Iterator[int]:
-    """Where the hints stand; a last blank stands for any white space, a last 0 for white space and a digit."""
-    for hint in hints:
-        word, then = (hint[:-1], hint[-1]) if hint[-1] in " 0" else (hint, "")
-        at = low.find(word)
-        while at >= 0:
-            end = at + len(word)
-            if not then or (low[end : end + 1].isspace() and (then == " " or low[end:].lstrip()[:1].isdigit())):
-                yield at
-            at = low.find(word, end)
-
-
 @lru_cache(maxsize=1)
 def _p() -> dict:
     c = re.compile
@@ -126,6 +121,7 @@ def _p() -> dict:
     code = r"(?:,?\s+[A-Z]{2},?\s+\d{5}(?:-\d{4})?|,?\s+[A-Z]{1,2}\d[\dA-Z]?\s?\d[A-Z]{2})"
     return {
         "mailbox": c(r"(?<![\w.+\-])[\w+\-][\w.+\-]*$"),
+        "box": c(r"[\w+\-]"),
         "domain": c(r"[\w\-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[\w\-]+)+", re.I),
         "url": c(r"https?://\S+|www\.\S+"),
         "phone": c(
@@ -163,7 +159,6 @@ def _p() -> dict:
         "skip": c(r"[\s.,!>|»*\-–_~]*"),
         "digit": c(r"\d"),
         "capital": c(r"[A-ZÀ-ÖØ-ÞŠŽŁĐ](?<![^\W_].)[^\W\d_]*(?:['’\-][^\W\d_]+)*"),
-        "left_cue": c(rf"(?i)(?<!\w){LEFT_CUE}[\s.,:>|»*\"(!\-]*$"),
         "right_cue": c(rf"(?i)^[\s,]*(?:<|\(chair|{RIGHT_CUE}\b)"),
         "honorific": c(rf"(?<!\w){HONORIFIC}\.?\s+$"),
         "greeting": c(rf"(?i)(?<!\w){GREETING}\s+(?:{HONORIFIC}\.?\s+)?$"),
@@ -184,31 +179,44 @@ NAME_OPENERS = frozenset(
 )
 
 
+#: What may stand between a cue and a name.
+_BETWEEN = " \t\r\n\f\v\u00a0.,:>|»*\"(!-"
+
+
+def last_word(text: str) -> str:
+    """The last word in lower case, what may stand between a cue and a name left out."""
+    text = text.rstrip(_BETWEEN)
+    start = len(text)
+    while start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+        start -= 1
+    return text[start:].lower()
+
+
 @lru_cache(maxsize=100_000)
 def _hashed(feature: str) -> int:
     return zlib.crc32(feature.encode()) % DIMENSIONS
 
 
-@lru_cache(maxsize=4096)
-def _vote_features(kind: str, votes: int) -> tuple[int, ...]:
-    return tuple(_hashed(x) for x in [f"{kind}|bias", *(f"{kind}|v{i}" for i in range(10) if votes >> i & 1)])
+_known: dict[tuple, tuple[int, ...]] = {}
 
 
 def _features(kind: str, votes: int, text: str, a: int, b: int) -> tuple[int, ...]:
+    """Hashed features of a span: its votes, its shape, the words beside it, its length."""
     left = text[max(0, a - 16) : a].split()
     right = text[b : b + 16].split()
     if kind == "name":
         shape = "U" if text[a:b].isupper() else "l" if text[a].islower() else "T"
     else:
         shape = _REPEAT.sub(r"\1", text[a : min(b, a + 40)].translate(_SHAPES))
-    return _vote_features(kind, votes) + _word_features(
-        kind, shape, left[-1].lower() if left else "^", right[0].lower() if right else "$", min((b - a) // 4, 8)
-    )
-
-
-@lru_cache(maxsize=100_000)
-def _word_features(kind: str, shape: str, left: str, right: str, size: int) -> tuple[int, ...]:
-    return (_hashed(f"{kind}|s|{shape}"), _hashed(f"{kind}|l|{left}"), _hashed(f"{kind}|r|{right}"), _hashed(f"{kind}|n|{size}"))
+    key = (kind, votes, shape, left[-1] if left else "^", right[0] if right else "$", min((b - a) // 4, 8))
+    found = _known.get(key)
+    if found is None:
+        if len(_known) > 200_000:
+            _known.clear()
+        _, _, _, before, after, size = key
+        names = [f"{kind}|bias", *(f"{kind}|v{i}" for i in range(10) if votes >> i & 1), f"{kind}|s|{shape}"]
+        found = _known[key] = tuple(map(_hashed, [*names, f"{kind}|l|{before.lower()}", f"{kind}|r|{after.lower()}", f"{kind}|n|{size}"]))
+    return found
 
 
 class Labeler:
@@ -218,13 +226,41 @@ class Labeler:
         self.first, self.last = first, last
         self.known: dict[str, str] = {}
         self.automaton = ahocorasick.Automaton()
-        known = {w for w in {*first, *last} if len(w) > 2}
-        for w in known | NAME_OPENERS | {"--", "__", "~~"}:
-            # 0: a name, 1: an opener, 2: both.
-            opens = w in NAME_OPENERS or not w[0].isalpha()
-            self.automaton.add_word(w, (len(w), (2 if w in known else 1) if opens else 0))
+        # What a hit may be, as bits: a name, what stands before a name, the start of an id's label, a part
+        # of an address by pattern.  A hint's last blank stands for white space, a last 0 for white space and a digit.
+        uses: dict[str, int] = {w: NAME for w in {*first, *last} if len(w) > 2}
+        hints = [(w, OPENER) for w in (*NAME_OPENERS, "--", "__", "~~")] + [(w, LABEL) for w in ID_HINTS]
+        hints += [(w, ADDRESS << n) for n, words in enumerate(ADDRESS_HINTS) for w in words or ()]
+        self.endings: dict[tuple[str, int], set[str]] = {}
+        for hint, use in hints:
+            word, then = (hint[:-1], hint[-1]) if hint[-1] in " 0" else (hint, "")
+            uses[word] = uses.get(word, 0) | use
+            self.endings.setdefault((word, use), set()).add(then)
+        for word, bits in uses.items():
+            self.automaton.add_word(word, (len(word), bits, word))
         self.automaton.make_automaton()
 
+    def _hints(self, low: str, hits: list) -> tuple[list[int], int]:
+        """(where labels of ids may start, bits of the address patterns that may match)."""
+        labels, bits = [], 0
+        for end, (length, uses, word) in hits:
+            if uses < LABEL:
+                continue
+            after = low[end + 1 : end + 2]
+            space = after.isspace()
+            digit = space and low[end + 1 :].lstrip()[:1].isdigit()
+            for use in USES:
+                if uses & use and not bits & use:
+                    then = self.endings[word, use]
+                    if "" in then or (space and " " in then) or (digit and "0" in then):
+                        if use == LABEL:
+                            at = end - length + 1
+                            if not at or not (low[at - 1].isalnum() or low[at - 1] == "_"):
+                                labels.append(at)
+                        else:
+                            bits |= use
+        return labels, bits
+
     def _last(self, word: str) -> bool:
         if word in self.last:
             return True
@@ -268,6 +304,7 @@ class Labeler:
             taken.append((a, b))
 
         low = lower(text)
+        hits = list(self.automaton.iter(low))
         if "@" in text or "at]" in low or "at)" in low:
             for mark in ("@", "[at]", "(at)"):
                 at = low.find(mark)
@@ -275,7 +312,9 @@ class Labeler:
                     left = at - 1 if at and text[at - 1].isspace() else at
                     right = at + len(mark)
                     right += right < len(text) and text[right].isspace()
-                    box = p["mailbox"].search(text, max(0, left - 80), left)
+                    width = 80
+                    while (box := p["mailbox"].search(text, max(0, left - width), left)) is None and width < left and p["box"].match(text, left - 1):
+                        width *= 4
                     host = box and p["domain"].match(text, right)
                     if host and free(box.start(), host.end()):
                         end = host.group()
@@ -284,7 +323,7 @@ class Labeler:
         if "://" in text or "www." in low:
             taken += [m.span() for m in p["url"].finditer(text) if free(*m.span())]
         if p["digit"].search(text):
-            labels = sorted(at for at in hinted(low, ID_HINTS) if not at or not (low[at - 1].isalnum() or low[at - 1] == "_"))
+            labels, places = self._hints(low, hits)
             for m in (m for at in labels if (m := p["id"].match(text, at))):
                 a, b = m.span(1)
                 s = m.group(1)
@@ -296,7 +335,7 @@ class Labeler:
                 if free(a, b) and sum(ch.isdigit() for ch in text[a:b]) >= 5:
                     add("id_number", a, b, True, k is not None, sum(ch.isdigit() for ch in s) >= 6)
             for n, pattern in enumerate(p["addresses"]):
-                if ADDRESS_HINTS[n] and next(hinted(low, ADDRESS_HINTS[n]), None) is None:
+                if ADDRESS_HINTS[n] and not places & ADDRESS << n:
                     continue
                 for m in pattern.finditer(text):
                     if free(*m.span()):
@@ -327,20 +366,22 @@ class Labeler:
                     continue
                 add("phone", a, b, strict, s[0] in "+(0" or digits in (10, 11), bool(p["phone_cue"].search(before)),
                     bool(p["code_cue"].search(before)) and not p["phone_cue"].search(before))
-        self._names(text, low, p, taken, add, free)
+        self._names(text, low, hits, p, taken, add, free)
         return out
 
-    def _names(self, text, low, p, taken, add, free) -> None:
+    def _names(self, text, low, hits, p, taken, add, free) -> None:
         # Only words at gazetteer or opener hits, and their neighbours, are looked at.
         size, capital = len(text), p["capital"]
         spots: dict[int, int] = {}
         after: list[int] = []
-        for end, (length, opens) in self.automaton.iter(low):
+        for end, (length, uses, _) in hits:
+            if not uses & (NAME | OPENER):
+                continue
             a, b = end - length + 1, end + 1
-            if opens:
+            if uses & OPENER:
                 if not (a and low[a - 1].isalnum()) and not (b < size and low[b].isalnum()):
                     after.append(b)
-                if opens == 1:
+                if not uses & NAME:
                     continue
             while a and (low[a - 1].isalpha() or low[a - 1] in "'’-"):
                 a -= 1
@@ -434,7 +475,9 @@ class Labeler:
                     continue
             elif c == "C":
                 before = text[max(0, a - 30) : a]
-                hon, greet, closing = p["honorific"].search(before), p["greeting"].search(before), p["closing"].search(before)
+                opened = last_word(before) in NAME_OPENERS
+                hon, greet = (p["honorific"].search(before), p["greeting"].search(before)) if opened else (None, None)
+                closing = p["closing"].search(before) if "\n" in before else None
                 if not (hon or greet or closing):
                     i += 1
                     continue
@@ -460,10 +503,14 @@ class Labeler:
                 add("name", a, b, True, True, True, False, False, False, False, False)
             else:
                 before, after = text[max(0, a - 30) : a], text[b : b + 60]
+                cue = last_word(before)
                 add(
                     "name", a, b, first, last, len(run) > 1,
-                    bool(p["honorific"].search(before) or p["greeting"].search(before) or p["closing"].search(before)),
-                    bool(p["left_cue"].search(before)) or not before.strip() or before.endswith("\n"),
+                    bool(
+                        (cue in NAME_OPENERS and (p["honorific"].search(before) or p["greeting"].search(before)))
+                        or ("\n" in before and p["closing"].search(before))
+                    ),
+                    cue in LEFT_CUE or not before.strip() or before.endswith("\n"),
                     bool(p["right_cue"].match(after)) or not after.strip() or after[:1] in "\n,.!",
                     bool({fold(x) for x in run} & locals_()),
                     nxt in ORG_WORDS and not (len(run) > 1),
@@ -546,17 +593,22 @@ def _spans_column(text: Column, names: tuple[frozenset[str], frozenset[str]]) ->
 PRIOR_ON, PRIOR_OFF, PRIOR_WEIGHT = 0.6, 0.15, 0.3
 
 
-def estimate(patterns: list[tuple[int, int]], bits: int = 8, rounds: int = 40) -> dict[int, float]:
+def estimate(patterns: list[tuple[int, int]], bits: int = 8, rounds: int = 40, unasked: dict[int, int] | None = None) -> dict[int, float]:
     """EM over vote patterns [(votes, count)]: the probability of each pattern's spans to be true.
 
-    A labeler never used is ignored.  The prior keeps the two classes from
+    A labeler never used is ignored, and one that wasn't asked (``unasked``: the
+    bits of such by pattern) abstains: it neither speaks for or against the
+    pattern's spans nor learns from them.  The prior keeps the two classes from
     turning into two sorts of true spans, and no labeler may fire more often on
     false spans than on true ones.
     """
     if not patterns:
         return {}
-    votes = np.array([[v >> i & 1 for i in range(bits)] for v, _ in patterns], float)
-    votes = votes[:, votes.any(0)]
+    rows = lambda values: np.array([[v >> i & 1 for i in range(bits)] for v in values], float)
+    votes = rows(v for v, _ in patterns)
+    asked = 1 - rows((unasked or {}).get(v, 0) for v, _ in patterns)
+    used = (votes * asked).any(0)
+    votes, asked = votes[:, used], asked[:, used]
     n = np.array([c for _, c in patterns], float)
     if not votes.shape[1]:
         return {v: 0.5 for v, _ in patterns}
@@ -565,18 +617,20 @@ def estimate(patterns: list[tuple[int, int]], bits: int = 8, rounds: int = 40) -
     off = np.full(votes.shape[1], PRIOR_OFF)
     strength = PRIOR_WEIGHT * n.sum() + 2.0
     for _ in range(rounds):
-        lift = (votes * np.log(on / off) + (1 - votes) * np.log((1 - on) / (1 - off))).sum(1)
+        lift = (asked * (votes * np.log(on / off) + (1 - votes) * np.log((1 - on) / (1 - off)))).sum(1)
         post = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + lift, -30, 30)))
-        true, false = n * post, n * (1 - post)
-        share = float(np.clip((true.sum() + 0.5 * strength) / (n.sum() + strength), 0.05, 0.95))
-        on = np.clip(((true[:, None] * votes).sum(0) + PRIOR_ON * strength) / (true.sum() + strength), 0.02, 0.98)
-        off = np.clip(((false[:, None] * votes).sum(0) + PRIOR_OFF * strength) / (false.sum() + strength), 0.01, 0.97)
+        true, false = (n * post)[:, None] * asked, (n * (1 - post))[:, None] * asked
+        share = float(np.clip(((n * post).sum() + 0.5 * strength) / (n.sum() + strength), 0.05, 0.95))
+        on = np.clip(((true * votes).sum(0) + PRIOR_ON * strength) / (true.sum(0) + strength), 0.02, 0.98)
+        off = np.clip(((false * votes).sum(0) + PRIOR_OFF * strength) / (false.sum(0) + strength), 0.01, 0.97)
         off = np.minimum(off, on)
     return {v: float(p) for (v, _), p in zip(patterns, post)}
 
 
 #: Vote bits whose firing speaks against a span, by kind.
 AGAINST = {"phone": 3, "name": 7}
+#: Votes for a name that both gazetteers know in full, and the context labelers that aren't asked then.
+FULL_NAME, CONTEXT = 0b111, 0b11111000
 
 
 def posteriors(counts: list[tuple[str, int, int]]) -> dict[tuple[str, int], float]:
@@ -585,7 +639,8 @@ def posteriors(counts: list[tuple[str, int, int]]) -> dict[tuple[str, int], floa
     for kind in KINDS:
         flip = 1 << AGAINST[kind] if kind in AGAINST else 0
         own = [(v ^ flip, c) for k, v, c in counts if k == kind]
-        for v, p in estimate(own).items():
+        unasked = {FULL_NAME ^ flip: CONTEXT} if kind == "name" else None
+        for v, p in estimate(own, unasked=unasked).items():
             out[kind, v ^ flip] = p
     return out
 
@@ -636,9 +691,13 @@ def detect(texts: DataFrame, names: tuple[frozenset[str], frozenset[str]], keep:
     )
     counts = [(r.kind, r.votes, r.n) for r in spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()]
     belief = posteriors(counts)
-    # A hash range holds about as many spans as are wanted; no task sends more than its share.
-    share = min(1.0, TRAINING_SPANS / max(1, sum(n for _, _, n in counts)))
-    drawn = F.pmod(F.xxhash64(*keep, "a"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1)
+    # A hash range of each kind holds about as many spans as are wanted; no task sends more than its share.
+    total = {k: sum(n for kind, _, n in counts if kind == k) for k in KINDS}
+    shares = {k: min(1_000_000, int(1_000_000 * TRAINING_SPANS / len(KINDS) / n) + 1) for k, n in total.items() if n}
+    most = F.lit(0)
+    for kind, share in shares.items():
+        most = F.when(F.col("kind") == kind, share).otherwise(most)
+    drawn = F.pmod(F.xxhash64(*keep, "a"), F.lit(1_000_000)) < most
     sample = spans.where(drawn).select("kind", "votes", "features").limit(2 * TRAINING_SPANS).collect()
     weights = train([(r.features, belief.get((r.kind, r.votes), 0.5)) for r in sample])
     table = F.array(*(F.lit(float(w)) for w in np.round(weights, 5)))

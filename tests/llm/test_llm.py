@@ -107,6 +107,24 @@ def test_p2_redaction_keeps_the_rest(spark):
     assert got["outreach", "1", "summary"] == "Ask [NAME]"
 
 
+def test_p2_mailboxes_of_any_length():
+    labeler = p2_personal.Labeler(frozenset({"ann"}), frozenset({"berg"}))
+    for size in (5, 79, 100, 3000):
+        text = "mail " + "x" * size + "@a.example now"
+        assert [(k, a, b) for k, a, b, *_ in labeler.spans(text)] == [("email", 5, 5 + size + 10)]
+    assert [k for k, *_ in labeler.spans("İzmir\nANN BERG wrote")] == ["name"]
+    assert labeler.spans("@") == [] and labeler.spans("") == []
+
+
+def test_p2_labelers_that_are_not_asked_abstain():
+    full, other = p2_personal.FULL_NAME, 0b00011001
+    patterns = [(full, 900), (other, 50), (0b00000001, 50)]
+    asked = p2_personal.estimate(patterns)
+    spared = p2_personal.estimate(patterns, unasked={full: p2_personal.CONTEXT})
+    # Names known by context are believed more if full names say nothing against context.
+    assert spared[other] > asked[other] and spared[full] > 0.9
+
+
 # -- 3 and 4 ---------------------------------------------------------------------
 PAGE = """Jobs | Salaries | Sign in
 We use cookies to keep this site running. Accept all
