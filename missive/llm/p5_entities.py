@@ -6,13 +6,19 @@ distinctive part, blanks inside removed) and its generic words ("systems",
 initial.  Generic words are learnt from all names: words met beside many
 different others.  Legal forms, case, order and separators don't matter.
 
-* Profiles with equal parts merge at once.
-* Blocking: heads that share a one-letter deletion; they match if one typing
-  error apart.  Complete profiles with the same generic words merge.
-* An incomplete profile joins a cluster only if exactly one cluster of its
-  block fits it; a head shared by two organisations stays apart.
-* Merging unions spellings, words and initials; the richer clusters enter
-  blocking again, until a round merges nothing.
+* Profiles with equal parts merge at once, and so do complete profiles with the
+  same generic words whose heads are one typing error apart.
+* A cluster's profile is the union of its members': all their heads and all their
+  lists of words, initials included.  It asks clusters whose profiles say more: of
+  blocks that any of its heads reaches, those that every one of its lists of words
+  fits.  If exactly one of the nearest does, the two merge.
+* The richer profiles enter blocking again, until a round merges nothing.
+
+Blocks are heads that share a one-letter deletion; as heads are different, a
+block holds at most some dozens of letters times the places in a word.  Within a
+head clusters meet on a word they share, never all with all; a cluster of a
+bare head asks the head's least and greatest cluster, which tells whether
+there is just one.  Heads of four letters or fewer have no typing errors.
 
 Work is on different names and heads, so a company that fills a third of all
 rows is one row here.
@@ -27,20 +33,19 @@ import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from missive.runtime import durable
 
-#: Bound of the learnt list of generic words.
+#: Bound of the learnt list of generic words, which every worker holds.
 GENERIC_MOST = 2000
 #: A word is generic if it stands beside so many different words, for so many of its names.
 BESIDE_LEAST = 5
 BESIDE_SHARE = 0.3
-ROUNDS_MOST = 8
 
-# Legal forms; words that name no organisation; common generic words.
+# Legal forms; words that name no organisation; common generic words.
 LEGAL = frozenset(
     "inc incorporated llc ltd limited gmbh plc corp corporation co company lp llp ag sa sas sarl bv nv oy ab as kg kgaa mbh ug srl spa pty pte pvt".split()
 )
@@ -214,7 +219,41 @@ def fits(a: list[str], b: list[str]) -> bool:
     return True
 
 
+def _options(word: str) -> list[str]:
+    return [o for o in word[1:].split("|") if o[:1] != "!"] if word[0] in "=?" else []
+
+
+def _initials(word: str) -> list[str]:
+    """Initials that a word is, or may be: one letter, or the first of joint ones."""
+    return [word[1]] if word[0] == "!" else [o[1] for o in word[1:].split("|") if o[:1] == "!"]
+
+
+def keys_asked(words: list[str]) -> list[str]:
+    """Keys under which a list of words looks for lists it may fit: those of its first word."""
+    if not words:
+        return []
+    found, own = _options(words[0]), _initials(words[0])
+    return sorted({*(f"w{o}" for o in found), *(f"i{o[0]}" for o in found), *(f"i{x}" for x in own), *(f"o{x}" for x in own)})
+
+
+def keys_offered(words: list[str]) -> list[str]:
+    """Keys under which a list of words is found, by any of its words."""
+    out: set[str] = set()
+    for word in words:
+        for o in _options(word):
+            out |= {f"w{o}", f"o{o[0]}"}
+        out |= {f"i{x}" for x in _initials(word)}
+    return sorted(out)
+
+
 _PROFILE = StructType([StructField("head", StringType()), StructField("words", ArrayType(StringType()))])
+_KEYS = StructType([StructField("asked", ArrayType(StringType())), StructField("offered", ArrayType(StringType()))])
+
+
+@F.arrow_udf(_KEYS)
+def _keys(words: pa.Array) -> pa.Array:
+    rows = [{"asked": keys_asked(w), "offered": keys_offered(w)} for w in words.to_pylist()]
+    return pa.array(rows, pa.struct([("asked", pa.list_(pa.string())), ("offered", pa.list_(pa.string()))]))
 
 
 def generic_words(names: DataFrame) -> tuple[str, ...]:
@@ -307,8 +346,8 @@ def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def resolve(names: DataFrame) -> DataFrame:
     """(name, cluster) of every value of ``names``(name) that names an organisation."""
     parsed = durable(profiles(names.where(F.col("name").rlike(r"\S")).distinct()))
-    nodes = durable(parsed.groupBy("node").agg(F.first("head").alias("head"), F.first("words").alias("words"), F.count("*").alias("n")))
-    nodes = nodes.withColumn("complete", (F.size("words") > 0) & F.forall("words", lambda w: F.startswith(w, F.lit("="))))
+    nodes = parsed.groupBy("node").agg(F.first("head").alias("head"), F.first("words").alias("words"))
+    nodes = nodes.withColumn("keys", _keys("words")).withColumn("complete", (F.size("words") > 0) & F.forall("words", lambda w: F.startswith(w, F.lit("="))))
     near = durable(_near_heads(nodes.select("head").distinct()))
     # Complete profiles: equal words, heads one error apart.
     whole = nodes.where("complete").select("node", "head", F.array_join("words", " ").alias("key"))
@@ -319,35 +358,9 @@ def resolve(names: DataFrame) -> DataFrame:
         .where("a < b").select("a", "b")
     )
     cluster = _components(edges, nodes)
-    # A complete profile whose words are part of another's, or an incomplete one,
-    # joins the only cluster that fits; clusters grow and are asked again.
     links = durable(edges)
-    for _ in range(ROUNDS_MOST):
-        state = durable(nodes.join(cluster, "node"))
-        anchors = state.where("size(words) > 0").select(
-            F.col("node").alias("anchor"), F.col("head").alias("other"), F.col("words").alias("anchor_words"),
-            F.col("cluster").alias("anchor_cluster"), F.size("words").alias("anchor_size"), F.col("complete").alias("anchor_complete"),
-        )
-        alone = state.withColumn("members", F.count("*").over(_by("cluster"))).withColumn(
-            "has_complete", F.max("complete").over(_by("cluster"))
-        )
-        asking = alone.where("NOT has_complete OR members = 1").select("node", "head", "words", "cluster", "complete")
-        offers = (
-            asking.join(near, "head").join(anchors, "other")
-            .where("anchor_cluster <> cluster AND anchor_size >= size(words)")
-            .where("anchor_complete OR NOT complete")
-            .where(_fits("words", "anchor_words"))
-        )
-        best = offers.groupBy("node").agg(
-            F.min("far").alias("nearest"),
-            F.max("anchor_complete").alias("any_complete"),
-        )
-        chosen = (
-            offers.join(best, "node").where("far = nearest AND (anchor_complete OR NOT any_complete)")
-            .groupBy("node").agg(F.countDistinct("anchor_cluster").alias("k"), F.min("anchor").alias("anchor"))
-            .where("k = 1")
-        )
-        fresh = durable(chosen.select(F.col("node").alias("a"), F.col("anchor").alias("b")))
+    while True:
+        fresh = durable(_offers(durable(nodes.join(cluster, "node")), near))
         if fresh.isEmpty():
             break
         links = durable(links.unionByName(fresh))
@@ -355,8 +368,51 @@ def resolve(names: DataFrame) -> DataFrame:
     return parsed.select("name", "node").join(cluster, "node").select("name", "cluster")
 
 
-def _by(column: str):
-    return Window.partitionBy(column)
+def _offers(state: DataFrame, near: DataFrame) -> DataFrame:
+    """Merges (a, b) of clusters of ``state``, as nodes: each asks with its whole profile."""
+    # Heads that a cluster's heads reach, and how far.
+    reach = (
+        state.select("cluster", "head").distinct().join(near, "head")
+        .groupBy("cluster", "other").agg(F.min("far").alias("far"))
+    )
+    lists = state.where("size(words) > 0").groupBy("cluster", "words").agg(F.max("complete").alias("complete"), F.first("keys").alias("keys"))
+    wanted = lists.groupBy("cluster").agg(F.count("*").alias("n_lists"))
+    asking = lists.select("cluster", "words", "complete", F.explode("keys.asked").alias("key")).join(reach, "cluster")
+    offered = state.where("size(words) > 0").select(
+        F.col("head").alias("other"), F.explode("keys.offered").alias("key"), F.col("cluster").alias("to"), F.col("words").alias("their"),
+        F.col("complete").alias("sure"),
+    ).distinct()
+    met = (
+        asking.join(offered, ["other", "key"])
+        .where("to <> cluster AND size(their) >= size(words) AND (sure OR NOT complete)")
+        .groupBy("cluster", "words", "to", "their").agg(F.min("far").alias("far"), F.max("sure").alias("sure"))
+        .where(_fits("words", "their"))
+    )
+    fitting = (
+        met.groupBy("cluster", "to", "words").agg(F.min("far").alias("far"), F.max("sure").alias("sure"))
+        .groupBy("cluster", "to").agg(F.count("*").alias("k"), F.max("far").alias("far"), F.max("sure").alias("sure"))
+        .join(wanted, "cluster").where("k = n_lists")
+    )
+    best = fitting.groupBy("cluster").agg(F.min("far").alias("nearest"))
+    sure = F.max("sure").alias("any_sure")
+    near_ones = fitting.join(best, "cluster").where("far = nearest")
+    by_words = (
+        near_ones.join(near_ones.groupBy("cluster").agg(sure), "cluster").where("sure OR NOT any_sure")
+        .groupBy("cluster").agg(F.min("to").alias("least"), F.max("to").alias("most"))
+    )
+    # Bare heads: whether the nearest heads they reach are of one cluster.
+    bare = reach.join(wanted, "cluster", "left_anti")
+    per_head = offered.groupBy("other").agg(
+        F.min("to").alias("least"), F.max("to").alias("most"), F.min(F.when(F.col("sure"), F.col("to"))).alias("sure_least"),
+        F.max(F.when(F.col("sure"), F.col("to"))).alias("sure_most"),
+    )
+    by_head = (
+        bare.join(per_head, "other").groupBy("cluster", "far")
+        .agg(*(F.min(c).alias(c) if c.endswith("least") else F.max(c).alias(c) for c in ("least", "most", "sure_least", "sure_most")))
+        .groupBy("cluster").agg(F.min_by(F.struct("least", "most", "sure_least", "sure_most"), "far").alias("m"))
+        .select("cluster", F.coalesce("m.sure_least", "m.least").alias("least"), F.coalesce("m.sure_most", "m.most").alias("most"))
+    )
+    return by_words.unionByName(by_head).where("least = most").select(F.col("cluster").alias("a"), F.col("least").alias("b"))
 
 
 def company_names(application: DataFrame, job: DataFrame, outreach: DataFrame) -> DataFrame:

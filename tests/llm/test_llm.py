@@ -221,6 +221,31 @@ def test_p5_links(spark):
     assert not {"Confidential", "n/a", " "} & {r.name for r in got}
 
 
+def _clusters(spark, names):
+    groups: dict[int, set[str]] = {}
+    for r in p5_entities.resolve(spark.createDataFrame([(n,) for n in names], "name string")).collect():
+        groups.setdefault(r.cluster, set()).add(r.name)
+    return list(groups.values())
+
+
+def test_p5_merged_profiles_ask_again(spark):
+    # A misspelt twin doesn't keep a name from joining the one longer name it fits ...
+    assert _clusters(spark, ["Kestrel Systems", "Kestral Systems", "Kestrel Systems Holdings"]) == [{"Kestrel Systems", "Kestral Systems", "Kestrel Systems Holdings"}]
+    # ... a head that only a merged twin brings near is reached ...
+    far = {"Kestrelo Energy", "Kestrel Energy", "Kestrelos"}
+    assert far in _clusters(spark, [*far, "Minanodor Group"])
+    # ... and what fits two organisations joins neither.
+    apart = _clusters(spark, ["Kestrel", "Kestrel Energy", "Kestrel Foods", "Kestrel E. Grp"])
+    assert {"Kestrel"} in apart and {"Kestrel Foods"} in apart
+
+
+def test_p5_keys_meet_whatever_fits():
+    lists = [["=energy"], ["!e"], ["?energy|engineering"], ["?energy|!eg"], ["!eg"], ["=energy", "=group"], ["!e", "!g"], ["=foods"], ["!f"], []]
+    for short, long in itertools.product(lists, lists):
+        if short and len(short) <= len(long) and p5_entities.fits(short, long):
+            assert set(p5_entities.keys_asked(short)) & set(p5_entities.keys_offered(long)), (short, long)
+
+
 # -- 6 ---------------------------------------------------------------------------
 def test_p6_groups_follow_chains(spark):
     rows = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, None), (6, 99), (7, 8), (8, 7)], "id long, duplicate_of long")
