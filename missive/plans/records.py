@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from missive import fixed
 from missive.functions import boards, fields, html, urls
 from missive.functions import text as T
-from missive.operators import classify, dedup, fold
+from missive.operators import classify, dedup, extract, fold
 from missive.plans.base import in_list, query, quoted
 from missive.plans.lists import FOLLOW_UPS, mail_sql, newest_mail
 from missive.plans.registry import _norm_sql
@@ -359,3 +359,51 @@ def _throttle(spark, d):
     """Events at least ten minutes after the last kept one of their user and type."""
     rows = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
     return dedup.throttle(rows, ["user_id", "event_type"], "ts", 600, "event_id").select("event_id", "user_id", "event_type")
+
+
+# -- digests ---------------------------------------------------------------------
+def _digests(spark, d) -> DataFrame:
+    """A digest mail made of each message's postings: cards in a table, behind a click tracker, with a foot."""
+    esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    title = F.coalesce(F.nullif(_flat("title"), F.lit("")), F.lit("Data Engineer"))
+    target = F.concat(F.lit("https%3A%2F%2Fwww.linkedin.com%2Fcomm%2Fjobs%2Fview%2F"), (F.col("id") + 4_000_000_000).cast("string"), F.lit("%2F"))
+    link = F.concat(F.lit('<a href="https://out.zeta.example/t?m=1&amp;target='), target, F.lit('">'))
+    card = F.concat(
+        F.lit("<tr><td>"), link, esc(title), F.lit("</a><p>Employer "), F.col("id").cast("string"), F.lit(" Inc &middot; Velden, NY</p><p>"), link,
+        F.lit("View job</a></p></td></tr>"),
+    )
+    cards = table(spark, d, "job").groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("id", card.alias("card")))).alias("cards"))
+    foot = F.lit('</table><p><a href="https://zeta.example/unsubscribe">Unsubscribe</a> <a href="https://www.linkedin.com/jobs/search/">See all jobs</a></p></body></html>')
+    page = F.concat(F.lit("<html><body><table>"), F.array_join(F.transform("cards", lambda c: c["card"]), ""), foot)
+    return cards.select("message_id", page.alias("html"), F.lit("").alias("plain"), F.lit("LinkedIn").alias("name"), F.lit("x@linkedin.com").alias("address"), F.lit("Jobs").alias("subject"))
+
+
+_CARDS = """SELECT message_id, id, row_number() OVER (PARTITION BY message_id ORDER BY id) - 1 AS pos,
+    coalesce(nullif(trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')), ''), 'Data Engineer') AS title FROM job"""
+
+
+@query(
+    "digest_candidates",
+    f"""SELECT message_id, CAST(pos AS int) AS pos, 'linkedin:' || (id + 4000000000) AS url_key, title, 'Employer ' || id || ' Inc' AS company, 'Velden, NY' AS location,
+    'linkedin' AS source FROM ({_CARDS}) WHERE pos < 40""",
+)
+def _digest_candidates(spark, d):
+    """Postings read back from digests made of the postings of each message."""
+    found = extract.candidates(_digests(spark, d), "message_id", "html", "plain", "name", "address", "subject")
+    return found.select("message_id", "pos", "url_key", "title", "company", "location", "source")
+
+
+@query(
+    "digest_gates",
+    f"""SELECT message_id, least(n, 40) AS n, greatest(n_titles, 0) AS expected, greatest(n - 40, 0) AS unclaimed, n_titles >= least(n, 40) + 2 OR n - 40 >= 2 AS asks
+    FROM (SELECT message_id, CAST(count(*) AS bigint) AS n, CAST(count(DISTINCT CASE WHEN roles >= 2 OR role THEN print END) AS bigint) AS n_titles
+      FROM (SELECT *, count(DISTINCT CASE WHEN role THEN print END) OVER (PARTITION BY message_id) AS roles
+        FROM (SELECT *, {_norm_sql('title')} AS print, regexp_matches(title, {quoted(fixed.TITLE_ROLE)}) AS role FROM ({_CARDS}))) GROUP BY 1)""",
+)
+def _digest_gates(spark, d):
+    """How many postings each digest names, how many were found, and whether some seem to be missing."""
+    mails = _digests(spark, d)
+    found = extract.candidates(mails, "message_id", "html", "plain", "name", "address", "subject").select("message_id", "url_key")
+    links = extract.anchors(mails, "message_id", "html", 100_000)
+    expected = extract.expected_postings(links, mails, "message_id", "plain")
+    return extract.incomplete(found, links, expected, "message_id")
