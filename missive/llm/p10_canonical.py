@@ -9,8 +9,10 @@ back between the unchanged parts.
 
 What becomes equal: canonical composition, full- and half-width forms,
 presentation ligatures, spaces of any width, non-breaking hyphens, invisible
-characters, line-end styles, blanks at line ends, and letters of Latin,
-Cyrillic and Greek that share a shape.  What stays different: letters, accents,
+characters, line-end styles, blanks at line ends, plain letters of another font
+family, and letters of Latin, Cyrillic, Greek and Armenian that share a shape
+(the rows of ``SHAPES``; the public table of confusable characters isn't at hand
+here, so rarer scripts' look-alikes stay apart).  What stays different: letters, accents,
 case, raised or lowered digits and signs.  Joiners keep their meaning between
 emoji and in scripts that shape by them.
 
@@ -35,21 +37,25 @@ from pyspark.sql.types import StringType
 
 from missive.runtime import durable, spread
 
-# Letters that share their shape, as Latin, Cyrillic, Greek
-# ('.' where a script has no such letter).
+# Letters that share their shape, as Latin, Cyrillic, Greek, Armenian ('.' where a script has no such letter).
 SHAPES = (
-    "AАΑ BВΒ EЕΕ KКΚ MМΜ HНΗ OОΟ PРΡ CС. TТΤ XХΧ YУΥ SЅ. IІΙ JЈ. N.Ν Z.Ζ "
-    "aа. eе. oоο pр. cс. yу. xх. sѕ. iі. jј. v.ν"
+    "AАΑ. BВΒ. EЕΕ. KКΚ. MМΜ. HНΗ. OОΟՕ PРΡ. CС.. TТΤ. XХΧ. YУΥ. SЅ.Տ IІΙ. JЈ.. N.Ν. Z.Ζ. QԚ.. WԜ.. "
+    "aа.. eе.. oоοօ pрρ. cс.. yу.. xх.. sѕ.. iі.. jј.. v.ν. hһ.հ qԛ.զ wԝ.. lӏ.. dԁ.. u..ս n..ո"
 ).split()
-# Code points shown as nothing, joiners, spaces, hyphens.
+# Characters of one script that are shown like another of it.
+TWINS = {0x0261: "g", 0x0251: "a", 0x2024: ".", 0x02B9: "'", 0x2010: "-", 0x2011: "-"}
+# Mathematical letters and digits that differ from plain ones in nothing but the font's family:
+# first code point, and the plain characters in order.
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+FONTS = ((0x1D5A0, _ALPHABET), (0x1D670, _ALPHABET), (0x1D7E2, "0123456789"), (0x1D7F6, "0123456789"))
+# Code points shown as nothing, joiners, spaces, hyphens.
 INVISIBLE = "".join(map(chr, [
     0xAD, 0x34F, 0x61C, 0x180E, 0x200B, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2060, 0x2065),
     *range(0x2066, 0x2070), 0xFEFF,
 ]))
 JOINERS = "\u200c\u200d"
 SPACES = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
-HYPHENS = "\u2010\u2011"
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
+SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian")
 
 
 @lru_cache(maxsize=1)
@@ -61,7 +67,8 @@ def _tables() -> dict:
     """
     fold: dict[int, str] = {ord(c): "" for c in INVISIBLE}
     fold |= {ord(c): " " for c in SPACES}
-    fold |= {ord(c): "-" for c in HYPHENS}
+    fold |= TWINS
+    fold |= {first + i: c for first, plain in FONTS for i, c in enumerate(plain)}
     unstable: list[int] = [*fold, *map(ord, JOINERS)]
     for cp in range(0x80, 0x10000):
         if 0xD800 <= cp < 0xF900 or 0xAC00 <= cp < 0xD7A4:
@@ -85,7 +92,7 @@ def _tables() -> dict:
             spans.append([cp, cp])
     inside = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
     segment = re.compile(f"[{inside}]+")
-    shapes: list[dict[str, str]] = [{}, {}, {}]
+    shapes: list[dict[str, str]] = [{} for _ in SCRIPTS]
     for rows in SHAPES:
         present = [c for c in rows if c != "."]
         for script, target in enumerate(rows):
@@ -95,7 +102,7 @@ def _tables() -> dict:
                 else:
                     shapes[script][char] = rows[0] if rows[0] != "." else present[0]
     shared = set().union(*shapes)
-    other = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
+    other = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}]")
     word = regex.compile(r"[\p{L}\p{M}]+")
     return {"fold": fold, "segment": segment, "shapes": shapes, "shared": shared, "other": other, "word": word}
 
@@ -126,10 +133,13 @@ def _joiner(match: regex.Match) -> str:
     return ""
 
 
+_OF_SCRIPT = [regex.compile(rf"\p{{Script={s}}}") for s in SCRIPTS]
+
+
 @lru_cache(maxsize=8192)
 def _script(letter: str) -> int:
-    name = unicodedata.name(letter, "")
-    return next((i for i, s in enumerate(SCRIPTS) if name.startswith(s)), 3)
+    """Number of a letter's script; that of none is the number of scripts."""
+    return next((i for i, p in enumerate(_OF_SCRIPT) if p.match(letter)), len(SCRIPTS))
 
 
 def _resolve_scripts(text: str) -> str:
@@ -137,19 +147,20 @@ def _resolve_scripts(text: str) -> str:
     t = _tables()
     words = list(t["word"].finditer(text))
     shapes, shared = t["shapes"], t["shared"]
-    own, total = [], [0, 0, 0, 0]
+    known = range(len(SCRIPTS))
+    own, total = [], [0] * (len(SCRIPTS) + 1)
     for m in words:
-        count = [0, 0, 0, 0]
+        count = [0] * (len(SCRIPTS) + 1)
         for letter in unicodedata.normalize("NFD", m.group()):
             if letter not in shared and letter.isalpha():
                 count[_script(letter)] += 1
         own.append(count)
-        for i in range(4):
-            total[i] += count[i]
-    lead = max(range(3), key=lambda i: (total[i], -i))
+        for i, n in enumerate(count):
+            total[i] += n
+    lead = max(known, key=lambda i: (total[i], -i))
     out, at = [], 0
     for m, count in zip(words, own):
-        best = max(range(3), key=lambda i: (count[i], -i)) if any(count[:3]) else lead
+        best = max(known, key=lambda i: (count[i], -i)) if any(count[:-1]) else lead
         plain = unicodedata.normalize("NFD", m.group())
         done = unicodedata.normalize("NFC", "".join(shapes[best].get(c, c) for c in plain))
         out += (text[at : m.start()], done)
@@ -189,6 +200,30 @@ def canonical_corpus(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.withColumn("canonical", canonical(F.col(text)))
 
 
+def forms(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, variant, form): 128-bit digests of each visible text and of its canonical form."""
+    return documents.select(
+        F.col(key).alias("doc"),
+        F.md5(F.encode(F.col(text), "UTF-8")).alias("variant"),
+        F.md5(F.encode(canonical(F.col(text)), "UTF-8")).alias("form"),
+        F.col(text).rlike(r"[^\s\p{Z}\p{Cf}]").alias("visible"),
+    ).where("visible").drop("visible")
+
+
+def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document that looks like a different text: doc_id, class_id (its least document), n_docs, n_variants.
+
+    A class that holds a large share of all documents costs no more than others:
+    classes are aggregates, joined back by their form.
+    """
+    rows = durable(forms(documents, key, text))
+    variants = rows.groupBy("form", "variant").agg(F.count("*").alias("n"), F.min("doc").alias("least"))
+    several = variants.groupBy("form").agg(
+        F.min("least").alias("class_id"), F.sum("n").alias("n_docs"), F.count("*").alias("n_variants")
+    ).where("n_variants > 1")
+    return rows.join(several, "form").select(F.col("doc").alias(key), "class_id", "n_docs", "n_variants")
+
+
 def look_alikes(documents: DataFrame, key: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
     """Pairs (doc_a, doc_b) of different texts with one canonical form.
 
@@ -196,13 +231,7 @@ def look_alikes(documents: DataFrame, key: str = "doc_id", text: str = "text", s
     are the rows of each text attached, so copies are never compared.  Rows are
     salted against a text that holds a large share of the table.
     """
-    rows = documents.select(
-        F.col(key).alias("doc"),
-        F.md5(F.encode(F.col(text), "UTF-8")).alias("variant"),
-        F.md5(F.encode(canonical(F.col(text)), "UTF-8")).alias("form"),
-        F.col(text).rlike(r"[^\s\p{Z}\p{Cf}]").alias("visible"),
-    ).where("visible").drop("visible")
-    rows = durable(spread(rows, salts, "doc"))
+    rows = durable(spread(forms(documents, key, text), salts, "doc"))
     variants = rows.groupBy("form", "variant").agg(F.count("*").alias("n"))
     several = variants.groupBy("form").agg(F.count("*").alias("n_variants")).where("n_variants > 1").select("form")
     variants = durable(variants.select("form", "variant").join(several, "form", "left_semi"))

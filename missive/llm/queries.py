@@ -107,6 +107,10 @@ def _p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return p10_canonical.canonical_corpus(table(spark, d, "documents")).select("doc_id", "canonical")
 
 
+def _p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return p10_canonical.classes(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _p1_found,
@@ -128,6 +132,7 @@ def queries() -> dict[str, Query]:
         "p9_report": _p9_report,
         "p10_found": _p10_found,
         "p10_canonical": _p10_canonical,
+        "p10_classes": _p10_classes,
     }
 
 

@@ -366,6 +366,25 @@ def test_p10_same_and_different():
     assert c(russian) == russian and c(c("pаy да")) == c("pаy да")
 
 
+def test_p10_rarer_look_alikes():
+    c = p10_canonical.canonical_text
+    pairs = [("һello", "hello"), ("ԛuick", "quick"), ("ԝord", "word"), ("ӏine", "line"), ("ԁata", "data"), ("ɡo", "go"), ("teρm", "tepm"), ("օpen", "open"),
+             ("\U0001d5a0\U0001d5ba1", "Aa1"), ("\U0001d670\U0001d7f6", "A0"), ("sհop", "shop")]
+    for a, b in pairs:
+        assert c(a) == c(b), (a, b)
+    for a, b in [("\U0001d400", "A"), ("ρος", "pος"[::-1]), ("Հայ", "Zuj"), ("ℌ", "H")]:
+        assert c(a) != c(b), (a, b)
+    for text in ("Հայաստան է օր", "οδός ρόδα", "наш ӏ дом"):
+        assert c(c(text)) == c(text)
+
+
+def test_p10_classes(spark):
+    docs = spark.createDataFrame([(1, "pay"), (2, "pаy"), (3, "pay"), (4, "no"), (5, None), (6, " "), (7, "no")], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_docs, r.n_variants) for r in p10_canonical.classes(docs).collect()}
+    assert got == {1: (1, 3, 2), 2: (1, 3, 2), 3: (1, 3, 2)}
+    assert p10_canonical.classes(docs.where("false")).count() == 0
+
+
 def test_p10_pairs_against_brute_force(spark):
     texts = ["pay", "pаy", "pay", "café", "café", "cafe", "", " ", None, "x²", "x2", "pay "]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
