@@ -8,13 +8,16 @@ texts, link lists).  Blocks with points, or else the first, are kept, and what s
 furniture goes with it.  A widget's heading takes its entries along, wherever in
 the posting it stands.
 
-Wording decides what is furniture: points don't compete against the best block,
+Two things tell furniture: wording, and recurrence, whatever the wording: a line
+that stands on so many pages of a host, and on far more of them than on other
+hosts' pages, is the host's own (``RECUR_RECORDS``, ``RECUR_SHARE``, ``RECUR_LIFT``).
+Points don't compete against the best block,
 since sentences of a posting that stand alone between furniture score as little
 as furniture of unknown wording (figures in the README).
 
 One pass per text inside a vectorised UDF; lines repeat across pages of a host,
-so their judgements are cached per worker.  No shuffle except the anti-join
-with the records that are no posting at all (problem 4).
+so their judgements are cached per worker.  Line counts are combined map-side on
+64-bit digests; only recurring lines are joined back to their pages.
 
 Defined results: null, empty and blank texts have no furniture lines; line
 numbers count the '\\n' of the stored value; blank lines are never reported.
@@ -30,10 +33,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from missive.llm.p4_residue import host_of
+from missive.runtime import durable
+
 CONTENT_LENGTH = 25
+#: A line is its host's own if at least so many of the host's pages have it, such a share of
+#: them, and so many times the share of other hosts' pages.
+RECUR_RECORDS = 5
+RECUR_SHARE = 0.02
+RECUR_LIFT = 5.0
 CACHE_LINES = 200_000
 
-# Labels of menus, buttons and page feet in four languages.
+# Labels of menus, buttons and page feet in four languages.
 LABELS = """
 home|jobs|job search|companies|salaries|sign in|sign up|log in|login|log out|register|join now|join|post a job|for employers|
 employers|search|menu|my profile|profile|my account|account|saved jobs|saved|alerts|job alerts|about us|about|life at the company|
@@ -71,7 +82,7 @@ empleos similares|ofertas similares|aceptar todo|rechazar|configurar preferencia
 enviar|ayuda|términos de uso|accesibilidad|política de cookies
 """.replace("\n", "").split("|")
 
-# Wording of consent banners, counters, page feet and widget lines.
+# Wording of consent banners, counters, page feet and widget lines.
 FURNITURE = [
     r"cookies?\b.*\b(accept|reject|allow|agree|polic|consent|settings$|got it|bake|remember you|choose which|functional|akzeptieren|accepter|aceptar|verwenden|utilis|usamos)",
     r"^(we use|this (site|website) uses|our (site|website|pages) uses?|by (using|continuing|browsing)|before you continue|hungry for) .*\b(cookies?|consent|storage|identifiers|trackers?|accept|agree)\b",
@@ -103,13 +114,13 @@ FURNITURE = [
     r"^tags?: |^categor(y|ies): |^\d+ (jobs|results|openings) (found|in)\b",
 ]
 
-# Substrings of the lower-cased line without which no wording that may
+# Substrings of the lower-cased line without which no wording that may
 # stand anywhere in a line can match.
 ANYWHERE_HINTS = (
     "cookie|tracker|device|partners store|vendor|reserved|vorbehalten|réservés|reservados|traceurs"
 ).split("|")
 
-# Headings of postings' own sections.
+# Headings of postings' own sections.
 SECTION = (
     r"(?i)^\W*(the role|your (tasks|profile|role|responsibilities|skills|mission)|day to day|responsibilities|requirements|"
     r"what (you|we) [\w' ]{2,30}|who you are|you (have|bring|are|will)|must have|nice to have|qualifications|benefits|perks|"
@@ -118,12 +129,12 @@ SECTION = (
     r"compétences attendues|nous offrons|profil recherché|missions|qué harás|requisitos|funciones|tu perfil|ofrecemos|beneficios|"
     r"el puesto|il ruolo|requisiti)\s*:?$"
 )
-# Nouns that end the title of a job.
+# Nouns that end the title of a job.
 ROLE = (
     r"(engineer|developer|analyst|scientist|architect|administrator|manager|designer|writer|steward|statistician|consultant|"
     r"specialist|lead|director|officer|assistant|technician|programmer|researcher|coordinator|intern|nurse|clerk|planner)s?"
 )
-# Widget headings whose following entries are links to other postings.
+# Widget headings whose following entries are links to other postings.
 LISTS = (
     r"(?i)^\W*(similar jobs|recommended (for you|jobs)|people also viewed|you may (also )?like|related jobs|more (jobs|openings)\b.*|"
     r"ähnliche stellen|das könnte sie interessieren|offres similaires|empleos similares|ofertas similares|trending searches|"
@@ -215,10 +226,12 @@ def _cut_label(line: str) -> bool:
     )
 
 
-def furniture_lines(text: str) -> list[int]:
-    """Numbers of the lines of a page text that are not part of its main body."""
+def furniture_lines(text: str, recurring: frozenset[int] = frozenset()) -> list[int]:
+    """Numbers of the lines of a page text that are not part of its main body; ``recurring`` ones are its host's own."""
     lines = [x.strip() for x in text.split("\n")]
     judged = [_judged(x) for x in lines]
+    if recurring:
+        judged = [(NAV, 0.0, j[2]) if i in recurring and j[0] not in (SECTION_HEAD, BLANK) else j for i, j in enumerate(judged)]
     drop = [k in (NAV, LIST) for k, _, _ in judged]
     last = next((i for i in range(len(lines) - 1, -1, -1) if lines[i]), None)
     if last is None:
@@ -263,32 +276,64 @@ def furniture_lines(text: str) -> list[int]:
 
 
 @F.arrow_udf(ArrayType(LongType()))
-def _furniture(column: pa.Array) -> pa.Array:
-    return pa.array([furniture_lines(t) if t else [] for t in column.to_pylist()], pa.list_(pa.int64()))
+def _furniture(texts: pa.Array, recurring: pa.Array) -> pa.Array:
+    rows = zip(texts.to_pylist(), recurring.to_pylist())
+    return pa.array([furniture_lines(t, frozenset(r or ())) if t else [] for t, r in rows], pa.list_(pa.int64()))
+
+
+def furniture(text: Column, recurring: Column | None = None) -> Column:
+    """``array<bigint>`` of furniture line numbers; ``recurring`` is an array of the numbers of lines known to be the host's own."""
+    return _furniture(text, F.lit(None).cast("array<bigint>") if recurring is None else recurring)
+
 
+def _digests(pages: DataFrame, key: str, host: str, text: str) -> DataFrame:
+    """(key, host, at, digest) of every line that isn't blank; digits and case aside."""
+    flat = F.regexp_replace(F.lower(F.col(text)), r"[0-9\r]+", "")
+    lines = pages.select(key, host, F.posexplode(F.split(flat, "\n")).alias("at", "line")).withColumn("line", F.trim("line"))
+    return lines.where("line <> ''").select(key, host, F.col("at").cast("bigint").alias("at"), F.xxhash64("line").alias("digest"))
 
-def furniture(text: Column) -> Column:
-    """``array<bigint>`` of furniture line numbers."""
-    return _furniture(text)
+
+def recurring_lines(pages: DataFrame, key: str = "id", host: str = "host", text: str = "description") -> DataFrame:
+    """(key, recurring): numbers of each page's lines that are its host's own; pages without such lines have no row."""
+    pages = pages.where(F.length(F.trim(text)) > 0)
+    lines = _digests(pages, key, host, text)
+    per_host = pages.groupBy(host).agg(F.count("*").alias("of_host"))
+    counts = lines.groupBy(host, "digest").agg(F.count("*").alias("n"))
+    everywhere = counts.groupBy("digest").agg(F.sum("n").alias("n_all"))
+    total = pages.agg(F.count("*").alias("total")).scalar()
+    often = counts.where(F.col("n") >= RECUR_RECORDS).join(per_host, host).where(F.col("n") >= RECUR_SHARE * F.col("of_host"))
+    elsewhere = (F.col("n_all") - F.col("n")) / F.greatest(total - F.col("of_host"), F.lit(1))
+    own = durable(often.join(everywhere, "digest").where(F.col("n") / F.col("of_host") >= RECUR_LIFT * elsewhere).select(host, "digest"))
+    hits = lines.join(own, [host, "digest"])
+    return hits.groupBy(key).agg(F.collect_set("at").alias("recurring"))
 
 
 def main_text(text: Column) -> Column:
     """The text without its furniture lines."""
     lines = F.split(text, "\n")
     kept = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda s: ~F.array_contains(F.col("furniture"), s["at"].cast("bigint")))
-    return F.trim(F.array_join(F.transform(kept, lambda s: s["line"]), "\n"))
+    return F.regexp_replace(F.array_join(F.transform(kept, lambda s: s["line"]), "\n"), r"^\s+|\s+\z", "")
 
 
 def clean_pages(pages: DataFrame, text: str = "description") -> DataFrame:
-    """``pages`` with ``furniture`` and ``main_text``; columns of these names are replaced."""
+    """``pages`` with ``furniture`` and ``main_text``, by wording alone; columns of these names are replaced."""
     return pages.withColumn("furniture", furniture(F.col(text))).withColumn("main_text", main_text(F.col(text)))
 
 
+def clean_site_pages(pages: DataFrame, key: str = "id", host: str = "host", text: str = "description") -> DataFrame:
+    """``clean_pages`` by wording and by the lines that recur on each page's host."""
+    rows = pages.drop("recurring").join(recurring_lines(pages, key, host, text), key, "left")
+    rows = rows.withColumn("furniture", furniture(F.col(text), F.col("recurring"))).withColumn("main_text", main_text(F.col(text)))
+    return rows.drop("recurring")
+
+
 def found(job: DataFrame, no_posting: DataFrame) -> DataFrame:
     """Rows (id, line_no), without the records of ``no_posting`` (problem 4's cases)."""
     cases = no_posting.where("src_table = 'job'").select(F.col("rec_id").try_cast("bigint").alias("id")).distinct()
+    pages = job.select("id", host_of(F.col("url"), F.col("source")).alias("host"), "description")
     return (
-        job.select("id", _furniture(F.col("description")).alias("lines")).where(F.size("lines") > 0)
+        pages.select("id", "description").join(recurring_lines(pages), "id", "left")
+        .select("id", furniture(F.col("description"), F.col("recurring")).alias("lines")).where(F.size("lines") > 0)
         .join(cases, "id", "left_anti")
         .select("id", F.explode("lines").alias("line_no"))
     )

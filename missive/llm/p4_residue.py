@@ -322,7 +322,7 @@ def residue(records: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     return open_case.unionByName(notices).distinct()
 
 
-def _host(url: Column, otherwise: Column) -> Column:
+def host_of(url: Column, otherwise: Column) -> Column:
     """The host a URL names, without ``www.``, else ``otherwise``."""
     host = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z]+://(?:[^/@]*@)?(?:www\.)?([^/:?#]+)", 1)
     return F.when(host != "", host).otherwise(otherwise)
@@ -330,13 +330,13 @@ def _host(url: Column, otherwise: Column) -> Column:
 
 def job_records(job: DataFrame) -> DataFrame:
     return job.select(
-        F.lit("job").alias("src_table"), F.col("id").cast("string").alias("rec_id"), _host(F.col("url"), F.col("source")).alias("host"),
+        F.lit("job").alias("src_table"), F.col("id").cast("string").alias("rec_id"), host_of(F.col("url"), F.col("source")).alias("host"),
         "description",
     )
 
 
 def scraped_records(scraped: DataFrame) -> DataFrame:
-    host = _host(F.col("final_url"), F.split("url_key", ":")[0])
+    host = host_of(F.col("final_url"), F.split("url_key", ":")[0])
     return scraped.select(
         F.lit("scraped_job").alias("src_table"), F.col("url_key").alias("rec_id"), host.alias("host"), "description"
     ).distinct()

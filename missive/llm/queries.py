@@ -36,7 +36,9 @@ def _p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p3_main_text(spark: SparkSession, d: str) -> DataFrame:
-    return p3_main_text.clean_pages(table(spark, d, "job").select("id", "description")).select("id", "main_text")
+    job = table(spark, d, "job")
+    pages = job.select("id", p4_residue.host_of(F.col("url"), F.col("source")).alias("host"), "description")
+    return p3_main_text.clean_site_pages(pages).select("id", "main_text")
 
 
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:
