@@ -54,7 +54,7 @@ class Page:
     """Pieces of text in order; elements as (tag, first piece, end, parent); links as (href, element)."""
 
     pieces: list[str] = field(default_factory=list)
-    elements: list[list] = field(default_factory=lambda: [["", 0, 0, -1]])
+    elements: list[list] = field(default_factory=lambda: [["", 0, -1, -1]])
     links: list[tuple[str, int]] = field(default_factory=list)
 
     def lines(self, start: int, end: int) -> list[str]:

@@ -181,13 +181,12 @@ _FIELDS = ("title", "company", "location", "description", "posted_at", "employme
 
 
 def page_record(markup: str | None) -> dict[str, str] | None:
-    """Fields of a posting page: JSON-LD first, else metadata and headline."""
+    """Fields of a posting page: JSON-LD first, else its body and metadata."""
     if markup is None:
         return None
     page = read(markup)
     out = dict.fromkeys(_FIELDS, "")
     found = _posting(page.blocks)
-    text = squeeze("\n".join(page.text))
     if found:
         name = lambda x: x.get("name", "") if isinstance(x, dict) else str(x or "")
         place = found.get("jobLocation") or {}
@@ -207,12 +206,9 @@ def page_record(markup: str | None) -> dict[str, str] | None:
         if found.get("jobLocationType") == "TELECOMMUTE":
             out["location"] = (out["location"] + " (Remote)").strip()
     else:
-        out |= {
-            "title": page.meta.get("og:title") or squeeze(" ".join(page.headline)) or squeeze(" ".join(page.title)),
-            "company": page.meta.get("og:site_name", ""),
-            "description": text,
-            "extraction": "html",
-        }
+        from missive.functions.pages import read_body
+
+        return out | read_body(markup) | {"extraction": "html"}
     out["status"] = "ok" if len(out["description"]) > 40 else "empty"
     return out
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from missive import fixed
-from missive.functions import boards, fields, html, urls
+from missive.functions import boards, fields, html, pages, urls
 from missive.functions import text as T
 from missive.operators import classify, dedup, extract, fold
 from missive.plans.base import in_list, query, quoted
@@ -294,6 +294,55 @@ def _page_fields(spark, d):
     return table(spark, d, "job").select("id", html.page_fields(page).alias("p")).select("id", "p.*")
 
 
+_BODY = f"substr({_SQUEEZE('description')}, 1, 20000)"
+_STOPOVER = f"""({_hit(fixed.STOPOVER_PAGE, f"('Posting' || chr(10) || substr(body, 1, {fixed.STOPOVER_WITHIN}))")}
+    OR ({_hit(fixed.MENU_PAGE, f'substr(body, 1, {fixed.MENU_WITHIN})')} AND NOT {_hit(fixed.POSTING_WORDS, 'body')}))"""
+_BLOCKED = f"(length(body) < {fixed.BLOCKED_MOST} AND {_hit(fixed.BLOCKED_PAGE, f'substr(body, 1, {fixed.BLOCKED_WITHIN})')})"
+
+
+@query(
+    "page_status",
+    f"""SELECT id, CASE WHEN {_STOPOVER} THEN '' ELSE 'Posting' END AS title, CASE WHEN {_STOPOVER} THEN '' ELSE body END AS description,
+    CASE WHEN {_STOPOVER} THEN 'empty' WHEN {_BLOCKED} THEN 'blocked' WHEN body = '' OR {_hit(fixed.FORM_PAGE, f'substr(body, 1, {fixed.FORM_WITHIN})')} THEN 'empty' ELSE 'ok' END AS status
+    FROM (SELECT id, {_BODY} AS body FROM job)""",
+)
+def _page_status(spark, d):
+    """Pages with menus, heads, forms and feet around a text, read back without them and told apart from walls."""
+    text = F.replace(F.replace(_flat("description"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(
+        F.lit("<html><head><title>Home</title><meta property='og:title' content='Posting'></head><body><header><h2>Zeta</h2></header><nav><a href='/x'>Menu</a></nav>"
+              "<form>Search</form><div class='job-details'><p>"), text, F.lit("</p></div><aside>See also</aside><footer>About</footer><script>x</script></body></html>"),
+    )
+    return table(spark, d, "job").select("id", html.page_fields(page).alias("p")).select("id", "p.title", "p.description", "p.status")
+
+
+#: Keys and URLs, and where their boards give the posting as data.
+TARGET_CASES = [
+    ("linkedin:4455667788", "https://linkedin.com/jobs/view/4455667788", "https://www.linkedin.com/jobs-guest/jobs/api/jobPosting/4455667788", "linkedin"),
+    ("greenhouse:66", "https://boards.greenhouse.io/embed/job_app?for=zeta&token=66", "https://boards-api.greenhouse.io/v1/boards/zeta/jobs/66", "greenhouse"),
+    ("greenhouse:66", "https://job-boards.greenhouse.io/zeta/jobs/66?x=1", "https://boards-api.greenhouse.io/v1/boards/zeta/jobs/66", "greenhouse"),
+    ("greenhouse:66", "https://zeta.example/roles?gh_jid=66", "https://zeta.example/roles?gh_jid=66", "html"),
+    ("lever:zeta:ab-12", "https://jobs.lever.co/zeta/ab-12", "https://api.lever.co/v0/postings/zeta/ab-12?mode=json", "lever"),
+    ("ashby:zeta:ab-12", "https://jobs.ashbyhq.com/zeta/ab-12", "https://api.ashbyhq.com/posting-api/job-board/zeta?includeCompensation=true", "ashby"),
+    ("workday:zeta.wd3.myworkdayjobs.com:Oslo/E_77", "https://zeta.wd3.myworkdayjobs.com/en-US/Site/job/Oslo/E_77/", "https://zeta.wd3.myworkdayjobs.com/wday/cxs/zeta/Site/job/Oslo/E_77", "workday"),
+    ("smartrecruiters:Zeta:744-e", "https://jobs.smartrecruiters.com/Zeta/744-e?a=b", "https://api.smartrecruiters.com/v1/companies/Zeta/postings/744-e", "smartrecruiters"),
+    ("workable:zeta:1A2B", "https://apply.workable.com/zeta/j/1A2B/", "https://apply.workable.com/api/v2/accounts/zeta/jobs/1A2B", "workable"),
+    ("indeed:0f1e", "https://indeed.com/rc/clk?jk=0f1e", "https://www.indeed.com/viewjob?jk=0f1e", "html"),
+    ("zeta.example:zeta.example/a", "https://zeta.example/a", "https://zeta.example/a", "html"),
+    ("", "", "", "html"),
+]
+
+
+@query(
+    "api_targets",
+    "SELECT url_key, url, target, parser FROM (VALUES " + ", ".join(f"({', '.join(map(quoted, c))})" for c in TARGET_CASES) + ") AS t(url_key, url, target, parser)",
+)
+def _api_targets(spark, d):
+    """Keys and URLs of known boards against their written data addresses."""
+    given = spark.createDataFrame([c[:2] for c in TARGET_CASES], "url_key string, url string")
+    return given.select("url_key", "url", pages.api_target(F.col("url_key"), F.col("url")).alias("t")).select("url_key", "url", "t.*")
+
+
 def _payloads() -> dict:
     """Each board's JSON of a posting's title, company, place and day."""
     c, as_ = F.col, lambda e, n: e.alias(n)
