@@ -16,8 +16,8 @@ since sentences of a posting that stand alone between furniture score as little
 as furniture of unknown wording (figures in the README).
 
 One pass per text inside a vectorised UDF; lines repeat across pages of a host,
-so their judgements are cached per worker.  Line counts are combined map-side on
-64-bit digests; only recurring lines are joined back to their pages.
+so their judgements are cached per worker.  Lines are counted once, for this problem and problem 4,
+combined map-side on 64-bit digests.
 
 Defined results: null, empty and blank texts have no furniture lines; line
 numbers count the '\\n' of the stored value; blank lines are never reported.
@@ -29,11 +29,12 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from missive.llm.p4_residue import host_of
+from missive.llm import p4_residue
 from missive.runtime import durable
 
 CONTENT_LENGTH = 25
@@ -275,37 +276,73 @@ def furniture_lines(text: str, recurring: frozenset[int] = frozenset()) -> list[
     return [i for i in filled if drop[i]]
 
 
-@F.arrow_udf(ArrayType(LongType()))
-def _furniture(texts: pa.Array, recurring: pa.Array) -> pa.Array:
-    rows = zip(texts.to_pylist(), recurring.to_pylist())
-    return pa.array([furniture_lines(t, frozenset(r or ())) if t else [] for t, r in rows], pa.list_(pa.int64()))
+#: Hosts' own lines travel with the function that judges pages up to so many (8 bytes each), beyond it by a join.
+OWN_MOST = 200_000
 
+_DIGITS = re.compile(r"[0-9\r]+")
 
-def furniture(text: Column, recurring: Column | None = None) -> Column:
-    """``array<bigint>`` of furniture line numbers; ``recurring`` is an array of the numbers of lines known to be the host's own."""
-    return _furniture(text, F.lit(None).cast("array<bigint>") if recurring is None else recurring)
 
+def line_digest(line: str) -> int:
+    """The digest of ``p4_residue.line_counts`` of a line."""
+    value = xxhash.xxh64(_DIGITS.sub("", line.lower()).strip(" ").encode(), seed=42).intdigest()
+    return value - (1 << 64) if value >> 63 else value
 
-def _digests(pages: DataFrame, key: str, host: str, text: str) -> DataFrame:
-    """(key, host, at, digest) of every line that isn't blank; digits and case aside."""
-    flat = F.regexp_replace(F.lower(F.col(text)), r"[0-9\r]+", "")
-    lines = pages.select(key, host, F.posexplode(F.split(flat, "\n")).alias("at", "line")).withColumn("line", F.trim("line"))
-    return lines.where("line <> ''").select(key, host, F.col("at").cast("bigint").alias("at"), F.xxhash64("line").alias("digest"))
 
+def _judge_pages(own: dict[str, frozenset[int]]):
+    @F.arrow_udf(ArrayType(LongType()))
+    def judge(texts: pa.Array, hosts: pa.Array, recurring: pa.Array) -> pa.Array:
+        out = []
+        for text, host, known in zip(texts.to_pylist(), hosts.to_pylist(), recurring.to_pylist()):
+            lines = frozenset(known or ())
+            if text and (digests := own.get(host or "")):
+                lines |= {i for i, x in enumerate(text.split("\n")) if line_digest(x) in digests}
+            out.append(furniture_lines(text, lines) if text else [])
+        return pa.array(out, pa.list_(pa.int64()))
 
-def recurring_lines(pages: DataFrame, key: str = "id", host: str = "host", text: str = "description") -> DataFrame:
-    """(key, recurring): numbers of each page's lines that are its host's own; pages without such lines have no row."""
-    pages = pages.where(F.length(F.trim(text)) > 0)
-    lines = _digests(pages, key, host, text)
-    per_host = pages.groupBy(host).agg(F.count("*").alias("of_host"))
-    counts = lines.groupBy(host, "digest").agg(F.count("*").alias("n"))
-    everywhere = counts.groupBy("digest").agg(F.sum("n").alias("n_all"))
-    total = pages.agg(F.count("*").alias("total")).scalar()
-    often = counts.where(F.col("n") >= RECUR_RECORDS).join(per_host, host).where(F.col("n") >= RECUR_SHARE * F.col("of_host"))
+    return judge
+
+
+def furniture(text: Column, host: Column | None = None, own: dict[str, frozenset[int]] | None = None, recurring: Column | None = None) -> Column:
+    """``array<bigint>`` of furniture line numbers.
+
+    ``own``: digests of lines that are a host's own, by host; ``recurring``: an array of the numbers of such lines.
+    """
+    none = F.lit(None)
+    return _judge_pages(own or {})(
+        text, none.cast("string") if host is None else host, none.cast("array<bigint>") if recurring is None else recurring
+    )
+
+
+def own_lines(records: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, digest) of the lines that are a host's own, by the records' ``line_counts``."""
+    per_host = p4_residue.filled(records).groupBy("host").agg(F.count("*").alias("of_host"))
+    total = p4_residue.filled(records).agg(F.count("*").alias("total")).scalar()
+    often = counts.where(F.col("n") >= RECUR_RECORDS).join(per_host, "host").where(F.col("n") >= RECUR_SHARE * F.col("of_host"))
+    # Only digests that are frequent somewhere are summed over all hosts.
+    everywhere = counts.join(often.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.sum("n").alias("n_all"))
     elsewhere = (F.col("n_all") - F.col("n")) / F.greatest(total - F.col("of_host"), F.lit(1))
-    own = durable(often.join(everywhere, "digest").where(F.col("n") / F.col("of_host") >= RECUR_LIFT * elsewhere).select(host, "digest"))
-    hits = lines.join(own, [host, "digest"])
-    return hits.groupBy(key).agg(F.collect_set("at").alias("recurring"))
+    blank = F.xxhash64(F.lit(""))
+    return (
+        often.join(everywhere, "digest").where((F.col("n") / F.col("of_host") >= RECUR_LIFT * elsewhere) & (F.col("digest") != blank))
+        .select("host", "digest")
+    )
+
+
+def judged(records: DataFrame, counts: DataFrame) -> DataFrame:
+    """``records`` (src_table, rec_id, host, description) that hold text, with ``furniture``, by wording and by their hosts' own lines."""
+    own = durable(own_lines(records, counts))
+    pages = p4_residue.filled(records)
+    if own.count() <= OWN_MOST:
+        by_host: dict[str, set[int]] = {}
+        for r in own.collect():
+            by_host.setdefault(r.host, set()).add(r.digest)
+        known = {h: frozenset(d) for h, d in by_host.items()}
+        return pages.withColumn("furniture", furniture(F.col("description"), F.col("host"), known))
+    lines = pages.select("src_table", "rec_id", "host", F.posexplode(F.split("description", "\n")).alias("at", "line"))
+    lines = lines.select("src_table", "rec_id", "host", F.col("at").cast("bigint").alias("at"), p4_residue.digest(F.col("line")).alias("digest"))
+    hits = lines.join(own, ["host", "digest"]).groupBy("src_table", "rec_id").agg(F.collect_set("at").alias("recurring"))
+    joined = pages.join(hits, ["src_table", "rec_id"], "left")
+    return joined.withColumn("furniture", furniture(F.col("description"), recurring=F.col("recurring"))).drop("recurring")
 
 
 def main_text(text: Column) -> Column:
@@ -320,20 +357,18 @@ def clean_pages(pages: DataFrame, text: str = "description") -> DataFrame:
     return pages.withColumn("furniture", furniture(F.col(text))).withColumn("main_text", main_text(F.col(text)))
 
 
-def clean_site_pages(pages: DataFrame, key: str = "id", host: str = "host", text: str = "description") -> DataFrame:
-    """``clean_pages`` by wording and by the lines that recur on each page's host."""
-    rows = pages.drop("recurring").join(recurring_lines(pages, key, host, text), key, "left")
-    rows = rows.withColumn("furniture", furniture(F.col(text), F.col("recurring"))).withColumn("main_text", main_text(F.col(text)))
-    return rows.drop("recurring")
+def clean_site_pages(records: DataFrame) -> DataFrame:
+    """``records`` (src_table, rec_id, host, description) that hold text, with ``furniture`` and ``main_text``."""
+    return judged(records, durable(p4_residue.line_counts(records))).withColumn("main_text", main_text(F.col("description")))
 
 
-def found(job: DataFrame, no_posting: DataFrame) -> DataFrame:
-    """Rows (id, line_no), without the records of ``no_posting`` (problem 4's cases)."""
-    cases = no_posting.where("src_table = 'job'").select(F.col("rec_id").try_cast("bigint").alias("id")).distinct()
-    pages = job.select("id", host_of(F.col("url"), F.col("source")).alias("host"), "description")
+def found(job: DataFrame) -> DataFrame:
+    """Rows (id, line_no), without the records that are cases of problem 4."""
+    records = p4_residue.job_records(job)
+    counts = durable(p4_residue.line_counts(records))
+    cases = p4_residue.residue(records, counts=counts)
     return (
-        pages.select("id", "description").join(recurring_lines(pages), "id", "left")
-        .select("id", furniture(F.col("description"), F.col("recurring")).alias("lines")).where(F.size("lines") > 0)
-        .join(cases, "id", "left_anti")
-        .select("id", F.explode("lines").alias("line_no"))
+        judged(records, counts).select("src_table", "rec_id", "furniture").where(F.size("furniture") > 0)
+        .join(cases, ["src_table", "rec_id"], "left_anti")
+        .select(F.col("rec_id").try_cast("bigint").alias("id"), F.explode("furniture").alias("line_no"))
     )

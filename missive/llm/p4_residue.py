@@ -272,26 +272,38 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[0-9\r]+", ""))
 
 
+def digest(line: Column) -> Column:
+    """64-bit digest of a normalised line."""
+    return F.xxhash64(_normal(line))
+
+
 def different_lines(text: Column) -> Column:
     """A text's different normalised lines."""
     return F.array_distinct(F.split(_normal(text), r" *\n *"))
 
 
-def residue(records: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+def filled(records: DataFrame) -> DataFrame:
+    """Records that hold some text, with their host ('' for none)."""
+    kept = records.select("src_table", "rec_id", F.coalesce("host", F.lit("")).alias("host"), "description")
+    return kept.where(F.length(F.trim("description")) > 0)
+
+
+def line_counts(records: DataFrame) -> DataFrame:
+    """(host, digest, n): how many records of a host hold a normalised line."""
+    lines = filled(records).select("host", F.explode(different_lines(F.col("description"))).alias("line"))
+    return lines.select("host", F.xxhash64("line").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))
+
+
+def residue(records: DataFrame, asked: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Cases among ``records``(src_table, rec_id, host, description): rows src_table, rec_id.
 
     With ``asked``(rec_id, different ones) only those need an answer; lines are counted over all
     records, and more are judged where ``asked`` is too large to be broadcast (``ASKED_MOST``).
+    ``counts``: the records' ``line_counts``, if they are at hand.
     """
-    records = records.select("src_table", "rec_id", F.coalesce("host", F.lit("")).alias("host"), "description").where(
-        F.length(F.trim("description")) > 0
-    )
+    records = filled(records)
     per_host = records.groupBy("host").agg(F.count("*").alias("n_records"))
-    counted = (
-        records.select("host", F.explode(different_lines(F.col("description"))).alias("line"))
-        .select("host", F.xxhash64("line").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))
-        .where(F.col("n") >= BOILERPLATE_RECORDS)
-    )
+    counted = (line_counts(records) if counts is None else counts).where(F.col("n") >= BOILERPLATE_RECORDS)
     # Both sides are aggregates; Catalyst picks the join from their sizes.
     boilerplate = (
         counted.join(per_host, "host").where(F.col("n") >= BOILERPLATE_SHARE * F.col("n_records")).select("host", "digest")
@@ -311,7 +323,7 @@ def residue(records: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     line = F.get(F.col("lines"), F.col("e.at"))
     told = told.select(
         "src_table", "rec_id", "host", "e.notices", "e.others",
-        F.when(F.col("e.notices") == 0, F.xxhash64(_normal(line))).alias("digest"),
+        F.when(F.col("e.notices") == 0, digest(line)).alias("digest"),
     )
     # Lines with a notice have no digest, so they always stay.
     notices = (

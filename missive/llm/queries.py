@@ -31,14 +31,14 @@ def _p2_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p3_found(spark: SparkSession, d: str) -> DataFrame:
-    job = table(spark, d, "job")
-    return p3_main_text.found(job, p4_residue.residue(p4_residue.job_records(job)))
+    return p3_main_text.found(table(spark, d, "job"))
 
 
 def _p3_main_text(spark: SparkSession, d: str) -> DataFrame:
     job = table(spark, d, "job")
-    pages = job.select("id", p4_residue.host_of(F.col("url"), F.col("source")).alias("host"), "description")
-    return p3_main_text.clean_site_pages(pages).select("id", "main_text")
+    cleaned = p3_main_text.clean_site_pages(p4_residue.job_records(job)).select(F.col("rec_id").try_cast("bigint").alias("id"), "main_text")
+    blank = job.where("description IS NULL OR trim(description) = ''").select("id", F.trim("description").alias("main_text"))
+    return cleaned.unionByName(blank)
 
 
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:

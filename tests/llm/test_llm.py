@@ -147,18 +147,26 @@ def test_p3_furniture():
     assert p3_main_text.furniture_lines("") == [] and p3_main_text.furniture_lines("Plain text only.") == []
 
 
-def test_p3_unlisted_furniture_by_recurrence(spark):
+def test_p3_unlisted_furniture_by_recurrence(spark, monkeypatch):
     head = "Explore | Opportunities | Community\nOur little biscuits keep the lights on, fine with you?\n\n"
     foot = "\nPastry cook at the Lakeside branch\nMade with care by the web folks of Zeta"
     body = lambda i: f"Duties\nYou bake {'abcdefghijklmnopqrstuvwxyz'[i] * 3} bread with two others, early in the day.\n- Knead dough {'abcdefghijklmnopqrstuvwxyz'[i]}"
     rows = [(i, "zeta.example", head + body(i) + foot) for i in range(12)] + [(100 + i, f"h{i}.example", body(i)) for i in range(20)]
     rows += [(200, "zeta.example", None), (201, None, ""), (202, "zeta.example", " ")]
-    pages = spark.createDataFrame(rows, "id long, host string, description string").withColumn("recurring", F.lit("clash"))
-    got = {r.id: (r.furniture, r.main_text) for r in p3_main_text.clean_site_pages(pages).collect()}
-    for i in range(12):
-        assert got[i] == ([0, 1, 6, 7], body(i)), got[i]
-    assert all(got[100 + i] == ([], body(i)) for i in range(20)) and got[200][0] == [] and len(got) == 35
-    assert p3_main_text.clean_site_pages(pages.where("false")).count() == 0
+    records = spark.createDataFrame([("job", str(i), h, t) for i, h, t in rows], "src_table string, rec_id string, host string, description string")
+    for most in (p3_main_text.OWN_MOST, 0):
+        monkeypatch.setattr(p3_main_text, "OWN_MOST", most)
+        got = {int(r.rec_id): (r.furniture, r.main_text) for r in p3_main_text.clean_site_pages(records).collect()}
+        for i in range(12):
+            assert got[i] == ([0, 1, 6, 7], body(i)), got[i]
+        assert all(got[100 + i] == ([], body(i)) for i in range(20)) and len(got) == 32
+    assert p3_main_text.clean_site_pages(records.where("false")).count() == 0
+
+
+def test_p3_digests_are_the_engine_s(spark):
+    lines = ["", "  Jobs 12 | Menü\r", "straße 5", "\tTab", "日本 7", "x" * 100]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select("line", p4_residue.digest(F.col("line")).alias("d"))
+    assert all(r.d == p3_main_text.line_digest(r.line) for r in df.collect())
 
 
 def test_p4_cases_and_decoys(spark):
