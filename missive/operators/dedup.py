@@ -7,6 +7,8 @@ back, not windows, wherever one row per key suffices.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,46 +37,69 @@ def best_per_key(rows: DataFrame, keys: list[str], preference: list[Column]) ->
 
 
 def pointers(rows: DataFrame, key: str, order: list[str], id_column: str = "id") -> DataFrame:
-    """Later occurrences of a key as pointers: id, key, root_id, seq (0 for the first)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.select(
-        id_column, key, F.first(id_column).over(w).alias("root_id"), (F.row_number().over(w) - 1).cast("bigint").alias("seq")
+    """Later occurrences of a key as pointers: id, key, root_id, seq (0 for the first).
+
+    ``order`` begins with an instant.  Places are counted within a key's days and
+    shifted by the counts of the days before, so a hot key is split by days.
+    """
+    dated = rows.select(id_column, key, *(c for c in order if c not in (id_column, key)), F.to_date(order[0]).alias("_day"))
+    days = dated.groupBy(key, "_day").agg(F.count("*").alias("_n"))
+    before = days.select(
+        key, F.col("_day").alias("_of"),
+        F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
     )
+    first = dated.groupBy(key).agg(F.min_by(id_column, F.struct(*order)).alias("root_id")).withColumnRenamed(key, "_key")
+    place = F.row_number().over(Window.partitionBy(key, "_day").orderBy(*order)) - 1
+    counted = dated.withColumn("_place", place).join(before, [key]).where(F.col("_day").eqNullSafe(F.col("_of")))
+    return counted.join(first, F.col(key) == F.col("_key")).select(id_column, key, "root_id", (F.col("_place") + F.col("_before")).cast("bigint").alias("seq"))
 
 
 def suppress_repeats(rows: DataFrame, group: str, title: Column, company: Column, order: list[str]) -> DataFrame:
-    """Drop a row without company whose title stood earlier in its group with one."""
-    w = Window.partitionBy(group, F.lower(title)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max((F.coalesce(company, F.lit("")) != "").cast("int")).over(w)
-    return rows.withColumn("_seen", F.coalesce(seen, F.lit(0))).where(
-        (F.coalesce(company, F.lit("")) != "") | (F.col("_seen") == 0)
-    ).drop("_seen")
+    """Drop a row without company whose title stood earlier in its group with one.
+
+    Only the first row with a company per group and title matters, which is an
+    aggregate; rows are not put in order.
+    """
+    named = F.coalesce(company, F.lit("")) != ""
+    keyed = rows.withColumns({"_title": F.lower(title), "_named": named, "_at": F.struct(*order)})
+    first = keyed.where("_named").groupBy(F.col(group).alias("_g"), F.col("_title").alias("_t")).agg(F.min("_at").alias("_first"))
+    same = F.col(group).eqNullSafe(F.col("_g")) & F.col("_title").eqNullSafe(F.col("_t"))
+    kept = keyed.join(first, same, "left").where(F.col("_named") | F.col("_first").isNull() | (F.col("_at") < F.col("_first")))
+    return kept.select(*rows.columns)
 
 
 def throttle(rows: DataFrame, keys: list[str], time: str, seconds: int, id_column: str) -> DataFrame:
     """Keep a row only if its key had no *kept* row in the seconds before.
 
-    The chain is greedy, so it needs the rows of a key in order; keys are cut
-    where a gap of ``seconds`` or more makes the chain start anew, which keeps
-    groups short however hot a key is.
+    The choice is greedy, so a chain of rows is walked in order, as a sorted
+    stream that remembers one instant.  A key's time is cut into slots of
+    ``seconds``: an empty slot ends a chain, so hot keys are split wherever they
+    pause.  Rows without time are dropped.
     """
-    w = Window.partitionBy(*keys).orderBy(time, id_column)
-    at = F.unix_micros(time)
-    gap = at - F.lag(at).over(w)
-    cut = rows.withColumn("_new", F.when(gap.isNull() | (gap >= seconds * 1_000_000), 1).otherwise(0))
-    cut = cut.withColumn("_chain", F.sum("_new").over(w)).select(*keys, "_chain", F.col(id_column).alias("_id"), at.alias("_at"))
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for i, t in sorted(zip(pdf["_id"], pdf["_at"]), key=lambda x: (x[1], x[0])):
-            if last is None or t - last >= seconds * 1_000_000:
-                kept.append(i)
-                last = t
-        return pd.DataFrame({"_id": kept})
+    step = seconds * 1_000_000
+    timed = rows.where(F.col(time).isNotNull()).select(*keys, F.col(id_column).alias("_id"), F.unix_micros(time).alias("_at"))
+    timed = timed.withColumn("_slot", F.floor(F.col("_at") / step))
+    slots = timed.select(*keys, "_slot").distinct()
+    w = Window.partitionBy(*keys).orderBy("_slot")
+    new = F.coalesce((F.col("_slot") - F.lag("_slot").over(w) > 1).cast("int"), F.lit(1))
+    chains = slots.withColumn("_new", new).withColumn("_chain", F.sum("_new").over(w)).drop("_new")
+    chains = chains.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_slot").alias("_s"), "_chain")
+    same = F.col("_slot") == F.col("_s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    walk = timed.join(chains, same).select(F.xxhash64(*keys, "_chain").alias("_of"), "_at", "_id")
+
+    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, last = None, 0
+        for frame in frames:
+            kept = []
+            for of, at, i in zip(frame["_of"], frame["_at"], frame["_id"]):
+                if of != chain or at - last >= step:
+                    kept.append(i)
+                    chain, last = of, at
+            yield pd.DataFrame({"_id": kept}).astype({"_id": frame["_id"].dtype})
 
     kind = dict(rows.dtypes)[id_column]
-    sized = cut.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_chain")))
-    # A chain of one row is kept as it is; only the others need the loop.
-    alone = sized.where("_n = 1").select("_id")
-    kept = alone.unionByName(sized.where("_n > 1").drop("_n").groupBy(*keys, "_chain").applyInPandas(chain, f"_id {kind}"))
+    ordered = walk.repartition("_of").sortWithinPartitions("_of", "_at", "_id")
+    kept = ordered.mapInPandas(keep, f"_id {kind}")
     return rows.join(kept.withColumnRenamed("_id", id_column), id_column, "left_semi")

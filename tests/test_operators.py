@@ -37,6 +37,28 @@ def test_suppress_repeats_is_ordered(spark):
     assert got == {1, 2, 4}
 
 
+def test_pointers_over_days_and_nulls(spark):
+    rows = spark.createDataFrame([(1, "a", at(0)), (2, "a", at(0)), (3, "a", at(3000)), (4, "a", None), (5, "b", at(9))], "id long, k string, t timestamp")
+    got = {r.id: (r.root_id, r.seq) for r in dedup.pointers(rows, "k", ["t", "id"]).collect()}
+    assert got == {4: (4, 0), 1: (4, 1), 2: (4, 2), 3: (4, 3), 5: (5, 0)}
+    assert dedup.pointers(rows.where("false"), "k", ["t", "id"]).count() == 0
+
+
+def test_throttle_against_brute_force(spark):
+    import random
+
+    random.seed(3)
+    data = [(i, random.choice(["a", "b", None]), at(random.randint(0, 3000) / 7)) for i in range(3000)]
+    rows = spark.createDataFrame(data, "id long, u string, t timestamp")
+    want, last = set(), {}
+    for i, u, t in sorted(data, key=lambda x: (x[2], x[0])):
+        if u not in last or (t - last[u]).total_seconds() >= 600:
+            want.add(i)
+            last[u] = t
+    assert {r.id for r in dedup.throttle(rows, ["u"], "t", 600, "id").collect()} == want
+    assert dedup.throttle(rows.where("false"), ["u"], "t", 600, "id").count() == 0
+
+
 RANKS = {"applied": 1, "interview": 2, "rejected": 3}
 
 
