@@ -43,7 +43,7 @@ def parse_payload(payload: str | None) -> dict | None:
         return None
     if not isinstance(root, dict):
         return None
-    headers = {str(h.get("name", "")).lower(): str(h.get("value", "")) for h in root.get("headers") or []}
+    headers = {str(h.get("name") or "").lower(): str(h.get("value") or "") for h in root.get("headers") or [] if isinstance(h, dict)}
     bodies: dict[str, list[str]] = {}
     kinds, stack = [], [root]
     while stack:

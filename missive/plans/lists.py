@@ -510,3 +510,44 @@ def _miss_report(spark, d):
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     rows = mails.join(titled, "id", "left").join(stored, "id", "left").select("id", "bare", "flag", "expected", zero("titled"), zero("stored"), zero("thin"))
     return rows.select("id", *facets.miss_columns(F.col("bare"), F.col("flag") != "", F.col("expected"), F.col("titled"), F.col("stored"), F.col("thin")))
+
+
+# -- logs ------------------------------------------------------------------------
+@query(
+    "events_once",
+    """SELECT id, application_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY application_id, CASE WHEN coalesce(message_id, '') <> '' THEN message_id ELSE 'id ' || id END
+    ORDER BY occurred_at DESC, id DESC) AS r FROM (SELECT DISTINCT id, application_id, kind, message_id, occurred_at FROM application_event)) WHERE r = 1""",
+)
+def _events_once(spark, d):
+    """One event per application and message, however often it was recorded."""
+    from missive.sources import store
+
+    events = table(spark, d, "application_event").select("id", "application_id", "kind", "message_id", "occurred_at")
+    return store.once(events, "application_id", "message_id", ["occurred_at", "id"]).select("id", "application_id", "kind")
+
+
+@query(
+    "flagged_update",
+    f"""SELECT m.id, CASE WHEN coalesce(f.flagged_category, '') <> '' THEN f.flagged_category ELSE m.category END AS category FROM {mail_sql('category')} m
+    LEFT JOIN (SELECT id, flagged_category FROM (SELECT id, flagged_category, row_number() OVER (PARTITION BY id ORDER BY flagged_at DESC, flagged_category DESC) AS r
+      FROM message WHERE flagged_category <> '' AND flagged_at IS NOT NULL) WHERE r = 1) f ON m.id = f.id""",
+)
+def _flagged_update(spark, d):
+    """Categories after the users' flags, which come as a log of actions."""
+    from missive.sources import store
+
+    flags = table(spark, d, "message").where("flagged_category <> '' AND flagged_at IS NOT NULL")
+    actions = flags.select(F.lit("message").alias("table"), "id", F.lit("category").alias("field"), F.col("flagged_category").alias("value"), F.col("flagged_at").alias("at"))
+    return store.acted(newest_mail(spark, d, "category"), actions, "message", "id", ["category"]).select("id", "category")
+
+
+@query(
+    "latest_state",
+    "SELECT kind AS key, CAST(arg_max(id, {'a': occurred_at, 'b': id}) AS varchar) AS value FROM (SELECT DISTINCT kind, id, occurred_at FROM application_event) GROUP BY 1",
+)
+def _latest_state(spark, d):
+    """A key-value log folded to its current values."""
+    from missive.sources import store
+
+    log = table(spark, d, "application_event").select(F.col("kind").alias("key"), F.col("occurred_at").alias("at"), "id")
+    return store.newest(log, ["key"], "at").select("key", F.col("id").cast("string").alias("value"))

@@ -332,22 +332,33 @@ def _html_links(spark, d):
     return links.select("id", "l.url", F.col("l.text").alias("label"))
 
 
-@query("mail_parse", "SELECT DISTINCT id, sender, lower(sender_email) AS sender_email, subject, body_text AS text FROM message WHERE body_text <> '' AND subject IS NOT NULL")
+@query(
+    "mail_parse",
+    """SELECT id, trim(coalesce(sender, '')) AS sender, lower(coalesce(sender_email, '')) AS sender_email, coalesce(subject, '') AS subject, coalesce(body_text, '') AS text,
+    'multipart/mixed,application/pdf,multipart/alternative,text/html,text/plain' AS parts FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY processed_at DESC,
+    sender NULLS FIRST, sender_email NULLS FIRST, subject NULLS FIRST, body_text NULLS FIRST) AS r FROM message) WHERE r = 1""",
+)
 def _mail_parse(spark, d):
-    """Messages packed as mailbox payloads and parsed back: a round trip."""
-    m = table(spark, d, "message").where("body_text <> '' AND subject IS NOT NULL").select("id", "thread_id", "snippet", "received_at", "sender", "sender_email", "subject", "body_text").dropDuplicates(["id"])
-    part = lambda kind, data: F.struct(F.lit(kind).alias("mimeType"), F.struct(data.alias("data")).alias("body"))
-    coded = F.translate(F.base64(F.encode("body_text", "UTF-8")), "+/\r\n", "-_")
+    """Messages packed as mailbox payloads with nested parts and parsed back: a round trip."""
+    columns = ("sender", "sender_email", "subject", "body_text")
+    m = table(spark, d, "message").select("id", "processed_at", "thread_id", "snippet", "received_at", *columns)
+    m = dedup.best_per_key(m, ["id"], [-F.unix_micros("processed_at"), *map(F.col, columns)])
+    text = lambda c: F.coalesce(c, F.lit(""))
+    body = lambda data: F.struct(data.alias("data")).alias("body")
+    kind = lambda name: F.lit(name).alias("mimeType")
+    coded = F.translate(F.base64(F.encode(text("body_text"), "UTF-8")), "+/\r\n", "-_")
     head = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
-    payload = F.to_json(
-        F.struct(
-            F.lit("multipart/alternative").alias("mimeType"),
-            F.array(head("From", F.concat(F.lit('"'), "sender", F.lit('" <'), "sender_email", F.lit(">"))), head("Subject", F.col("subject"))).alias("headers"),
-            F.array(part("text/plain", coded), part("text/html", F.base64(F.encode(F.lit("<p>x</p>"), "UTF-8")))).alias("parts"),
-        )
-    )
-    raw = m.select("id", F.col("thread_id").alias("threadId"), "snippet", F.unix_millis("received_at").cast("string").alias("internalDate"), payload.alias("payload"))
-    return mail.parse_mail(raw).select("id", F.col("sender_name").alias("sender"), "sender_email", "subject", "text")
+    leaf = lambda name, data: F.struct(kind(name), body(data))
+    markup = F.base64(F.encode(F.lit("<p>x</p>"), "UTF-8"))
+    inner = F.struct(kind("multipart/alternative"), F.array(leaf("text/plain", coded), leaf("text/html", markup)).alias("parts"))
+    sender = F.concat(F.lit('"'), text("sender"), F.lit('" <'), text("sender_email"), F.lit(">"))
+    outer = F.to_json(F.struct(kind("multipart/mixed"), F.array(head("From", sender), head("Subject", text("subject"))).alias("headers")))
+    # The parts are of different shapes, so they are put in as text.
+    parts = F.concat_ws(",", F.to_json(inner), F.to_json(leaf("application/pdf", F.lit(""))))
+    plain = F.concat(F.regexp_replace(outer, r"\}$", ""), F.lit(',"parts":['), parts, F.lit("]}"))
+    raw = m.select("id", F.col("thread_id").alias("threadId"), "snippet", F.unix_millis("received_at").cast("string").alias("internalDate"), plain.alias("payload"))
+    parsed = mail.parse_mail(raw)
+    return parsed.select("id", F.col("sender_name").alias("sender"), "sender_email", "subject", "text", F.array_join("part_types", ",").alias("parts"))
 
 
 @query("json_payload", "SELECT event_id, CAST(json_extract(props, '$.k') AS bigint) AS k FROM events")

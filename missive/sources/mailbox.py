@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "id string, threadId string, snippet string, internalDate string, labelIds array<string>, payload string"
 
@@ -23,6 +23,12 @@ def read_mailbox(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(folder)
 
 
+def newest_ids(mails: DataFrame, most: int, since_ms: int = 0) -> DataFrame:
+    """At most ``most`` ids of messages received since an instant, newest first."""
+    at = F.col("internalDate").try_cast("bigint")
+    return mails.where(at >= since_ms).orderBy(at.desc(), "id").limit(most).select("id")
+
+
 def stream_mailbox(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(folder)
 
@@ -37,25 +43,53 @@ class _File(InputPartition):
         self.path = path
 
 
+def _files(folder: str) -> list[str]:
+    return sorted(glob.glob(os.path.join(folder, "*.json*")))
+
+
+def _rows(path: str) -> Iterator[tuple]:
+    with open(path, encoding="utf-8") as file:
+        for text in file:
+            try:
+                row = json.loads(text)
+            except ValueError:
+                continue
+            payload = row.get("payload")
+            yield (
+                row.get("id"), row.get("threadId"), row.get("snippet"), row.get("internalDate"), row.get("labelIds") or [],
+                payload if isinstance(payload, str) or payload is None else json.dumps(payload),
+            )
+
+
 class _Reader(DataSourceReader):
     def __init__(self, folder: str):
         self.folder = folder
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in sorted(glob.glob(os.path.join(self.folder, "*.json*")))]
+        return [_File(p) for p in _files(self.folder)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.path, encoding="utf-8") as file:
-            for line in file:
-                try:
-                    row = json.loads(line)
-                except ValueError:
-                    continue
-                payload = row.get("payload")
-                yield (
-                    row.get("id"), row.get("threadId"), row.get("snippet"), row.get("internalDate"), row.get("labelIds") or [],
-                    payload if isinstance(payload, str) or payload is None else json.dumps(payload),
-                )
+        return _rows(partition.path)
+
+
+class _StreamReader(DataSourceStreamReader):
+    """New files by name; the offset is the name of the last file read, so exports must be named in order."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def initialOffset(self) -> dict:
+        return {"after": ""}
+
+    def latestOffset(self) -> dict:
+        files = _files(self.folder)
+        return {"after": os.path.basename(files[-1]) if files else ""}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_File(p) for p in _files(self.folder) if start["after"] < os.path.basename(p) <= end["after"]]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return _rows(partition.path)
 
 
 class MailboxSource(DataSource):
@@ -71,6 +105,9 @@ class MailboxSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"])
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(self.options["path"])
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(MailboxSource)
