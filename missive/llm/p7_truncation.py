@@ -99,12 +99,11 @@ class _Dialect:
 
     def explode_trigrams(self) -> str:
         if self.spark:
-            # Three shifted copies side by side stay in generated code, unlike a lambda.
+            # Places are exploded, not trigrams: no structs are built.
             return (
-                "SELECT field, weight, g.`0` AS a, g.`1` AS b, g.`2` AS w FROM (SELECT field, weight, explode(arrays_zip("
-                "slice(ws, 1, size(ws) - 2), slice(ws, 2, size(ws) - 2), "
-                "concat(slice(ws, 3, size(ws) - 3), array(concat(element_at(ws, size(ws)), '¶'))))) AS g "
-                "FROM tokens WHERE size(ws) >= 3) AS z"
+                "SELECT field, weight, element_at(ws, i) AS a, element_at(ws, i + 1) AS b, "
+                "CASE WHEN i + 2 = size(ws) THEN concat(element_at(ws, i + 2), '¶') ELSE element_at(ws, i + 2) END AS w "
+                "FROM (SELECT field, weight, ws, explode(sequence(1, size(ws) - 2)) AS i FROM tokens WHERE size(ws) >= 3) AS z"
             )
         return (
             "SELECT field, weight, g.a AS a, g.b AS b, g.w AS w FROM (SELECT field, weight, unnest(list_transform(range(3, len(ws) + 1), lambda i: {'a': ws[i - 2], 'b': ws[i - 1], "
