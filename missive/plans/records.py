@@ -456,3 +456,44 @@ def _digest_gates(spark, d):
     links = extract.anchors(mails, "message_id", "html", 100_000)
     expected = extract.expected_postings(links, mails, "message_id", "plain")
     return extract.incomplete(found, links, expected, "message_id")
+
+
+#: Letters and the employer and role they tell: subject, body, sender, address, company, role.
+LETTERS = [
+    ("Thank you for applying to Data Steward at Orrin Labs", "", "x", "no-reply@greenhouse.io", "Orrin Labs", "Data Steward"),
+    ("Your application for Ward Clerk @ Tarn", "", "", "", "Tarn", "Ward Clerk"),
+    ("Orrin Labs - interview for Data Engineer", "", "", "", "Orrin Labs", "Data Engineer"),
+    ("Your R2031-551 Data Analyst application at Orrin Labs LLP (US", "", "", "", "Orrin Labs LLP", "Data Analyst"),
+    ("Update on your application to Tarn", "", "", "", "Tarn", ""),
+    ("Thanks for applying to Orrin", "We read your letter.", "", "", "Orrin", ""),
+    ("News of Tarn", "This is about the interview for the Ward Clerk position.", "Tarn", "", "Tarn", "Ward Clerk"),
+    ("Hello", "You applied for the Data Analyst role at Tarn Works. We will write.", "", "", "Tarn Works", "Data Analyst"),
+    ("Hello", "", "Orrin Careers", "x@myworkday.com", "Orrin", ""),
+    ("Hello", "", "", "tarn@myworkday.com", "Tarn", ""),
+    ("Hello", "", "no-reply", "no-reply@mail.orrin-labs.example", "Orrin Labs", ""),
+    ("Machine Learning Engineer", "", "", "hr@greenhouse.io", "", "Machine Learning Engineer"),
+    ("", "", "", "", "", ""),
+]
+
+
+@query(
+    "company_role",
+    "SELECT subject, body, sender, address, company, role FROM (VALUES " + ", ".join(f"({', '.join(map(quoted, x))})" for x in LETTERS) + ") AS t(subject, body, sender, address, company, role)",
+)
+def _company_role(spark, d):
+    """Letters against the employer and role written for them."""
+    from missive.functions import roles
+
+    given = spark.createDataFrame([x[:4] for x in LETTERS], "subject string, body string, sender string, address string")
+    t = roles.told(F.col("subject"), F.col("body"), F.col("sender"), F.col("address"))
+    return given.withColumn("t", t).select("subject", "body", "sender", "address", "t.*")
+
+
+@query("letters_told")
+def _letters_told(spark, d):
+    """Employer and role of every stored letter; no SQL, as the patterns name their groups."""
+    from missive.functions import roles
+
+    mails = newest_mail(spark, d, "subject", "body_text", "sender", "sender_email")
+    t = roles.told(F.col("subject"), F.col("body_text"), F.col("sender"), F.col("sender_email"))
+    return mails.select("id", t.alias("t")).select("id", "t.*")

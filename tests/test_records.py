@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from missive.functions import fields, html
+from missive.functions import fields, html, roles
 from missive.operators import classify
 
 MAILS = [
@@ -92,3 +92,9 @@ def test_jsonld_values():
     assert html.pay_range({"estimatedSalary": {"value": 7}}) == "USD 7" and html.pay_range({"baseSalary": "x"}) == "" and html.pay_range({}) == ""
     assert html.posted_day({"datePosted": "20240506"}) == "2024-05-06" and html.posted_day({"dateCreated": "soon"}) == "soon" and html.posted_day({}) == ""
     assert html.employment_kind({"employmentType": ["PART_TIME"]}) == "Part-Time" and html.employment_kind({"employmentType": "per_diem"}) == "Per Diem"
+
+
+def test_letters_without_anything_told(spark):
+    df = spark.createDataFrame([(None, None, None, None), ("Re: hello", "x" * 50_000, "", "")], "s string, b string, n string, a string")
+    got = [r.t for r in df.select(roles.told(*map(F.col, "sbna")).alias("t")).collect()]
+    assert [(t.company, t.role) for t in got] == [("", ""), ("", "")]
