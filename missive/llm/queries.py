@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from missive.llm import p1_new_text, p2_personal, p3_main_text, p4_residue, p5_entities, p6_survivor, p7_truncation
 from missive.llm import p8_encode, p9_pack, p10_canonical
-from missive.runtime import durable, table
+from missive.runtime import balanced, durable
+from missive.runtime import table as stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A stored table; one that comes as a single small file is spread over the cores."""
+    return balanced(stored(spark, d, name))
+
+
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_new_text.found(table(spark, d, "message"))
 
