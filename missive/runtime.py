@@ -44,7 +44,7 @@ def balanced(df: DataFrame) -> DataFrame:
     For work that costs much more a row than moving the row; a large table comes in many partitions and stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
 
 
 def durable(df: DataFrame) -> DataFrame:
