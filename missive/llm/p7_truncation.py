@@ -49,7 +49,9 @@ TAIL = 160
 MARK_TAIL = 40
 #: Texts that occur more than once are broadcast (8 bytes each, and a count) up to so many, else joined.
 COPIES_MOST = 2_000_000
-#: Contexts (two words) that some ending asks for are broadcast (8 bytes each) up to so many, and spare
+#: Values whose trigrams decide: those without closing or mark, and those that don't close before their mark.
+TELLING = "c IS NOT NULL AND CASE WHEN marked THEN NOT bare_closed ELSE NOT closed END"
+#: Contexts (two words) that some such ending asks for are broadcast (8 bytes each) up to so many, and spare
 #: the counting of all other trigrams; beyond it all are counted, and the join drops them.
 CONTEXTS_MOST = 2_000_000
 
@@ -196,7 +198,7 @@ def judged_sql(spark: bool = True, hint: str = "", only: bool = False) -> str:
     d = _Dialect(spark)
     trimmed = "rtrim('¶', w)" if spark else "rtrim(w, '¶')"
     ending = "endswith(w, '¶')" if spark else "ends_with(w, '¶')"
-    wanted = " LEFT SEMI JOIN (SELECT c FROM {finals} WHERE c IS NOT NULL GROUP BY c) AS q ON z.c = q.c" if only else ""
+    wanted = " LEFT SEMI JOIN (SELECT c FROM {finals} WHERE " + TELLING + " GROUP BY c) AS q ON z.c = q.c" if only else ""
     chosen = "/*+ BROADCAST(q) */ " if only else ""
     if spark:
         counted = (
@@ -231,7 +233,7 @@ def judged_sql(spark: bool = True, hint: str = "", only: bool = False) -> str:
         WHERE k >= {LIMIT_LEAST} AND n >= {LIMIT_SHORTEST}
           AND k >= {LIMIT_RATIO} * greatest(coalesce(below, 0), coalesce(above, 0)) / 12.0
     ),
-    wanted AS (SELECT DISTINCT field, c, w FROM {finals} WHERE c IS NOT NULL),
+    wanted AS (SELECT DISTINCT field, c, w FROM {finals} WHERE {TELLING}),
     known AS (
         SELECT q.field, q.c, q.w,
                max(CASE WHEN k.w = q.w THEN k.inside ELSE 0 END) AS inside,
@@ -293,7 +295,7 @@ def _run(statement, job: DataFrame, message: DataFrame, asked: DataFrame | None
     more = {} if asked is None else {"asked": asked}
     finals = durable(spark.sql(with_texts + finals_sql(d, asked is not None), **tables, **more))
     hint = "/*+ BROADCAST(c) */" if prints.where("k > 1").count() <= COPIES_MOST else ""
-    only = finals.where("c IS NOT NULL").select("c").distinct().count() <= CONTEXTS_MOST
+    only = finals.where(TELLING).select("c").distinct().count() <= CONTEXTS_MOST
     return spark.sql(statement(hint=hint, only=only), **tables, prints=prints, finals=finals)
 
 
