@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from missive.operators import dedup
+
 
 def rank_of(label: Column, ranks: dict[str, int]) -> Column:
     """Rank of a label; 0 for unknown ones."""
@@ -39,9 +41,17 @@ def sticky(events: DataFrame, entity: str, column: str, order: list[str]) -> Dat
     return filled.groupBy(entity).agg(F.max_by(column, F.struct(*order)).alias(column))
 
 
-def timeline(events: DataFrame, entity: str, order: str, *columns: str) -> DataFrame:
-    """entity with its events as an array, newest first."""
-    return events.groupBy(entity).agg(F.sort_array(F.collect_list(F.struct(order, *columns)), asc=False).alias("events"))
+def timeline(events: DataFrame, entity: str, time: str, id_column: str, *columns: str) -> DataFrame:
+    """(entity, place, id, columns): each entity's events, place 1 for the newest.
+
+    Rows, not an array per entity, so no group is held in one place; places come
+    from ``dedup.pointers``, which splits a hot entity by days.
+    """
+    places = dedup.pointers(events.select(id_column, entity, time), entity, [time, id_column], id_column)
+    size = events.groupBy(entity).agg(F.count("*").alias("_n"))
+    ranked = places.join(size, entity).select(entity, id_column, (F.col("_n") - F.col("seq")).alias("place"))
+    told = events.select(id_column, *(c for c in columns if c not in (id_column, entity)))
+    return ranked.join(told, id_column).select(entity, "place", id_column, *(c for c in columns if c not in (id_column, entity)))
 
 
 def _prefixes(name: Column) -> Column:

@@ -497,3 +497,45 @@ def _letters_told(spark, d):
     mails = newest_mail(spark, d, "subject", "body_text", "sender", "sender_email")
     t = roles.told(F.col("subject"), F.col("body_text"), F.col("sender"), F.col("sender_email"))
     return mails.select("id", t.alias("t")).select("id", "t.*")
+
+
+@query(
+    "prefix_company_join",
+    f"""WITH s AS (SELECT DISTINCT {_norm_sql('company', fixed.COMPANY_NOISE)} AS c FROM outreach), t AS (SELECT DISTINCT {_norm_sql('company', fixed.COMPANY_NOISE)} AS c FROM application)
+    SELECT s.c AS outreach_company, t.c AS application_company FROM s JOIN t ON s.c <> '' AND t.c <> '' AND (s.c = t.c OR starts_with(s.c, t.c || ' ') OR starts_with(t.c, s.c || ' '))""",
+)
+def _prefix_join(spark, d):
+    """Companies of letters and of applications that are equal or begin with each other's whole words."""
+    names = lambda n, out: table(spark, d, n).select(T.normalise_company(F.col("company")).alias(out)).where(F.col(out) != "").distinct()
+    s, t = names("outreach", "outreach_company"), names("application", "application_company")
+    same = s.join(t, F.col("outreach_company") == F.col("application_company"))
+    return same.unionByName(fold.same_or_longer(s, t, "outreach_company", "application_company"))
+
+
+_F = f"substr(coalesce(body_text, ''), 1, {fixed.FIELD_TEXT})"
+_LABEL = "lower(split_part(split_part(coalesce(sender_email, ''), '@', 2), '.', 1))"
+
+
+@query(
+    "letter_fields",
+    f"""SELECT id, coalesce(sender, '') AS person, substr(coalesce(snippet, ''), 1, 300) AS summary,
+    array_to_string(list_transform(string_split({_LABEL}, '-'), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), '-') AS company,
+    CASE WHEN {_hit(fixed.URGENT, 'b')} THEN 'high' ELSE 'normal' END AS urgency, substr(trim(regexp_extract(b, {quoted(T.PHONE)}, 0)), 1, 40) AS phone,
+    {_employment_sql('b')} AS employment_type, {_clipped(fixed.EXPERIENCE, 'b', 1)} AS experience_required, {_state_sql("''", 'b')} AS state
+    FROM (SELECT *, coalesce(subject, '') || chr(10) || {_F} AS b FROM {mail_sql('subject', 'body_text', 'sender', 'sender_email', 'snippet')})""",
+)
+def _letter_fields(spark, d):
+    """What a letter that wants an answer tells besides its category."""
+    mails = newest_mail(spark, d, "subject", "body_text", "sender", "sender_email", "snippet")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    blob = F.concat(text("subject"), F.lit("\n"), F.substring(text("body_text"), 1, fixed.FIELD_TEXT))
+    rows = mails.withColumn("b", blob)
+    b = F.col("b")
+    domain = F.when(F.contains(text("sender_email"), F.lit("@")), F.split(text("sender_email"), "@")[1]).otherwise("")
+    label = F.lower(F.substring_index(domain, ".", 1))
+    company = F.replace(F.initcap(F.replace(label, F.lit("-"), F.lit("- "))), F.lit("- "), F.lit("-"))
+    return rows.select(
+        "id", text("sender").alias("person"), F.substring(text("snippet"), 1, 300).alias("summary"), company.alias("company"),
+        F.when(b.rlike(fixed.URGENT), "high").otherwise("normal").alias("urgency"), fields.phone(b).alias("phone"), fields.employment(b).alias("employment_type"),
+        fields.experience(b).alias("experience_required"), fields.state_of(F.lit(""), b).alias("state"),
+    )

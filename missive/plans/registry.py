@@ -417,15 +417,15 @@ def _stale(spark, d):
 
 @query(
     "application_sheet",
-    """SELECT a.id, a.status, coalesce(e.kinds, '') AS kinds FROM application a LEFT JOIN (SELECT application_id,
-    string_agg(kind, ',' ORDER BY occurred_at DESC, id DESC) AS kinds FROM (SELECT DISTINCT id, application_id, kind, occurred_at FROM application_event)
-    GROUP BY application_id) e ON a.id = e.application_id""",
+    """SELECT a.id, a.status, e.place, e.kind FROM application a LEFT JOIN (SELECT application_id, kind, CAST(row_number() OVER (PARTITION BY application_id
+    ORDER BY occurred_at DESC, id DESC) AS bigint) AS place FROM (SELECT DISTINCT id, application_id, kind, occurred_at FROM application_event)) e ON a.id = e.application_id""",
 )
 def _sheet(spark, d):
-    events = table(spark, d, "application_event").select("id", "application_id", "kind", "occurred_at").distinct()
-    lines = fold.timeline(events, "application_id", "occurred_at", "id", "kind")
-    kinds = F.coalesce(F.array_join(F.transform("events", lambda e: e["kind"]), ","), F.lit(""))
-    return table(spark, d, "application").join(lines, F.col("id") == F.col("application_id"), "left").select("id", "status", kinds.alias("kinds"))
+    """Applications with their events, newest first."""
+    events = table(spark, d, "application_event").select(F.col("id").alias("event_id"), "application_id", "kind", "occurred_at").distinct()
+    lines = fold.timeline(events, "application_id", "occurred_at", "event_id", "kind")
+    apps = table(spark, d, "application").select("id", "status")
+    return apps.join(lines, F.col("id") == F.col("application_id"), "left").select("id", "status", "place", "kind")
 
 
 # -- joins and filters -----------------------------------------------------------

@@ -9,7 +9,7 @@ from missive.operators.score import Profile
 
 
 def load_profile(path: str) -> Profile:
-    """A profile file: resume_text, skills (name, weight, aliases), target_titles, title_keywords."""
+    """A profile file: resume_text, skills (name, weight, aliases), titles, words, exclusions, places, years and alert senders; all keys are optional."""
     text = Path(path).read_text(encoding="utf-8")
     if path.endswith(".json"):
         data = json.loads(text)
@@ -17,9 +17,11 @@ def load_profile(path: str) -> Profile:
         import yaml
 
         data = yaml.safe_load(text)
+    low = lambda name: tuple(str(x).lower() for x in data.get(name) or ())
     return Profile(
-        text=data.get("resume_text", ""),
-        skills=tuple((s["name"].lower(), float(s.get("weight", 1)), tuple(a.lower() for a in s.get("aliases", ()))) for s in data.get("skills", ())),
-        titles=tuple(t.lower() for t in data.get("target_titles", ())),
-        title_words=tuple(t.lower() for t in data.get("title_keywords", ())),
-    )
+        text=data.get("resume_text") or "",
+        skills=tuple((s["name"].lower(), float(s.get("weight", 1)), tuple(a.lower() for a in s.get("aliases") or ())) for s in data.get("skills") or ()),
+        titles=low("target_titles"), title_words=low("title_keywords"), excluded_titles=low("exclude_titles"), excluded_words=low("exclude_keywords"),
+        excluded_notes=tuple(data.get("exclude_notes") or ()), places=low("preferred_locations"), remote_ok=bool(data.get("remote_ok", True)),
+        most_years=int(data.get("max_years_experience", 5)), senders=low("job_alert_senders"),
+    )

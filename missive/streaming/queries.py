@@ -15,13 +15,17 @@ from missive.streaming import pipeline
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    """The events table as a file stream; its time becomes a watermarkable instant."""
-    path = f"{d}/events.parquet"
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table as a file stream."""
+    path = f"{d}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
-    source = stream.parquet(path) if os.path.isdir(path) else stream.option("pathGlobFilter", "events.parquet").parquet(d)
-    return source.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream.parquet(path) if os.path.isdir(path) else stream.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream; their time becomes a watermarkable instant."""
+    return _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _folder(spark: SparkSession) -> str:
@@ -44,12 +48,27 @@ def _dedup(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.drain(pipeline.deduplicated(doubled, "event_id", "ts", "5 minutes").select("event_id", "user_id"), _folder(spark), "append")
 
 
+def _status(spark: SparkSession, d: str) -> DataFrame:
+    """Statuses folded over the event stream: the highest rank wins, the earliest event of it; repeated rows change nothing."""
+    from missive.operators.fold import rank_of
+    from missive.plans.registry import CLOSED, RANKS
+
+    order = F.struct(rank_of(F.col("kind"), RANKS).alias("rank"), (-F.unix_micros("occurred_at")).alias("age"), (-F.col("id")).alias("id"))
+    events = _stream(spark, d, "application_event").withColumn("occurred_at", F.col("occurred_at").cast("timestamp"))
+    folded = events.groupBy("application_id").agg(F.max_by("kind", order).alias("status"))
+    return pipeline.drain(folded, _folder(spark), "complete").withColumn("closed", F.col("status").isin(*sorted(CLOSED)))
+
+
 def queries() -> dict[str, Query]:
-    return {"stream_windows": _windows, "stream_fold": _fold, "stream_dedup": _dedup}
+    return {"stream_windows": _windows, "stream_fold": _fold, "stream_dedup": _dedup, "stream_status": _status}
 
 
 def oracle_sql() -> dict[str, str]:
+    from missive.plans.registry import _CLOSED_SQL, _RANK_SQL
+
     return {
+        "stream_status": f"""SELECT application_id, kind AS status, kind IN ({_CLOSED_SQL}) AS closed FROM (SELECT application_id, kind,
+        row_number() OVER (PARTITION BY application_id ORDER BY {_RANK_SQL} DESC, occurred_at, id) AS r FROM (SELECT DISTINCT id, application_id, kind, occurred_at FROM application_event)) WHERE r = 1""",
         "stream_windows": "SELECT CAST(epoch(date_trunc('hour', ts)) AS bigint) AS window_start_s, event_type, CAST(count(*) AS bigint) AS n FROM events GROUP BY 1, 2",
         "stream_fold": "SELECT user_id, CAST(count(*) AS bigint) AS n, round(max(value), 6) AS most FROM events GROUP BY user_id",
         "stream_dedup": "SELECT event_id, user_id FROM events",

@@ -4,6 +4,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from missive.functions import boards, times
+from missive.functions import text as T
 from missive.operators import facets
 from missive.sources import profiles
 
@@ -54,4 +55,28 @@ def test_profile_from_json(tmp_path):
     path = tmp_path / "p.json"
     path.write_text(json.dumps({"resume_text": "sql", "skills": [{"name": "SQL", "weight": 3, "aliases": ["Postgres"]}], "target_titles": ["Data Engineer"]}))
     got = profiles.load_profile(str(path))
-    assert got.skills == (("sql", 3.0, ("postgres",)),) and got.titles == ("data engineer",)
+    assert got.skills == (("sql", 3.0, ("postgres",)),) and got.titles == ("data engineer",) and got.remote_ok and got.places == ()
+    path.write_text(json.dumps({"exclude_titles": ["VP"], "preferred_locations": ["Oslo"], "remote_ok": False, "max_years_experience": 3, "job_alert_senders": ["A@b"]}))
+    got = profiles.load_profile(str(path))
+    assert (got.excluded_titles, got.places, got.remote_ok, got.most_years, got.senders) == (("vp",), ("oslo",), False, 3, ("a@b",))
+
+
+def test_clearing_windows():
+    at = lambda day, hour, minute=0: datetime(2025, 3, day, hour, minute, tzinfo=timezone.utc)
+    assert times.clearing_window(NOW) == (at(10, 4), NOW)
+    assert times.clearing_window(NOW, start="2025-03-08T10:00", end="2025-03-08T12:30") == (at(8, 15), at(8, 17, 31))
+    assert times.clearing_window(NOW, start="2025-03-08T12:00", end="2025-03-08T10:00") == (at(8, 15, 1), at(8, 17))
+    assert times.clearing_window(NOW, start="2025-03-08T10:00", end="x", hours=2) == (at(8, 15), at(8, 17))
+    assert times.clearing_window(NOW, at(1, 0), "old") == (at(1, 0), NOW) and times.clearing_window(NOW, None, "old") == (NOW, NOW + (at(1, 0, 1) - at(1, 0)))
+
+
+def test_labels_and_replies(spark):
+    df = spark.createDataFrame([("next_step", 'Sure: {"a": {"b": 1}} done'), ("offer", "{bad}"), (None, "[1]"), ("x", None)], "k string, r string")
+    rows = df.select(T.label_of(F.col("k"), {"offer": "Offers"}, {"offer": "*"}).alias("l"), T.reply_object(F.col("r")).alias("o")).collect()
+    assert [r.l for r in rows] == ["Next Step", "* Offers", "", "X"] and [r.o for r in rows] == ['{"a":{"b":1}}', None, None, None]
+    ages = spark.createDataFrame([(0,), (89,), (3599,), (7200,), (200_000,), (None,)], "s long").select(
+        times.ago(F.timestamp_seconds(F.lit(1_000_000) - F.col("s")), F.timestamp_seconds(F.lit(1_000_000))).alias("a")
+    )
+    assert [r.a for r in ages.collect()] == ["just now", "just now", "59m ago", "2h ago", "2d ago", "never"]
+    one = spark.createDataFrame([(1_710_000_000,)], "s long").select(times.clock_label(F.timestamp_seconds("s")).alias("c")).first()
+    assert one.c == "Mar 09, 11:00 AM ET"
