@@ -278,8 +278,8 @@ def digest(line: Column) -> Column:
 
 
 def different_lines(text: Column) -> Column:
-    """A text's different normalised lines."""
-    return F.array_distinct(F.split(_normal(text), r" *\n *"))
+    """A text's different lines without case and digits; outer white space is left for later."""
+    return F.array_distinct(F.split(F.regexp_replace(F.lower(text), r"[0-9\r]+", ""), "\n"))
 
 
 def filled(records: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def filled(records: DataFrame) -> DataFrame:
 def line_counts(records: DataFrame) -> DataFrame:
     """(host, digest, n): how many records of a host hold a normalised line."""
     lines = filled(records).select("host", F.explode(different_lines(F.col("description"))).alias("line"))
-    return lines.select("host", F.xxhash64("line").alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))
+    return lines.select("host", F.xxhash64(F.trim("line")).alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))
 
 
 def residue(records: DataFrame, asked: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
