@@ -40,8 +40,8 @@ def rollup(rows: DataFrame, a: str, b: str) -> DataFrame:
     return parts.unionByName(total)
 
 
-def day_runs(rows: DataFrame, time: str, order: list[str], zone: str) -> DataFrame:
-    """Consecutive runs of rows on one local day: run, day, n.
+def day_runs(rows: DataFrame, time: str, zone: str) -> DataFrame:
+    """Consecutive runs of rows on one local day, rows in order of time: run, day, n.
 
     Numbered by a window over the days that occur, which are few, not over rows.
     """
@@ -52,6 +52,19 @@ def day_runs(rows: DataFrame, time: str, order: list[str], zone: str) -> DataFra
     )
 
 
+def run_groups(listed: DataFrame, label: Column, order: list[Column]) -> DataFrame:
+    """``listed`` with ``run``: a list in its order, cut wherever the label changes; a label may come back in a later run.
+
+    Numbers the whole list in one place, so it is for lists that a limit bounds.
+    """
+    w = Window.orderBy(*order)
+    marked = listed.withColumn("_label", label)
+    new = F.coalesce((~F.col("_label").eqNullSafe(F.lag("_label").over(w))).cast("int"), F.lit(1))
+    first = F.row_number().over(w) == 1
+    marked = marked.withColumn("_new", F.when(first, 1).otherwise(new))
+    return marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_label", "_new")
+
+
 def origin_windows(rows: DataFrame, time: str, seconds: int, origin: Column) -> DataFrame:
     """Closed-open windows counted from an origin: window_start, window_end (epoch seconds), n.  Earlier rows are left out."""
     at = F.unix_seconds(F.col(time))

@@ -326,6 +326,23 @@ def _mail_page(spark, d):
     ])
 
 
+_DAY = "strftime(timezone('America/New_York', received_at), '%A, %b %d')"
+
+
+@query(
+    "match_day_runs",
+    f"""SELECT id, {_DAY} AS day, CAST(sum(new) OVER (ORDER BY score DESC, received_at DESC, id ROWS UNBOUNDED PRECEDING) AS bigint) AS run FROM (SELECT *,
+    CASE WHEN {_DAY} IS NOT DISTINCT FROM lag({_DAY}) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new
+    FROM (SELECT id, score, received_at FROM job ORDER BY score DESC, received_at DESC, id LIMIT 300) WINDOW w AS (ORDER BY score DESC, received_at DESC, id))""",
+)
+def _match_day_runs(spark, d):
+    """The 300 best postings (a top-k report) in runs of one local day, in the order of the list."""
+    best = facets.matches(table(spark, d, "job").select("id", "score", "received_at"), sort="score", show="all")
+    day = times.day_label(F.col("received_at"))
+    runs = reports.run_groups(best, day, [F.desc("score"), F.desc("received_at"), F.asc("id")])
+    return runs.select("id", day.alias("day"), "run")
+
+
 # -- runs and issues -------------------------------------------------------------
 _RUNS = f"""SELECT CAST(floor(epoch(processed_at) / 900) * 900 AS bigint) AS started, count(*) AS fetched, coalesce(sum(jobs_found), 0) AS jobs_found,
     coalesce(sum(jobs_matched), 0) AS jobs_matched, count(*) FILTER (WHERE coalesce(body_text, '') = '') AS errors

@@ -575,7 +575,7 @@ def _follow_ups(spark, d):
     f"""SELECT row_number() OVER (ORDER BY dd) AS run, strftime(dd, '%A, %b %d') AS day, n FROM (SELECT CAST(timezone('{ZONE}', timezone('UTC', ts)) AS date) AS dd, CAST(count(*) AS bigint) AS n FROM events GROUP BY 1)""",
 )
 def _daily(spark, d):
-    return reports.day_runs(table(spark, d, "events"), "ts", ["event_id"], ZONE)
+    return reports.day_runs(table(spark, d, "events"), "ts", ZONE)
 
 
 _ORIGIN = 1704068000

@@ -100,6 +100,13 @@ def test_zero_filled_keeps_unknown_labels(spark):
     assert got == {"x": (2, 0), "y": (0, 1), "new": (1, 2)}
 
 
+def test_runs_follow_the_list(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (5, "a"), (6, "b")], "at long, l string")
+    got = [(r.at, r.run) for r in reports.run_groups(rows, F.col("l"), [F.asc("at")]).orderBy("at").collect()]
+    assert got == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 4)]
+    assert reports.run_groups(rows.where("false"), F.col("l"), [F.asc("at")]).count() == 0
+
+
 def test_rollup_levels(spark):
     rows = spark.createDataFrame([("a", "p"), ("a", "q"), ("b", "p")], "a string, b string")
     got = {(r.a, r.b, r.level): r.n for r in reports.rollup(rows, "a", "b").collect()}
