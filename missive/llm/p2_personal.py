@@ -30,7 +30,7 @@ import math
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -49,8 +49,20 @@ DIMENSIONS = 4096
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # Forms of address, greetings, words around names, parts of addresses and labels.
-HONORIFIC = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Sir|Herr|Frau|Hr|Fr|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sr|Sra|Don|Doña)"
-GREETING = r"(?:dear|hello|hi|hey|good (?:morning|afternoon|evening|day)|hallo|liebe[r]?|guten (?:tag|morgen)|bonjour|cher|chère|hola|estimad[oa]|buenos días|greetings)"
+HONORIFICS = tuple("Mr Mrs Ms Miss Mx Dr Prof Sir Herr Frau Hr Fr Mme Mlle Monsieur Madame Señor Señora Sr Sra Don Doña".split())
+GREETINGS = (
+    "dear", "hello", "hi", "hey", "good morning", "good afternoon", "good evening", "good day", "hallo", "liebe", "lieber", "guten tag",
+    "guten morgen", "bonjour", "cher", "chère", "hola", "estimado", "estimada", "buenos días", "greetings",
+)
+CLOSINGS = tuple("regards wishes thanks cheers best sincerely br grüße gruß grüßen cordialement saludos atentamente".split())
+PHONE_CUES = (
+    "phone", "tel", "mobile", "cell", "call", "call you", "direct", "line is", "number is", "number", "text me", "desk has", "fax", "handy",
+    "telefon", "tél", "móvil", "whatsapp", "☎", "ring", "dial", "from", "on", "at",
+)
+CODE_CUES = (
+    "ticket", "code", "build", "badge", "case", "file", "order", "invoice", "version", "no.", "id", "ssn", "license", "licence", "passport",
+    "budget", "room", "floor", "salary", "$", "€", "£", "#", "digest", "ray", "number stays", "account", "iban", "security number",
+)
 LEFT_CUE = frozenset(
     "dear hello hi hey morning afternoon evening day hallo liebe lieber bonjour hola estimado estimada from to von an de cc by with for quoting "
     "speaker colleague contact meet meeting referees such as ask spoke and is le el am on pm recruiter manager um at board "
@@ -94,7 +106,6 @@ ADDRESS_HINTS = (
 
 #: What a word found by the automaton may be.
 NAME, OPENER, LABEL, ADDRESS = 1, 2, 4, 8
-USES = (LABEL, *(ADDRESS << n for n, words in enumerate(ADDRESS_HINTS) if words))
 
 Span = tuple[str, int, int, int, tuple[int, ...]]  # kind, start, end, votes, features
 
@@ -112,34 +123,37 @@ def lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
+#: What may stand between a cue and a name.
+_BETWEEN = " \t\r\n\f\v\u00a0.,:>|»*\"(!-"
+
+
+def backwards(words: tuple[str, ...]) -> str:
+    """A pattern of one of ``words`` read from its end."""
+    return "|".join(re.escape(w[::-1]) for w in words)
+
+
 @lru_cache(maxsize=1)
 def _p() -> dict:
     c = re.compile
+    honorific = rf"\s+\.?(?:{backwards(HONORIFICS)})"
     dash = r"[\-‑–]"
     unit = r"(?:,?\s+(?:Apt\.?|Apartment|Suite|Unit|Ste\.?|Flat|Floor)\s*#?\w+|,?\s*#\s?\w+)?"
     town = r"[A-ZÄÖÜÉ][\w'’\-]+(?: [A-ZÄÖÜÉ][\w'’\-]+){0,2}"
     code = r"(?:,?\s+[A-Z]{2},?\s+\d{5}(?:-\d{4})?|,?\s+[A-Z]{1,2}\d[\dA-Z]?\s?\d[A-Z]{2})"
     return {
-        "mailbox": c(r"(?<![\w.+\-])[\w+\-][\w.+\-]*$"),
-        "box": c(r"[\w+\-]"),
+        # What stands before a place is matched on the reversed text, so that the matcher starts at that place alone.
+        "mailbox": c(r"\n?([\w.+\-]+)"),
         "domain": c(r"[\w\-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[\w\-]+)+", re.I),
         "url": c(r"https?://\S+|www\.\S+"),
         "phone": c(
-            # A charset first and the look-behind after it: the matcher skips faster.
             rf"[+(\d](?<![\w.#/\-‑][+(\d])(?:(?<=\+)\s?\(?\d|(?<=\()\d|(?<=\d))(?:[ .()/]|\r?\n|{dash}|\d){{5,20}}\d(?:\s*(?:ext\.?|x|Durchwahl|poste)\s*\d{{1,5}})?(?![\w])"
         ),
         "phone_strict": c(
             rf"^(?:\+\d{{1,3}}[ .\-]?(?:\(0\)\s?)?(?:\(?\d{{1,4}}\)?(?:[ .‑–\-]|(?=\d)))(?:\d[ .‑–\-]?){{5,11}}|(?:1[ .\-])?\(?\d{{3}}\)?[ ./‑–\-]?\d{{3}}[ .‑–\-]?\d{{4}}|"
             r"0\d{2,5}[ /\-]?\d{3,8}(?:[ \-]?\d{2,4})?|0\d(?:[ .]\d\d){4})(?:\s*(?:ext\.?|x)\s*\d{1,5})?$"
         ),
-        "phone_cue": c(
-            r"(?i)(?:phone|tel|mobile|cell|call(?: you)?(?: from)?|direct|line is|number is|number|text me|reach me on|desk has|fax|handy|telefon|tél|"
-            r"móvil|whatsapp|☎|\bm|\bt|ring|dial|from|on|at)\W{0,4}$"
-        ),
-        "code_cue": c(
-            r"(?i)(?:ticket|code|build|badge|case|file|ref\w*|req\w*|order|invoice|version|no\.|id|ssn|licen[cs]e|passport|budget|room|floor|salary|"
-            r"[$€£]|#|digest|ray|number stays|account|iban|security number)\W{0,3}$"
-        ),
+        "phone_cue": c(rf"(?i)\n?\W{{0,4}}(?:{backwards(PHONE_CUES)}|[mt]\b)"),
+        "code_cue": c(rf"(?i)\n?\W{{0,3}}(?:{backwards(CODE_CUES)}|\w*(?:fer|qer))"),
         "date": c(r"^\d{4}-\d{1,2}-\d{1,2}|^\d{1,2}/\d{1,2}/\d{2,4}\b|^\d{1,2}\.\d{1,2}\.\d{2,4}\b|^\d{1,2}-\d{1,2}-\d{4}$"),
         "id": c(rf"(?i:(?<!\w){ID_LABEL})\s*(?:is|:|no\.?|number|nr\.?|#|-)?\s*:?\s*([A-Za-z0-9](?:(?:[ \-]|\r?\n)?[A-Za-z0-9]){{4,17}})(?!\w)"),
         "id_shape": c(
@@ -154,15 +168,22 @@ def _p() -> dict:
             c(rf"(?<!\w)\d{{1,4}}(?: ?bis)?,?\s+(?:rue|avenue|boulevard|place|chemin|calle|plaza)\s+(?:[\w'’\-]+\s?){{1,4}},?\s+\d{{5}}\s+{town}"),
             c(rf"(?<!\w)(?:Calle|Avenida|Plaza)\s+(?:[\w'’\-]+\s?){{1,4}},?\s*\d{{1,4}},?\s+\d{{5}}\s+{town}"),
         ],
+        "then_number": c(r"\s+\d"),
+        "year": c(r"\d{4}-\d"),
         "postcode": c(r"\d{5}\b|[A-Z]{1,2}\d[\dA-Z]?\s?\d[A-Z]{2}$"),
         "split": c(r"[\W\d_]+"),
+        "ascii": c(r"[a-z]{3,}"),
         "skip": c(r"[\s.,!>|»*\-–_~]*"),
         "digit": c(r"\d"),
+        # Where phones and the first kind of addresses have their first digit.  A charset first
+        # and the look-behind after it: the matcher skips faster.
+        "number": c(r"\d(?<![\w#\-]\d)"),
         "capital": c(r"[A-ZÀ-ÖØ-ÞŠŽŁĐ](?<![^\W_].)[^\W\d_]*(?:['’\-][^\W\d_]+)*"),
         "right_cue": c(rf"(?i)^[\s,]*(?:<|\(chair|{RIGHT_CUE}\b)"),
-        "honorific": c(rf"(?<!\w){HONORIFIC}\.?\s+$"),
-        "greeting": c(rf"(?i)(?<!\w){GREETING}\s+(?:{HONORIFIC}\.?\s+)?$"),
-        "closing": c(r"(?i)(?:regards|wishes|thanks|cheers|best|sincerely|br|grüße|gruß|grüßen|cordialement|saludos|atentamente|^--|__|~~+)[\s,!.\-–>|»]*\n[\s>|»]*(?:&gt;\s*)*$"),
+        "honorific": c(rf"{honorific}(?!\w)"),
+        "greeting": c(rf"(?i)(?:{honorific})?\s+(?:{backwards(GREETINGS)})(?!\w)"),
+        "closing": c(rf"(?i)(?:\s*;tg&)*[\s>|»]*\n[\s,!.\-–>|»]*(?:{backwards(CLOSINGS)}|--\Z|__|~~)"),
+        "cue": c(rf"[{re.escape(_BETWEEN)}]*(\w*)"),
         "attribution": c(r"(?i)^\s*(?:<[^>\n]*>|wrote|said|schrieb|escribió|a écrit)|^:\s*\n"),
     }
 
@@ -179,46 +200,80 @@ NAME_OPENERS = frozenset(
 )
 
 
-#: What may stand between a cue and a name.
-_BETWEEN = " \t\r\n\f\v\u00a0.,:>|»*\"(!-"
-
-
-def last_word(text: str) -> str:
-    """The last word in lower case, what may stand between a cue and a name left out."""
-    text = text.rstrip(_BETWEEN)
-    start = len(text)
-    while start and (text[start - 1].isalnum() or text[start - 1] == "_"):
-        start -= 1
-    return text[start:].lower()
-
-
 @lru_cache(maxsize=100_000)
 def _hashed(feature: str) -> int:
     return zlib.crc32(feature.encode()) % DIMENSIONS
 
 
 _known: dict[tuple, tuple[int, ...]] = {}
+_shapes: dict[str, str] = {}
+
+
+@lru_cache(maxsize=10_000)
+def _voted(kind: str, votes: int) -> tuple[int, ...]:
+    return tuple(map(_hashed, [f"{kind}|bias", *(f"{kind}|v{i}" for i in range(10) if votes >> i & 1)]))
+
+
+def _shape(part: str) -> str:
+    """Letters and digits by their sort, repetitions left out."""
+    sorts = part.translate(_SHAPES)
+    shape = _shapes.get(sorts)
+    if shape is None:
+        if len(_shapes) > 200_000:
+            _shapes.clear()
+        shape = _shapes[sorts] = _REPEAT.sub(r"\1", sorts)
+    return shape
 
 
 def _features(kind: str, votes: int, text: str, a: int, b: int) -> tuple[int, ...]:
     """Hashed features of a span: its votes, its shape, the words beside it, its length."""
-    left = text[max(0, a - 16) : a].split()
-    right = text[b : b + 16].split()
+    left = text[a - 16 if a > 16 else 0 : a].rsplit(None, 1)
+    right = text[b : b + 16].split(None, 1)
     if kind == "name":
-        shape = "U" if text[a:b].isupper() else "l" if text[a].islower() else "T"
+        shape = "l" if text[a].islower() else "U" if text[a:b].isupper() else "T"
     else:
-        shape = _REPEAT.sub(r"\1", text[a : min(b, a + 40)].translate(_SHAPES))
-    key = (kind, votes, shape, left[-1] if left else "^", right[0] if right else "$", min((b - a) // 4, 8))
+        shape = _shape(text[a : min(b, a + 40)])
+    before, after, size = left[-1] if left else "^", right[0] if right else "$", min((b - a) // 4, 8)
+    key = (kind, votes, shape, before, after, size)
     found = _known.get(key)
     if found is None:
         if len(_known) > 200_000:
             _known.clear()
-        _, _, _, before, after, size = key
-        names = [f"{kind}|bias", *(f"{kind}|v{i}" for i in range(10) if votes >> i & 1), f"{kind}|s|{shape}"]
-        found = _known[key] = tuple(map(_hashed, [*names, f"{kind}|l|{before.lower()}", f"{kind}|r|{after.lower()}", f"{kind}|n|{size}"]))
+        found = _known[key] = (
+            *_voted(kind, votes), _hashed(f"{kind}|s|{shape}"), _hashed(f"{kind}|l|{before.lower()}"), _hashed(f"{kind}|r|{after.lower()}"),
+            _hashed(f"{kind}|n|{size}"),
+        )
     return found
 
 
+def _matches(pattern: re.Pattern, text: str, starts: Iterable[int]) -> Iterator[re.Match]:
+    """Matches of a pattern one after the other, where all places at which it can start are known."""
+    end = 0
+    for at in starts:
+        if at >= end and (m := pattern.match(text, at)):
+            end = m.end()
+            yield m
+
+
+def _openings(text: str, numbers: list[int]) -> Iterator[int]:
+    """Places of numbers and of the ``+`` and ``(`` before them, in order."""
+    for at in numbers:
+        before = text[at - 1] if at else ""
+        if before == "(":
+            if "+" in text[max(0, at - 3) : at - 1]:
+                yield from (x for x in (at - 3, at - 2) if x >= 0 and text[x] == "+")
+            yield at - 1
+        elif before == "+":
+            yield at - 1
+        elif at > 1 and text[at - 2] == "+":
+            yield at - 2
+        yield at
+
+
+def _digits(text: str) -> int:
+    return sum(map(str.isdigit, text))
+
+
 class Labeler:
     """Candidate spans with their votes; one per Python worker."""
 
@@ -231,34 +286,31 @@ class Labeler:
         uses: dict[str, int] = {w: NAME for w in {*first, *last} if len(w) > 2}
         hints = [(w, OPENER) for w in (*NAME_OPENERS, "--", "__", "~~")] + [(w, LABEL) for w in ID_HINTS]
         hints += [(w, ADDRESS << n) for n, words in enumerate(ADDRESS_HINTS) for w in words or ()]
-        self.endings: dict[tuple[str, int], set[str]] = {}
+        endings: dict[str, list[tuple[int, str]]] = {}
         for hint, use in hints:
             word, then = (hint[:-1], hint[-1]) if hint[-1] in " 0" else (hint, "")
             uses[word] = uses.get(word, 0) | use
-            self.endings.setdefault((word, use), set()).add(then)
+            if use >= LABEL:
+                endings.setdefault(word, []).append((use, then))
         for word, bits in uses.items():
-            self.automaton.add_word(word, (len(word), bits, word))
+            self.automaton.add_word(word, (len(word), bits, endings.get(word, ())))
         self.automaton.make_automaton()
 
     def _hints(self, low: str, hits: list) -> tuple[list[int], int]:
         """(where labels of ids may start, bits of the address patterns that may match)."""
-        labels, bits = [], 0
-        for end, (length, uses, word) in hits:
+        labels, bits, number = [], 0, _p()["then_number"]
+        for end, (length, uses, endings) in hits:
             if uses < LABEL:
                 continue
-            after = low[end + 1 : end + 2]
-            space = after.isspace()
-            digit = space and low[end + 1 :].lstrip()[:1].isdigit()
-            for use in USES:
-                if uses & use and not bits & use:
-                    then = self.endings[word, use]
-                    if "" in then or (space and " " in then) or (digit and "0" in then):
-                        if use == LABEL:
-                            at = end - length + 1
-                            if not at or not (low[at - 1].isalnum() or low[at - 1] == "_"):
-                                labels.append(at)
-                        else:
-                            bits |= use
+            space = low[end + 1 : end + 2].isspace()
+            at = end - length + 1
+            inside = at and (low[at - 1].isalnum() or low[at - 1] == "_")
+            for use, then in endings:
+                if use == LABEL:
+                    if not inside and (space or not then):
+                        labels.append(at)
+                elif not bits & use and (not then or (space and (then == " " or number.match(low, end + 1)))):
+                    bits |= use
         return labels, bits
 
     def _last(self, word: str) -> bool:
@@ -294,13 +346,8 @@ class Labeler:
                     return False
             return True
 
-        def add(kind: str, a: int, b: int, *votes: bool) -> None:
-            bits, bit = 0, 1
-            for v in votes:
-                if v:
-                    bits |= bit
-                bit <<= 1
-            out.append((kind, a, b, bits, _features(kind, bits, text, a, b)))
+        def add(kind: str, a: int, b: int, votes: int) -> None:
+            out.append((kind, a, b, votes, _features(kind, votes, text, a, b)))
             taken.append((a, b))
 
         low = lower(text)
@@ -313,35 +360,35 @@ class Labeler:
                     right = at + len(mark)
                     right += right < len(text) and text[right].isspace()
                     width = 80
-                    while (box := p["mailbox"].search(text, max(0, left - width), left)) is None and width < left and p["box"].match(text, left - 1):
+                    while (box := p["mailbox"].match(text[max(0, left - width) : left][::-1])) and box.end() == width < left:
                         width *= 4
-                    host = box and p["domain"].match(text, right)
-                    if host and free(box.start(), host.end()):
-                        end = host.group()
-                        add("email", box.start(), host.end(), mark == "@", end.isascii(), True, right - left == len(mark))
+                    start = left - box.end() if box else left
+                    host = p["domain"].match(text, right) if box and text[start] != "." else None
+                    if host and free(start, host.end()):
+                        add("email", start, host.end(), (mark == "@") | host.group().isascii() << 1 | 4 | (right - left == len(mark)) << 3)
                     at = low.find(mark, at + len(mark))
         if "://" in text or "www." in low:
             taken += [m.span() for m in p["url"].finditer(text) if free(*m.span())]
-        if p["digit"].search(text):
+        numbers = [m.start() for m in p["number"].finditer(text)]
+        if numbers or p["digit"].search(text):
             labels, places = self._hints(low, hits)
             for m in (m for at in labels if (m := p["id"].match(text, at))):
                 a, b = m.span(1)
                 s = m.group(1)
                 k = p["id_shape"].match(s)
-                if not any(ch.isdigit() for ch in s):
-                    continue
                 if k:
                     b = a + k.end()
-                if free(a, b) and sum(ch.isdigit() for ch in text[a:b]) >= 5:
-                    add("id_number", a, b, True, k is not None, sum(ch.isdigit() for ch in s) >= 6)
+                if free(a, b) and _digits(text[a:b]) >= 5:
+                    add("id_number", a, b, 1 | (k is not None) << 1 | (_digits(s) >= 6) << 2)
             for n, pattern in enumerate(p["addresses"]):
                 if ADDRESS_HINTS[n] and not places & ADDRESS << n:
                     continue
-                for m in pattern.finditer(text):
-                    if free(*m.span()):
+                for m in pattern.finditer(text) if n else _matches(pattern, text, numbers):
+                    a, b = m.span()
+                    if free(a, b):
                         s = m.group()
-                        add("address", *m.span(), bool(p["postcode"].search(s)), n == 0, "," in s or "\n" in s, m.end() >= len(text) - 2)
-            for m in p["phone"].finditer(text):
+                        add("address", a, b, (p["postcode"].search(s) is not None) | (n == 0) << 1 | ("," in s or "\n" in s) << 2 | (b >= len(text) - 2) << 3)
+            for m in _matches(p["phone"], text, _openings(text, numbers)):
                 a, b = m.span()
                 s = m.group()
                 if s[0] == "(" and ")" not in s:
@@ -354,18 +401,17 @@ class Labeler:
                     else:
                         s = s.split("\n")[0].rstrip(" .()/\r-‑–")
                         b = a + len(s)
-                digits = sum(ch.isdigit() for ch in s)
+                digits = _digits(s)
                 if not 7 <= digits <= 20 or s.count("(") < s.count(")") or not free(a, b):
                     continue
                 if p["ssn"].fullmatch(s):
-                    add("id_number", a, b, False, True, True)
+                    add("id_number", a, b, 0b110)
                     continue
-                before = text[max(0, a - 24) : a]
-                strict = p["phone_strict"].match(s) is not None
-                if p["date"].match(s) or (re.match(r"\d{4}-\d", s) and "(" not in s):
+                if p["date"].match(s) or (p["year"].match(s) and "(" not in s):
                     continue
-                add("phone", a, b, strict, s[0] in "+(0" or digits in (10, 11), bool(p["phone_cue"].search(before)),
-                    bool(p["code_cue"].search(before)) and not p["phone_cue"].search(before))
+                back = text[max(0, a - 24) : a][::-1]
+                votes = (p["phone_strict"].match(s) is not None) | (s[0] in "+(0" or digits in (10, 11)) << 1
+                add("phone", a, b, votes | (4 if p["phone_cue"].match(back) else 8 if p["code_cue"].match(back) else 0))
         self._names(text, low, hits, p, taken, add, free)
         return out
 
@@ -379,7 +425,7 @@ class Labeler:
                 continue
             a, b = end - length + 1, end + 1
             if uses & OPENER:
-                if not (a and low[a - 1].isalnum()) and not (b < size and low[b].isalnum()):
+                if not (b < size and low[b].isalnum()) and not (a and low[a - 1].isalnum()):
                     after.append(b)
                 if not uses & NAME:
                     continue
@@ -406,18 +452,18 @@ class Labeler:
             # Initials before, and a capitalised word or initial behind.
             if a > 2 and text[a - 1] == " " and text[a - 2] == "." and text[a - 3].isupper() and not (a > 3 and text[a - 4].isalnum()):
                 spots.setdefault(a - 3, a - 2)
-            step = b
             for _ in range(2):
-                if step < size and text[step] in " \n" or text[step : step + 2] in (", ", ". "):
-                    w = capital.match(text, step + (2 if text[step] in ",." else 1))
-                    if not w:
-                        break
-                    spots.setdefault(w.start(), w.end())
-                    step = w.end() + (text[w.end() : w.end() + 1] == ".")
-                else:
+                mark = text[b : b + 1]
+                at = b + 1 if mark == " " or mark == "\n" else b + 2 if text[b : b + 2] in (", ", ". ") else size
+                w = capital.match(text, at) if text[at : at + 1].isupper() else None
+                if not w:
                     break
+                at, b = w.span()
+                spots.setdefault(at, b)
+                b += text[b : b + 1] == "."
         words = [(text[a:b], a, b) for a, b in sorted(spots.items())]
-        kinds = [self._class(w) for w, _, _ in words]
+        known = self.known
+        kinds = [known.get(w) or self._class(w) for w, _, _ in words]
         marks = sorted(taken)
         if marks:
             k = 0
@@ -442,12 +488,24 @@ class Labeler:
         def locals_() -> set[str]:
             """Words of the mailboxes in the text."""
             if not boxes:
-                boxes.append({fold(x) for x in p["split"].split(" ".join(text[a:b].split("@")[0] for a, b in marks)) if len(x) > 2})
+                joint = " ".join([text[a:b].split("@", 1)[0] for a, b in marks])
+                if joint.isascii():
+                    boxes.append(set(p["ascii"].findall(joint.lower())))
+                else:
+                    boxes.append({fold(x) for x in p["split"].split(joint) if len(x) > 2})
             return boxes[0]
 
         def gap(x: int) -> str:
             return text[words[x][2] : words[x + 1][1]]
 
+        def opened(a: int) -> tuple[str, bool, bool]:
+            """The last word before a place; whether it ends a greeting or form of address; whether a closing ends there."""
+            before = text[max(0, a - 30) : a]
+            back = before[::-1]
+            cue = p["cue"].match(back)[1][::-1].lower()
+            polite = cue in NAME_OPENERS and bool(p["honorific"].match(back) or p["greeting"].match(back))
+            return cue, polite, "\n" in before and p["closing"].match(back) is not None
+
         def joined(x: int) -> bool:
             g = gap(x)
             return g == " " or (kinds[x] == "I" and g in (". ", ".")) or (g in ("\n", "\r\n") and kinds[x] in "FB" and kinds[x + 1] == "L")
@@ -464,57 +522,45 @@ class Labeler:
                 # "Last, First"
                 if j == i and c in "LB" and j + 1 < n and kinds[j + 1] in "FB" and gap(j) == ", ":
                     j += 1
-                known = [x for x in range(i, j + 1) if kinds[x] in "FLB"]
                 # An unknown capitalised word after a first name may be its surname.
-                if known and j == i and c in "FB" and j + 1 < n and kinds[j + 1] in "Cc" and gap(j) == " ":
+                if j == i and c in "FB" and j + 1 < n and kinds[j + 1] in "Cc" and gap(j) == " ":
                     word, follow = words[j + 1][0], words[j + 1][2]
                     if word.lower() not in ORG_WORDS and p["attribution"].match(text[follow : follow + 60]):
                         j += 1
-                if not known:
+                if c == "I" and not any([kinds[x] in "FLB" for x in range(i, j + 1)]):
                     i += 1
                     continue
-            elif c == "C":
-                before = text[max(0, a - 30) : a]
-                opened = last_word(before) in NAME_OPENERS
-                hon, greet = (p["honorific"].search(before), p["greeting"].search(before)) if opened else (None, None)
-                closing = p["closing"].search(before) if "\n" in before else None
-                if not (hon or greet or closing):
+            else:
+                cue, polite, closing = opened(a)
+                if not (polite or closing):
                     i += 1
                     continue
                 while j + 1 < n and kinds[j + 1] in "CcFLBI" and joined(j) and j - i < 2 and words[j + 1][0].lower() not in ORG_WORDS:
                     j += 1
-                if closing and not greet and not hon and text[words[j][2] : words[j][2] + 1] not in ("", "\n", "\r"):
+                if not polite and text[words[j][2] : words[j][2] + 1] not in ("", "\n", "\r"):
                     i += 1
                     continue
-            else:
-                i += 1
-                continue
-            a, b = words[i][1], words[j][2]
-            run = [words[x][0] for x in range(i, j + 1)]
-            lower = all(x.islower() for x in run)
-            if (lower and (len(run) < 2 or not all(k in "FLBI" for k in kinds[i : j + 1]))) or not free(a, b):
+            b = words[j][2]
+            run = kinds[i] if j == i else "".join(kinds[i : j + 1])
+            if not free(a, b) or (w.islower() and (j == i or "c" in run or "C" in run) and all([words[x][0].islower() for x in range(i, j + 1)])):
                 i = j + 1
                 continue
-            first = any(kinds[x] in "FB" for x in range(i, j + 1))
-            last = any(kinds[x] in "LB" for x in range(i, j + 1))
-            nxt = words[j + 1][0].lower() if j + 1 < n and gap(j) in (" ", "\n") else ""
-            if first and last and len(run) > 1:
-                # Both gazetteers agree: the context labelers aren't asked.
-                add("name", a, b, True, True, True, False, False, False, False, False)
-            else:
+            votes = ("F" in run or "B" in run) | ("L" in run or "B" in run) << 1 | (j > i) << 2
+            if votes != FULL_NAME:  # else both gazetteers agree: the context labelers aren't asked
                 before, after = text[max(0, a - 30) : a], text[b : b + 60]
-                cue = last_word(before)
-                add(
-                    "name", a, b, first, last, len(run) > 1,
-                    bool(
-                        (cue in NAME_OPENERS and (p["honorific"].search(before) or p["greeting"].search(before)))
-                        or ("\n" in before and p["closing"].search(before))
-                    ),
-                    cue in LEFT_CUE or not before.strip() or before.endswith("\n"),
-                    bool(p["right_cue"].match(after)) or not after.strip() or after[:1] in "\n,.!",
-                    bool({fold(x) for x in run} & locals_()),
-                    nxt in ORG_WORDS and not (len(run) > 1),
-                )
+                if c != "C":
+                    cue, polite, closing = opened(a)
+                if polite or closing:
+                    votes |= 1 << 3
+                if cue in LEFT_CUE or before.endswith("\n") or not before.strip():
+                    votes |= 1 << 4
+                if after[:1] in "\n,.!" or p["right_cue"].match(after) or not after.strip():
+                    votes |= 1 << 5
+                if marks and not locals_().isdisjoint([fold(words[x][0]) for x in range(i, j + 1)]):
+                    votes |= 1 << 6
+                if j == i and j + 1 < n and gap(j) in (" ", "\n") and words[j + 1][0].lower() in ORG_WORDS:
+                    votes |= 1 << 7
+            add("name", a, b, votes)
             i = j + 1
 
 
